@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch where a row may hold a whole document, so that a batch stays far below a worker's memory.
 TEXT_BATCH_ROWS = 256
@@ -74,3 +75,14 @@ def bytes_of(column: pa.Array) -> Iterator[bytes]:
     """The UTF-8 bytes of a string column, one at a time; null counts as empty."""
     for x in column.cast(pa.binary()) if not pa.types.is_binary(column.type) else column:
         yield x.as_py() or b""
+
+
+#: Ids that may be broadcast; beyond it, joins shuffle.
+BROADCAST_IDS = 500_000
+
+
+def semi_join(df: DataFrame, ids: DataFrame, on: str, anti: bool = False) -> DataFrame:
+    """The rows of df whose `on` (a long) is among ids (or is not, with anti). ids are counted first: few are broadcast."""
+    ids = materialize(ids.select(on).distinct(), "ids")
+    few = ids.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, on, "left_anti" if anti else "left_semi")

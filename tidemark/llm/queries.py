@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, packing, sharding
+from tidemark.llm import bpe, hyperminhash, packing, sharding
 
 TOKENIZER = "byte_bpe_50k.json"
 SHARDS = 40
@@ -31,10 +31,15 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_packing": op3_packing,
     "op5_sharding": op5_sharding,
+    "op6_minhash": op6_minhash,
 }
 
 ORACLES: dict[str, str] = {}
