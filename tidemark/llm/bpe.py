@@ -59,15 +59,19 @@ class SplitEncoder:
     def word(self, word: bytes) -> tuple[int, ...]:
         raise NotImplementedError
 
+    def join(self, found: Iterable[tuple[int, ...]]) -> tuple[int, ...]:
+        return tuple(chain.from_iterable(found))
+
     def _words(self, text: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(self.word(w.encode()) for w in self.split(text)))
+        return self.join([self.word(w.encode()) for w in self.split(text)])
 
     def _part(self, part: str) -> tuple[int, ...]:
         """The ids of a space and the part after it; parts seen lately are kept, in two generations."""
+        if (found := self.young.get(part)) is not None:
+            return found
         if (found := self.old.get(part)) is None:
             if part[-1:] in self.signs and part[:-1].isalpha():  # the sign stands alone: the word before it may be known
-                body = part[:-1]
-                return (self.young.get(body) or self._part(body)) + self.signs[part[-1]]
+                return self._part(part[:-1]) + self.signs[part[-1]]
             found = self.word(b" " + part.encode()) if part.isalpha() else self._words(" " + part)
         if len(part) <= 64:
             if len(self.young) >= CACHE_ENTRIES:
@@ -75,29 +79,24 @@ class SplitEncoder:
             self.young[part] = found
         return found
 
-    def _plain(self, text: str) -> list[int]:
-        if not text:
-            return []
-        if self.runs(text):  # a space between other white space: parts would depend on their neighbours
-            return list(self._words(text))
+    def _plain(self, text: str) -> tuple[int, ...]:
+        if not text or self.runs(text):  # a space between other white space: parts would depend on their neighbours
+            return self._words(text)
         first, *rest = text.split(" ")  # else the pre-split never joins what a space divides
-        out = list(self._words(first))
-        add, known = out.extend, self.young.get
-        for part in rest:
-            found = known(part)
-            if found is None:
-                found = self._part(part)
-                known = self.young.get
-            add(found)
-        return out
-
-    def encode(self, text: str | None) -> list[int]:
+        found = list(map(self.young.get, rest))
+        if None in found:
+            part = self._part
+            found = [part(p) if x is None else x for p, x in zip(rest, found, strict=True)]
+        return self.join([self._words(first), *found])
+
+    def encode(self, text: str | None) -> tuple[int, ...]:
         """The ids of a whole text; the strings of special tokens in it become their ids."""
-        if not text:
-            return []
-        if self.special_split is None or not any(s in text for s in self.specials):
-            return self._plain(text)
-        return list(chain.from_iterable([self.specials[x]] if x in self.specials else self._plain(x) for x in self.special_split(text)))
+        if not text or self.special_split is None or not any(s in text for s in self.specials):
+            return self._plain(text or "")
+        return self.join([self.special(x) if x in self.specials else self._plain(x) for x in self.special_split(text)])
+
+    def special(self, text: str) -> tuple[int, ...]:
+        return (self.specials[text],)
 
 
 class Automaton(SplitEncoder):

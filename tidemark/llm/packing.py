@@ -13,9 +13,10 @@ same length, in parallel. The plan is exact: it packs every piece of the input.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 from pathlib import Path
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,10 @@ PLAN = T.StructType([T.StructField(n, T.LongType(), False) for n in ("plan_lengt
 
 
 class MergedWords(bpe.SplitEncoder):
-    """The same ids as bpe.Automaton, merging words in compiled code: ids in order of merging serve as ranks."""
+    """The same ids as bpe.Automaton, as bytes of little-endian 32-bit numbers, merging words in compiled code.
+
+    Ids are in the order of merging and serve as ranks.
+    """
 
     def __init__(self, data: bytes):
         auto = bpe.automaton(data)
@@ -41,8 +45,15 @@ class MergedWords(bpe.SplitEncoder):
         self.merge = tiktoken.Encoding("words", pat_str=bpe.PRE_SPLIT, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         super().__init__(auto.specials)
 
-    def word(self, word: bytes) -> tuple[int, ...]:
-        return tuple(self.merge(word))
+    def word(self, word: bytes) -> bytes:
+        ids = self.merge(word)
+        return pack(f"<{len(ids)}I", *ids)
+
+    def join(self, found: Iterable[bytes]) -> bytes:
+        return b"".join(found)
+
+    def special(self, text: str) -> bytes:
+        return pack("<I", self.specials[text])
 
 
 _encoders: dict[int, MergedWords] = {}
@@ -68,14 +79,15 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) ->
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for n, text in enumerate(common.texts_of(batch.column(1))):
-                ids = np.array([*enc.encode(text), END_OF_DOCUMENT], "<u4")
-                cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
+                ids = enc.encode(text) + pack("<I", END_OF_DOCUMENT)
+                size = len(ids) // 4
+                cuts = [0, *range(size % capacity or capacity, size + 1, capacity)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     row.append(n)
                     piece.append(k)
                     start.append(a)
                     length.append(b - a)
-                    crc.append(zlib.crc32(ids[a:b].tobytes()))
+                    crc.append(zlib.crc32(ids[4 * a : 4 * b]))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)

@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, hyperminhash, packing, sharding
+from tidemark.llm import bpe, dsir, hyperminhash, langid, packing, rabitq, sharding, toxicity
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SHARDS = 40
 
 
@@ -22,10 +22,18 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op2_dsir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dsir.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op4_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rabitq.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.assign(table(spark, sf_dir, "documents"), sharding.topology(SHARDS), sharding.topology(SHARDS + 1))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -35,11 +43,23 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_dsir": op2_dsir,
     "op3_packing": op3_packing,
+    "op4_rabitq": op4_rabitq,
     "op5_sharding": op5_sharding,
     "op6_minhash": op6_minhash,
+    "op7_toxicity": op7_toxicity,
+    "op8_langid": op8_langid,
 }
 
 ORACLES: dict[str, str] = {}
