@@ -23,12 +23,16 @@ from pyspark.sql import types as T
 from tidemark.llm import common
 
 #: Most texts and most word types to learn a language from.
-TRAIN_ROWS, TRAIN_WORDS = 400, 20_000
+TRAIN_ROWS, TRAIN_WORDS = 400, 10_000
 ROUNDS = 3
 #: The count that every piece has besides, and the probability of a sign that no piece covers.
 ADDED, UNKNOWN = 0.05, 1e-9
 START = "▁"
 KNOWN_PARTS = 200_000
+#: Signs of a word up to which words are scored together: products of so many probabilities stay in range.
+BATCHED = 30
+#: Parts of texts that are looked up together.
+GATHER = 20_000
 UNDETERMINED = "und"
 
 _letters = regex.compile(r"\p{L}+").findall
@@ -43,6 +47,10 @@ def vocabulary(path: str) -> list[str]:
 
 def words_of(part: str) -> list[str]:
     """Letter runs in lower case, each with the mark of a word's start."""
+    if part.isalpha():
+        return [START + part.lower()]
+    if part[:-1].isalpha():
+        return [START + part[:-1].lower()]
     return [START + w for w in _letters(part.lower())]
 
 
@@ -70,6 +78,58 @@ def forward(word: str, pieces: dict[str, tuple[float, ...]], longest: int, unkno
     return [math.log(max(x, 1e-300)) - scale for x in ways[n]]
 
 
+class Model:
+    """Piece probabilities by language, laid out for many words at a time."""
+
+    def __init__(self, pieces: dict[str, tuple[float, ...]], languages: int):
+        self.pieces, self.longest, self.unknown = pieces, max(map(len, pieces), default=1), (UNKNOWN,) * languages
+        self.rows = np.array([*pieces.values(), self.unknown]).reshape(-1, languages)
+        #: A piece's row; -1 for what only begins pieces.
+        self.place = {p[:n]: -1 for p in pieces for n in range(1, len(p))}
+        self.place |= {p: n for n, p in enumerate(pieces)}
+
+    def logs(self, words: list[str]) -> np.ndarray:
+        """forward() of each word (words x languages)."""
+        out = np.zeros((len(words), self.rows.shape[1]))
+        for a in range(0, len(words), 4096):
+            out[a : a + 4096] = self._logs(words[a : a + 4096])
+        return out
+
+    def _logs(self, words: list[str]) -> np.ndarray:
+        get, edges = self.place.get, []
+        add, unknown = edges.append, len(self.pieces)
+        for n, word in enumerate(words):
+            size = len(word)
+            if size > BATCHED:
+                continue
+            for start in range(size):
+                head = (n << 10 | start << 5) << 20
+                row = get(word[start], -1)
+                add(head | (start + 1) << 50 | (row if row >= 0 else unknown))
+                for end in range(start + 2, size + 1):
+                    row = get(word[start:end])
+                    if row is None:
+                        break
+                    if row >= 0:
+                        add(head | end << 50 | row)
+        ways = np.zeros((len(words), BATCHED + 1, self.rows.shape[1]))
+        ways[:, 0] = 1
+        arcs = np.sort(np.array(edges, np.int64))  # by end, then by word
+        end, word, start, row = arcs >> 50, arcs >> 30 & 0xFFFFF, arcs >> 25 & 31, arcs & 0xFFFFF
+        bounds = np.searchsorted(end, np.arange(BATCHED + 2))
+        for e in range(1, BATCHED + 1):
+            some = slice(bounds[e], bounds[e + 1])
+            if bounds[e] < bounds[e + 1]:
+                at = word[some]
+                first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+                ways[at[first], e] = np.add.reduceat(ways[at, start[some]] * self.rows[row[some]], first)
+        sizes = np.array([len(w) for w in words])
+        out = np.log(np.maximum(ways[np.arange(len(words)), np.minimum(sizes, BATCHED)], 1e-300))
+        for n in np.flatnonzero(sizes > BATCHED):
+            out[n] = forward(words[n], self.pieces, self.longest, self.unknown)
+        return out
+
+
 def learn_pieces(words: Counter, vocab: list[str], rounds: int = ROUNDS) -> dict[str, float]:
     """Piece probabilities of one language by expectation maximisation over its words and their counts."""
     longest = max(map(len, vocab), default=1)
@@ -135,37 +195,55 @@ def with_languages(docs: DataFrame, langs: list[str], pieces: dict[str, tuple[fl
     Texts that are null or have no letter, and all texts if nothing was learnt, are `und` with score 0.
     """
     common.long_rows(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(pieces)
+    table = docs.sparkSession.sparkContext.broadcast(pieces)
     k = len(langs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = model.value
-        longest = max(map(len, table), default=1)
-        unknown = (UNKNOWN,) * k
+        model = Model(table.value, k) if k else None
         at: dict[str, int] = {}
-        rows = np.zeros((KNOWN_PARTS + 1, k + 1))  # logarithms by language, and the number of words
+        rows = np.zeros((KNOWN_PARTS, k + 1))  # of each part: sums of logarithms by language, and the number of words
 
-        def place(part: str) -> int:
-            n = len(at)
-            sums = [forward(w, table, longest, unknown) for w in words_of(part)]
-            rows[n] = [*(sum(x) for x in zip(*sums, strict=True)), len(sums)] if sums else 0.0
-            at[part] = n
-            return n
+        def sums(parts: list[str]) -> np.ndarray:
+            if len(at) + len(parts) > KNOWN_PARTS:
+                at.clear()
+            where = list(map(at.get, parts))
+            if None in where:
+                new = list(dict.fromkeys(p for p, n in zip(parts, where, strict=True) if n is None))
+                words = [words_of(p) for p in new]
+                logs = model.logs([w for ws in words for w in ws])
+                total = np.zeros((len(new), k + 1))
+                owner = np.repeat(np.arange(len(new)), [len(ws) for ws in words])
+                np.add.at(total[:, :k], owner, logs)
+                total[:, k] = [len(ws) for ws in words]
+                rows[len(at) : len(at) + len(new)] = total
+                at.update(zip(new, range(len(at), len(at) + len(new)), strict=True))
+                where = list(map(at.__getitem__, parts))
+            return rows[where]
 
         for batch in batches:
             pred, score = [], []
-            for text in common.texts_of(batch.column(batch.num_columns - 1)):
-                total = np.zeros(k + 1)
+            totals = np.zeros((batch.num_rows, k + 1))
+            held: list[str] = []
+            owners: list[tuple[int, int]] = []  # (row of the batch, its parts that are held)
+
+            def settle() -> None:
+                if held and k:  # noqa: B023
+                    of = np.repeat([o for o, _ in owners], [n for _, n in owners])  # noqa: B023
+                    np.add.at(totals, of, sums(held))  # noqa: B023
+                held.clear()  # noqa: B023
+                owners.clear()  # noqa: B023
+
+            for n, text in enumerate(common.texts_of(batch.column(batch.num_columns - 1))):
                 parts = text.split()
-                for a in range(0, len(parts), 4096):
-                    if len(at) > KNOWN_PARTS - 4096:
-                        at.clear()
-                    some = parts[a : a + 4096]
-                    where = list(map(at.get, some))
-                    if None in where:
-                        where = [(place(p) if p not in at else at[p]) if n is None else n for p, n in zip(some, where, strict=True)]
-                    total += rows[where].sum(0)
-                if k and total[k] > 0:
+                for a in range(0, len(parts), GATHER):
+                    some = parts[a : a + GATHER]
+                    held.extend(some)
+                    owners.append((n, len(some)))
+                    if len(held) >= GATHER:
+                        settle()
+            settle()
+            for total in totals:
+                if total[k] > 0:
                     best = int(total[:k].argmax())
                     pred.append(langs[best])
                     score.append(float(1 / np.exp(np.clip(total[:k] - total[best], -700, 0)).sum()))

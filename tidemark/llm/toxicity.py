@@ -1,12 +1,14 @@
 """A toxicity classifier with counterfactual regularisation.
 
-Logistic regression on the distinct words of a text. For each labelled text that mentions a group, a copy is made in
+Logistic regression on the distinct words of a text and their beginnings. For each labelled text that mentions a group, a copy is made in
 which identity terms are swapped; the squared change of the score's logit is penalised, so that the words that name a
 group don't carry weight of their own and neutral mentions aren't flagged.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +25,8 @@ TRAIN_ROWS = 20_000
 FEATURES, MIN_DOCS = 4000, 3
 SWAP_PENALTY, RIDGE = 1.0, 2e-5
 ROUNDS = 400
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 100_000
+BEGINNINGS = range(3, 9)
 SIGNS = ".,;:!?\"'()[]{}<>*_-#~`«»“”„’‘…"
 #: Terms that name a group, each with the one that takes its place.
 IDENTITY_TERMS = {
@@ -35,16 +38,16 @@ IDENTITY_TERMS = {
 
 
 class _Features(dict):
-    """Feature of a raw word: a 60-bit hash of it in lower case without the signs around it; 0 if nothing is left."""
+    """Features of a raw word, in lower case without the signs around it: a 60-bit hash of it, and of its beginnings."""
 
-    def __missing__(self, raw: str) -> int:
+    def __missing__(self, raw: str) -> tuple[int, ...]:
         if len(self) >= KNOWN_WORDS:
             self.clear()
         word = raw.strip(SIGNS)
-        f = xxhash.xxh3_64_intdigest(word) >> 4 if word else 0
+        out = tuple(xxhash.xxh3_64_intdigest(x) >> 4 for x in (word + "$", *(word[:k] for k in BEGINNINGS if k <= len(word)))) if word else ()
         if len(raw) <= 64:
-            self[raw] = f
-        return f
+            self[raw] = out
+        return out
 
 
 _features = _Features()
@@ -52,9 +55,7 @@ _features = _Features()
 
 def features(text: str) -> set[int]:
     """The distinct features of a whole text."""
-    out = set(map(_features.__getitem__, set(text.lower().split())))
-    out.discard(0)
-    return out
+    return set().union(*map(_features.__getitem__, set(text.lower().split())))
 
 
 def swapped(text: str, terms: dict[str, str]) -> set[int] | None:
@@ -69,19 +70,48 @@ def learnable(doc_id: Column, folds: int = 5, held_out: int = 0) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)) != held_out
 
 
-def examples(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, terms: dict[str, str] = IDENTITY_TERMS) -> DataFrame:
-    """(toxic, features, swapped features or null) of at most `rows` labelled documents outside the held-out fold."""
-    known = labels.where("toxic in (0, 1) and doc_id is not null").where(learnable(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """(text, toxic) of at most `rows` labelled documents outside the held-out fold."""
+    common.long_rows(docs.sparkSession)
+    known = labels.where("toxic in (0, 1) and doc_id is not null").where(learnable(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return text.join(F.broadcast(known), "doc_id").select("text", "toxic")
+
+
+def telling(learnt: DataFrame, n_toxic: int, n_clean: int, most: int = FEATURES) -> np.ndarray:
+    """The features whose presence tells most about the label: log ratio of their shares, times the root of their documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
-            texts = list(common.texts_of(batch.column(0)))
-            swaps = [swapped(x, terms) for x in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array([list(features(x)) for x in texts], pa.list_(pa.int64())), pa.array([None if s is None else list(s) for s in swaps], pa.list_(pa.int64()))], ["toxic", "words", "swapped"])
+            for text, toxic in zip(common.texts_of(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                found[toxic].update(features(text))
+        names = list(found[0].keys() | found[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *(pa.array([c[f] for f in names], pa.int64()) for c in found)], ["feature", "clean", "toxic"])
+
+    counts = learnt.mapInArrow(run, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    share = (F.col("toxic") + 0.5) / (n_toxic + 1) / ((F.col("clean") + 0.5) / (n_clean + 1))
+    told = F.abs(F.log(share)) * F.sqrt(F.col("clean") + F.col("toxic"))
+    best = counts.where(F.col("clean") + F.col("toxic") >= MIN_DOCS).select("feature", told.alias("told")).orderBy(F.desc("told"), "feature").limit(most)
+    return np.sort(best.select("feature").toArrow()["feature"].to_numpy())
 
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return text.join(F.broadcast(known), "doc_id").select("text", "toxic").mapInArrow(run, "toxic int, words array<long>, swapped array<long>")
+
+def examples(learnt: DataFrame, columns: np.ndarray, terms: dict[str, str] = IDENTITY_TERMS) -> DataFrame:
+    """(toxic, features, swapped features or null) of each text, of the columns and what the swaps change."""
+    chosen = learnt.sparkSession.sparkContext.broadcast(set(columns.tolist()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, other = [], []
+            for text in common.texts_of(batch.column(0)):
+                words, swaps = features(text), swapped(text, terms)
+                more = words ^ swaps if swaps is not None else set()
+                own.append(sorted(words & (chosen.value | more)))
+                other.append(None if swaps is None else sorted(swaps & (chosen.value | more)))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(own, pa.list_(pa.int64())), pa.array(other, pa.list_(pa.int64()))], ["toxic", "words", "swapped"])
+
+    return learnt.mapInArrow(run, "toxic int, words array<long>, swapped array<long>")
 
 
 class _Rows:
@@ -106,22 +136,10 @@ class _Rows:
         return np.bincount(self.cols, g[self.row], self.width)
 
 
-def fit(toxic: np.ndarray, words: list[np.ndarray], swaps: list[np.ndarray | None], penalty: float = SWAP_PENALTY, most: int = FEATURES) -> tuple[dict[int, float], float]:
-    """Weights of features and the intercept. Without both classes there are no weights, and the score is the class's share."""
+def fit(toxic: np.ndarray, words: list[np.ndarray], swaps: list[np.ndarray | None], columns: np.ndarray, penalty: float = SWAP_PENALTY) -> tuple[dict[int, float], float]:
+    """Weights of the columns and of what swaps change, and the intercept."""
     y = np.asarray(toxic, np.float64)
     share = (y.sum() + 0.5) / (len(y) + 1)
-    if not len(y) or y.min() == y.max():
-        return {}, float(np.log(share / (1 - share)))
-    flat = np.concatenate(words)
-    names, where = np.unique(flat, return_inverse=True)
-    label = np.repeat(y, [len(w) for w in words])
-    docs, bad = np.bincount(where), np.bincount(where, label)
-    good = docs - bad
-    # The features whose presence tells most about the label, by the likelihood ratio test's leading term.
-    p, q = (bad + 0.5) / (y.sum() + 1), (good + 0.5) / (len(y) - y.sum() + 1)
-    told = np.abs(np.log(p / q)) * np.sqrt(docs)
-    told[docs < MIN_DOCS] = 0
-    columns = names[np.sort(np.argsort(-told, kind="stable")[:most])]
     pairs = [k for k, s in enumerate(swaps) if s is not None]
     changed = np.unique(np.concatenate([np.setxor1d(words[k], swaps[k]) for k in pairs])) if pairs else names[:0]
     columns = np.union1d(columns, changed)
@@ -143,13 +161,22 @@ def fit(toxic: np.ndarray, words: list[np.ndarray], swaps: list[np.ndarray | Non
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, penalty: float = SWAP_PENALTY) -> tuple[dict[int, float], float]:
-    """Fit on a bounded sample. The rows are put in order, so that the fit doesn't depend on how they are dealt."""
-    table = examples(docs, labels, rows).toArrow()
-    words = [np.sort(np.array(x, np.int64)) for x in table["words"].to_pylist()]
-    swaps = [None if x is None else np.sort(np.array(x, np.int64)) for x in table["swapped"].to_pylist()]
+    """Fit on a bounded sample. Without both classes there are no weights, and the score is the class's share.
+
+    The rows are put in order, so that the fit doesn't depend on how they are dealt.
+    """
+    learnt = sample(docs, labels, rows)
+    n = {r["toxic"]: r["count"] for r in learnt.groupBy("toxic").count().collect()}
+    if not n.get(0) or not n.get(1):
+        share = (n.get(1, 0) + 0.5) / (sum(n.values()) + 1)
+        return {}, float(np.log(share / (1 - share)))
+    columns = telling(learnt, n[1], n[0])
+    table = examples(learnt, columns).toArrow()
+    words = [np.array(x, np.int64) for x in table["words"].to_pylist()]
+    swaps = [None if x is None else np.array(x, np.int64) for x in table["swapped"].to_pylist()]
     toxic = table["toxic"].to_numpy()
     order = sorted(range(len(words)), key=lambda k: (toxic[k], words[k].tobytes()))
-    return fit(toxic[order], [words[k] for k in order], [swaps[k] for k in order], penalty)
+    return fit(toxic[order], [words[k] for k in order], [swaps[k] for k in order], columns, penalty)
 
 
 def with_scores(docs: DataFrame, weights: dict[int, float], intercept: float, columns: list[str]) -> DataFrame:
@@ -159,10 +186,18 @@ def with_scores(docs: DataFrame, weights: dict[int, float], intercept: float, co
     kept = docs.select(*columns, F.col("text").cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, b = model.value[0].get, model.value[1]
+        table, b = model.value
+        known: dict[str, frozenset[int]] = {}  # of each word the features that have a weight
         for batch in batches:
-            z = np.array([b + sum(sorted(get(f, 0.0) for f in features(x))) for x in common.texts_of(batch.column(batch.num_columns - 1))], np.float64)
-            score = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+            z = []
+            for text in common.texts_of(batch.column(batch.num_columns - 1)):
+                if len(known) > KNOWN_WORDS:
+                    known.clear()
+                words = set(text.lower().split())
+                for w in words - known.keys():
+                    known[w] = frozenset(f for f in _features[w] if f in table)
+                z.append(b + math.fsum(map(table.__getitem__, frozenset().union(*map(known.__getitem__, words)))))
+            score = 1 / (1 + np.exp(-np.clip(np.array(z, np.float64), -700, 700)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64())], [*batch.schema.names[:-1], "score"])
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields[:-1], T.StructField("score", T.DoubleType())]))
