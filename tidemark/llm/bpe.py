@@ -189,6 +189,8 @@ class Automaton(SplitEncoder):
                 at, state = at + step, token
                 size = min(n - at, longest)
             else:
+                if not path:  # bytes that the vocabulary lacks emit nothing
+                    return self.word(bytes(b for b in word if bytes([b]) in ids))
                 dead.add((at, state))
                 token, back = path.pop()
                 at, state = at - back, path[-1][0] if path else -1

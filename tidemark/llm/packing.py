@@ -177,7 +177,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = counts.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
     ranked = salted.withColumn("own", F.row_number().over(own) - 1).join(before, ["length", "salt"]).withColumn("rank", F.col("own") + F.col("before")).drop("own", "before", "salt")
-    rows = _places(plan) + [(capacity, 0, histogram[capacity] - 1, planned, 0)] * (capacity in histogram)
+    rows = _places(plan) + [(capacity, 0, histogram.get(capacity, 0) - 1, planned, 0)]
     places = spark.createDataFrame(rows, PLAN)  # bounded by the capacity: a few patterns for each length
     placed = ranked.join(F.broadcast(places), (F.col("length") == F.col("plan_length")) & F.col("rank").between(F.col("first_rank"), F.col("last_rank")))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first_sequence") + F.col("rank") - F.col("first_rank")).alias("sequence_id"), "offset")

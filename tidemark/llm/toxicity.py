@@ -141,7 +141,7 @@ def fit(toxic: np.ndarray, words: list[np.ndarray], swaps: list[np.ndarray | Non
     y = np.asarray(toxic, np.float64)
     share = (y.sum() + 0.5) / (len(y) + 1)
     pairs = [k for k, s in enumerate(swaps) if s is not None]
-    changed = np.unique(np.concatenate([np.setxor1d(words[k], swaps[k]) for k in pairs])) if pairs else names[:0]
+    changed = np.unique(np.concatenate([np.setxor1d(words[k], swaps[k]) for k in pairs])) if pairs else columns[:0]
     columns = np.union1d(columns, changed)
     x, x0, x1 = _Rows(words, columns), _Rows([words[k] for k in pairs], columns), _Rows([swaps[k] for k in pairs], columns)
     w, b = np.zeros(len(columns)), float(np.log(share / (1 - share)))
