@@ -3,8 +3,8 @@
 Vectors are scaled to a common bound M and get one more coordinate, sqrt(M^2 - |x|^2), so that the largest inner product
 is the smallest distance. Each table hashes a vector by a few Gaussian projections, cut into slots of a fixed width with
 a random offset; together the slots name a bucket. A query visits the buckets of each table in the order of the
-estimated probability that they hold its neighbours - under a Gaussian for the neighbour's projection around the query's
-own, of a width that follows from the usual likeness of a neighbour - until that reaches a target. The candidates of all
+estimated probability that they hold its neighbours - a neighbour's projection is taken as Gaussian around the query's own
+times the usual likeness, with a mean and width measured on a sample - until that reaches a target. The candidates of all
 tables are merged and ranked by exact inner products in double precision.
 
 Buckets are compared in blocks of bounded size, the queries streaming past; what a task reports is one list a query.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,15 @@ def prepared(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null").mapInArrow(run, "vec_id long, vector binary, dim int, norm double")
 
 
+@dataclass
+class Neighbour:
+    """A neighbour's usual cosine to the query, and where its projections lie (tables x projections, in slot widths)."""
+
+    likeness: float
+    shift: np.ndarray
+    spread: np.ndarray
+
+
 class Hashes:
     """The projections of all tables for one dimension."""
 
@@ -68,11 +78,10 @@ class Hashes:
         slots = np.floor(self.project(x, False) + self.offsets.reshape(self.tables, -1)).astype(np.int64)
         return (np.clip(slots + 32, 0, 63) << 6 * np.arange(self.projections)).sum(-1)
 
-    def visits(self, q: np.ndarray, table: int, names: np.ndarray, likeness: float, target: float) -> tuple[np.ndarray, np.ndarray]:
+    def visits(self, q: np.ndarray, table: int, names: np.ndarray, usual: Neighbour, target: float) -> tuple[np.ndarray, np.ndarray]:
         """(row, place in names) of the buckets that each query visits: the likeliest first, until the target is reached."""
-        centre = self.project(q, True)[:, table] * likeness + self.offsets.reshape(self.tables, -1)[table]
-        spread = max(math.sqrt(1 - likeness**2), 1e-3) / WIDTH
-        edges = _normal((np.arange(-32, 33)[None, None] - centre[:, :, None]) / spread)
+        centre = self.project(q, True)[:, table] * usual.likeness + usual.shift[table] + self.offsets.reshape(self.tables, -1)[table]
+        edges = _normal((np.arange(-32, 33)[None, None] - centre[:, :, None]) / usual.spread[table][None, :, None])
         share = np.diff(edges, axis=-1)  # of each projection's slots
         slots = names[:, None] >> 6 * np.arange(self.projections) & 63
         chance = np.ones((len(q), len(names)))
@@ -101,16 +110,23 @@ def _quantile(p: float) -> float:
     return lo
 
 
-def usual_likeness(sample: np.ndarray, bound: float, rows: int, k: int) -> float:
-    """The cosine, after scaling, that a k-th neighbour among `rows` vectors is likely to reach: from the mean and
-    deviation of each sampled vector's cosines, the value that nineteen in twenty reach, so that most queries visit enough."""
+def usual_neighbour(sample: np.ndarray, hashes: Hashes, rows: int, k: int) -> Neighbour:
+    """What a k-th neighbour among `rows` vectors is usually like, from a sample.
+
+    likeness: the cosine, after scaling, that it is likely to reach: from the mean and deviation of each sampled vector's
+    cosines, the value that nineteen in twenty reach, so that most queries visit enough. shift and spread: how the
+    projections of the sampled vectors' nearest hundredth lie around the likeness times the query's own.
+    """
+    shape = (hashes.tables, hashes.projections)
     if rows <= 2 * k or len(sample) < 3:
-        return 0.0
-    queries = sample[:200] / np.linalg.norm(sample[:200], axis=1, keepdims=True)
-    cos = queries @ sample.T / bound
+        return Neighbour(0.0, np.zeros(shape), np.full(shape, 1 / WIDTH))
+    some = sample[:200]
+    cos = some / np.linalg.norm(some, axis=1, keepdims=True) @ sample.T / hashes.bound
     cos[np.arange(len(cos)), np.arange(len(cos))] = np.nan
     reach = np.nanmean(cos, 1) + _quantile(1 - k / rows) * np.nanstd(cos, 1)
-    return float(np.clip(np.percentile(reach, 5), 0.0, 0.999))
+    near = np.argsort(np.where(np.isnan(cos), np.inf, -cos), axis=1)[:, : max(2, len(sample) // 100)]
+    rest = hashes.project(sample, False)[near] - np.take_along_axis(cos, near, 1)[:, :, None, None] * hashes.project(some, True)[:, None]
+    return Neighbour(float(np.clip(np.percentile(reach, 5), 0.0, 0.999)), rest.mean((0, 1)), np.maximum(rest.std((0, 1)), 1e-3))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -143,7 +159,7 @@ def _search(rows: DataFrame, dim: int, n: int, bound: float, query_ids: str, k:
     spark = rows.sparkSession
     hashes = Hashes(dim, bound, tables, PROJECTIONS)
     sample = _matrix(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("vector").toArrow()["vector"].combine_chunks())
-    likeness = usual_likeness(sample, bound, n, k)
+    usual = usual_neighbour(sample, hashes, n, k)
     share = 1 - (1 - target) ** (1 / tables)
 
     def hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +181,7 @@ def _search(rows: DataFrame, dim: int, n: int, bound: float, query_ids: str, k:
                 batch = whole.slice(a, 64)
                 q = _matrix(batch.column(1))
                 for t in range(tables):
-                    row, place = hashes.visits(q, t, names[t], likeness, share)
+                    row, place = hashes.visits(q, t, names[t], usual, share)
                     name = names[t][place] << 4 | t
                     times = np.array([blocks[x] for x in name.tolist()], np.int64)
                     block = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
