@@ -34,7 +34,7 @@ def together(df: DataFrame) -> DataFrame:
     return df.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "own", "id")
 
 
-def whole_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+def whole_groups(batches: Iterable[pa.RecordBatch], gather: int = GATHER) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole groups of (bucket, lo, hi) from sorted batches, with where each group starts, and the end."""
     held: list[pa.RecordBatch] = []
     size = 0
@@ -42,7 +42,7 @@ def whole_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Table,
         if batch.num_rows:
             held.append(batch)
             size += batch.num_rows
-        if size >= GATHER:
+        if size >= gather:
             table = pa.Table.from_batches(held).combine_chunks()
             starts = _starts(table)
             if len(starts) > 1:

@@ -8,8 +8,9 @@ index and drops pairs far below the threshold; the rest are confirmed on full se
 a pair with probability (1 - 0.75^4)^32 = 5e-6.
 
 Documents with equal sets are one node from the start. In buckets of many documents pairs are first proposed around
-pivots only; after the links found there are closed into components, all pairs of documents that still lie in different
-components are proposed too, so that no link between components is lost.
+pivots only; after the links found there are closed into components, the documents of large buckets that still lie in
+different components meet in blocks, each two blocks of a cluster, where all their pairs are looked at until a link
+connects them. So no link between components is lost, and no task emits more pairs than it has rows.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ REGISTERS, BANDS, ROWS = 128, 32, 4
 MANTISSA = 10
 #: Standard deviations below the threshold at which an estimate drops a pair.
 DEVIATIONS = 4.5
+#: Documents of one block when large groups are settled.
+SETTLE_BLOCK = 256
 #: Word hashes that a worker remembers.
 KNOWN_WORDS = 300_000
 
@@ -173,56 +176,104 @@ def band_rows(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", "registers").mapInArrow(run, "bucket long, id long")
 
 
-def propose(members: DataFrame, parts: bool = False) -> DataFrame:
+def propose(members: DataFrame) -> DataFrame:
     """Pairs (a, b) that share a bucket and may reach the threshold, from bucket members with registers and n_shingles.
 
-    In small buckets all pairs; in large ones those around pivots: each row that no earlier pivot has come near to is
-    the next pivot. With `parts`, members have a component, and all pairs across components are proposed instead.
+    In small buckets all pairs. In large ones those around pivots - a row that no earlier pivot has come near to is the
+    next pivot - and of the rows around two pivots one pair that comes near, if there is one: the pairs connect what all
+    pairs that may reach the threshold would connect.
     """
 
-    def small(table: pa.Table, starts: np.ndarray, regs: np.ndarray, n: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def small(table: pa.Table, starts: np.ndarray, regs: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         own, whole = table.column("own").to_numpy(), table.column("lo").to_numpy() == table.column("hi").to_numpy()
         for i, j in buckets.small_pairs(starts):
-            ok = (whole[i] | (own[i] != own[j])) & (part[i] != part[j])
+            ok = whole[i] | (own[i] != own[j])
             i, j = i[ok], j[ok]
             ok = _near(regs[i], regs[j], n[i], n[j])
             yield i[ok], j[ok]
 
-    def pivots(a: int, b: int, regs: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        rows = np.arange(a, b)
-        while len(rows) > 1:
-            first, rows = rows[0], rows[1:]
-            ok = np.zeros(len(rows), bool)
-            for k in range(0, len(rows), buckets.CHUNK // 16):
-                some = rows[k : k + buckets.CHUNK // 16]
-                ok[k : k + buckets.CHUNK // 16] = _near(regs[first][None], regs[some], n[first], n[some])
-            yield np.full(int(ok.sum()), first), rows[ok]
-            rows = rows[~ok]
-
-    def across(a: int, b: int, regs: np.ndarray, n: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        order = a + np.argsort(part[a:b], kind="stable")
-        ends = np.searchsorted(part[order], part[order], "right")
-        for k, i in enumerate(order):  # each row with those of later components; the largest component is never compared with itself
-            for c in range(int(ends[k]), len(order), buckets.CHUNK // 16):
-                j = order[c : c + buckets.CHUNK // 16]
-                ok = _near(regs[i][None], regs[j], n[i], n[j])
-                yield np.full(int(ok.sum()), i), j[ok]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in buckets.whole_groups(batches):
             ids, n, regs = table.column("id").to_numpy(), table.column("n_shingles").to_numpy(), _registers(table.column("registers"))
-            part = table.column("component").to_numpy() if parts else np.arange(len(ids))
-            found = list(small(table, starts, regs, n, part))
+            found = list(small(table, starts, regs, n))
             for a, b in buckets.large_groups(starts):
-                found.extend(across(a, b, regs, n, part) if parts else pivots(a, b, regs, n))
+                found.extend(_forest(np.arange(a, b), regs, n))
             if found:
                 i, j = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
                 pairs = np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1), axis=0)
                 if len(pairs):
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    cols = ["bucket", "lo", "hi", "own", "id", "n_shingles", "registers", *["component"] * parts]
-    return buckets.together(members.select(*cols)).mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    return buckets.together(members.select("bucket", "lo", "hi", "own", "id", "n_shingles", "registers")).mapInArrow(run, "a long, b long").where("a <> b").distinct()
+
+
+def _near_one(first: int, rows: np.ndarray, regs: np.ndarray, n: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(rows), bool)
+    for k in range(0, len(rows), 4096):
+        some = rows[k : k + 4096]
+        out[k : k + 4096] = _near(regs[first][None], regs[some], n[first], n[some])
+    return out
+
+
+def _forest(rows: np.ndarray, regs: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of near rows around pivots, and between the rows of two pivots until all that is near is connected."""
+    groups, left = [], rows
+    while len(left):
+        first, left = left[0], left[1:]
+        ok = _near_one(first, left, regs, n)
+        yield np.full(int(ok.sum()), first), left[ok]
+        groups.append(np.append(first, left[ok]))
+        left = left[~ok]
+    if len(groups) > 1:
+        owner = np.concatenate([np.full(len(g), k) for k, g in enumerate(groups)])
+        order = np.concatenate(groups)
+        forest = buckets.Forest(len(groups))
+        for k, g in enumerate(groups[:-1]):
+            for i in g:  # rows of pivots that aren't connected with this one yet
+                roots = np.array([forest.root(x) for x in range(len(groups))])
+                others = (owner > k) & (roots[owner] != roots[k])
+                if not others.any():
+                    break
+                ok = _near_one(i, order[others], regs, n)
+                at, first = np.unique(roots[owner[others][ok]], return_index=True)
+                yield np.full(len(at), i), order[others][ok][first]
+                for x in at:
+                    forest.join(int(x), forest.root(k))
+
+
+def settle(members: DataFrame) -> DataFrame:
+    """Links (a, b) that connect rows of different components, from (bucket, lo, hi, own, id, component, text).
+
+    Each two rows of a task whose components no link has connected yet are estimated, and confirmed on full sets if they
+    may reach the threshold, the likeliest first.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in buckets.whole_groups(batches, 2 * SETTLE_BLOCK):
+            ids, component = table.column("id").to_numpy(), table.column("component").to_numpy()
+            found = []
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                sets = [shingles(x or b"") for x in table.column("text").slice(a, b - a).cast(pa.binary()).to_pylist()]
+                regs, n = np.stack([sketch(x) for x in sets]), np.array([len(x) for x in sets])
+                _, part = np.unique(component[a:b], return_inverse=True)
+                forest = buckets.Forest(int(part.max()) + 1)
+                pairs = []
+                for i in range(b - a - 1):
+                    j = np.flatnonzero(part[i + 1 :] != part[i]) + i + 1
+                    j = j[_near_one(i, j, regs, n)]
+                    pairs.extend(zip(jaccard(regs[i][None], regs[j], n[i], n[j])[0].tolist(), [i] * len(j), j.tolist(), strict=True))
+                for _, i, j in sorted(pairs, reverse=True):
+                    if forest.root(part[i]) != forest.root(part[j]) and _linked(sets[i], sets[j]):
+                        forest.join(int(part[i]), int(part[j]))
+                        found.append((ids[a + i], ids[a + j]))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
+
+    return buckets.together(members.select("bucket", "lo", "hi", "own", "id", "component", "text")).mapInArrow(run, "a long, b long")
+
+
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= THRESHOLD * (len(x) + len(y) - both)
 
 
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -235,9 +286,7 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             for x, y in zip(common.bytes_of(batch.column(2)), common.bytes_of(batch.column(3)), strict=True):
                 if x != last[0]:
                     last = (x, shingles(x))
-                other = shingles(y)
-                both = len(np.intersect1d(last[1], other, assume_unique=True))
-                ok.append(both > 0 and 100 * both >= THRESHOLD * (len(last[1]) + len(other) - both))
+                ok.append(_linked(last[1], shingles(y)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     common.long_rows(docs.sparkSession)
@@ -270,13 +319,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tied = keyed.join(again, "doc_id", "left_semi").join(nodes.select("print", "node"), "print").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     links = links.unionByName(tied)
     found = components(links)
+    # Large buckets whose members aren't one component yet: their members meet once more, in clusters of all near pairs.
     large = members.where(F.col("n") > buckets.SMALL)
     apart = large.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = apart.groupBy("bucket", "lo", "hi").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").drop("mixed")
-    rest = common.materialize(apart.join(mixed, ["bucket", "lo", "hi"]), "apart")
+    rest = common.materialize(apart.join(mixed, ["bucket", "lo", "hi"]).select("id", "component").distinct(), "apart")
     if rest.take(1):
-        more = propose(rest.join(payload, "id"), parts=True).join(pairs, ["a", "b"], "left_anti")
-        links = links.unionByName(common.materialize(confirm(common.materialize(more, "pairs"), docs), "confirmed"))
+        near = components(pairs.unionByName(links)).select(F.col("node").alias("id"), F.col("component").alias("bucket"))
+        met = common.materialize(buckets.blocks(rest.join(near, "id"), SETTLE_BLOCK), "met")
+        text = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+        links = links.unionByName(common.materialize(settle(met.join(common.semi_join(text, met.select("id"), "id"), "id")), "settled"))
         found = components(links)
     named = nodes.select("print", "node").join(found, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
     own = drawn.join(named, "print", "left")
