@@ -1 +1,5 @@
+from tidemark.engine.api import Engine
+from tidemark.engine.catalog import Catalog
+from tidemark.engine.session import session
 
+__all__ = ["Catalog", "Engine", "session"]
