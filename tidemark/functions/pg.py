@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.engine.catalog import TYPE_OIDS
 
@@ -84,7 +85,7 @@ def parse_ident(name: str) -> list[str]:
     return [p[1:-1].replace('""', '"') if p.startswith('"') else p.strip().lower() for p in parts]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def parse_ident_column(names: pd.Series) -> pd.Series:
     return names.map(lambda x: None if x is None else parse_ident(x))
 
@@ -131,7 +132,7 @@ def _contains(selector: str | None, value: str | None) -> bool | None:
         return None
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def json_contains_any(selector: pd.Series, value: pd.Series) -> pd.Series:
     """For selectors that differ by row; by Arrow batches."""
     return pd.Series([_contains(s, v) for s, v in zip(selector, value, strict=True)], dtype="object")
@@ -162,6 +163,5 @@ def register(spark: SparkSession) -> None:
     for name, body in {
         "array_to_string(arr STRING, d STRING) RETURNS STRING": "coalesce(array_join(split(regexp_replace(trim(arr), '^\\\\{|\\\\}$', ''), ','), d), '')",
         "string_to_array(s STRING, d STRING) RETURNS ARRAY<STRING>": "if(d = '', split(s, ''), split(s, concat('\\\\Q', d, '\\\\E')))",
-        "version() RETURNS STRING": "'PostgreSQL 14.0 (tidemark)'",
     }.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name} RETURN {body}")

@@ -12,11 +12,12 @@ from tidemark.operators import ranges, sync
 from tidemark.plans import inputs as i
 from tidemark.sources import tables
 
-VAL = F.col("val").cast("double").alias("val")
+#: The value as a double, for results.
+VAL = "CAST(val AS DOUBLE) AS val"
 
 
 def changes_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.changes_scan(i.changes(spark, sf_dir), 1, 17).select("tbl", "pk", "cid", VAL, "col_version", "db_version", "seq", "site_id", "cl")
+    return tables.changes_scan(i.changes(spark, sf_dir), 1, 17).selectExpr("tbl", "pk", "cid", VAL, "col_version", "db_version", "seq", "site_id", "cl")
 
 
 def sample_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def sentinel_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lww_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.lww_merge(i.changes(spark, sf_dir).select("tbl", "pk", "cid", "val", "col_version", "site_id")).select("pk", "cid", VAL, "col_version", "site_id")
+    return ops.lww_merge(i.changes(spark, sf_dir).select("tbl", "pk", "cid", "val", "col_version", "site_id")).selectExpr("pk", "cid", VAL, "col_version", "site_id")
 
 
 def causal_length_live(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,13 +81,13 @@ def buffer_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def apply_buffered(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = i.changes(spark, sf_dir)
     merged = log.where("db_version % 2 = 0").select("tbl", "pk", "cid", "val", "col_version", "site_id")
-    return ops.apply_buffered(merged, i.received(spark, sf_dir).where("db_version % 2 = 1")).select("pk", "cid", VAL, "col_version", "site_id")
+    return ops.apply_buffered(merged, i.received(spark, sf_dir).where("db_version % 2 = 1")).selectExpr("pk", "cid", VAL, "col_version", "site_id")
 
 
 def impactful_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = i.changes(spark, sf_dir).select("tbl", "pk", "cid", "val", "col_version", "site_id", "event_id")
     before = ops.lww_merge(log.where("event_id % 4 <> 1").drop("event_id"))
-    return ops.impactful(before, log.where("event_id % 4 = 1").drop("event_id")).select("pk", "cid", VAL, "col_version", "site_id")
+    return ops.impactful(before, log.where("event_id % 4 = 1").drop("event_id")).selectExpr("pk", "cid", VAL, "col_version", "site_id")
 
 
 def fully_buffered(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1 +1 @@
-
+"""Live queries and notifications on Structured Streaming."""
