@@ -197,3 +197,11 @@ def test_search_finds_the_nearest(spark):
     assert len(equal) > 3 and equal == list(range(1501, 1501 + len(equal)))  # ties to the smaller id
     assert [r[1] for r in found[2060]] == [2061]
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+def test_vectors_of_repeated_and_null_ids(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(5, a, 1), (5, b, 1), (2, a, 1), (9, [0.05, 1.0, 0.0], 1), (2, a, 1), (None, a, 1), (7, c, 1), (8, c, 2)]
+    got = rabitq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id or -1, r.n_links, r.component_id or -1) for r in got) == [(-1, 0, -1), (2, 1, 2), (2, 1, 2), (5, 1, 2), (5, 1, 2), (7, 0, 7), (8, 0, 8), (9, 1, 2)]
+    assert all(r.kept for r in got if r.vec_id is None)

@@ -20,10 +20,7 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a temporary one."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file://{tempfile.gettempdir()}/tidemark-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    return (at or f"file://{tempfile.gettempdir()}/tidemark-checkpoints").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

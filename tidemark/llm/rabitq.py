@@ -197,15 +197,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     drawn = common.materialize(codes(vectors, bits, bands), "codes")
     live = drawn.where("print is not null and vec_id is not null")
     first = live.groupBy("print").agg(F.min("vec_id").alias("node"), F.count_distinct("vec_id").alias("copies"), F.first(F.struct("label", "dim", "code", "factor", "vector")).alias("of"))
-    # A node is named by its print's first 8 bytes, as equal vec_ids may stand for different vectors.
-    nodes = common.materialize(first.select("print", "node", "copies", F.conv(F.substring(F.hex("print"), 1, 15), 16, 10).cast("long").alias("id"), "of.*"), "nodes")
+    # A node is named by its smallest vec_id, or, where rows of one vec_id differ, by a hash below 0.
+    again = live.groupBy("vec_id").agg(F.count_distinct("print").alias("prints")).where("prints > 1").select("vec_id", F.lit(True).alias("several"))
+    hashed = -F.conv(F.substring(F.hex("print"), 1, 15), 16, 10).cast("long") - 1
+    named = first.join(again.withColumnRenamed("vec_id", "node"), "node", "left").withColumn("id", F.when(F.col("several"), hashed).otherwise(F.col("node")))
+    nodes = common.materialize(named.select("print", "node", "copies", "id", "of.*"), "nodes")
     members = buckets.blocks(band_rows(nodes, bits, bands))
     payload = nodes.select("id", "copies", "code", "factor", "dim", "vector")
     found = common.materialize(compare(members.join(payload, "id"), bits, bands, threshold), "links")
     counts = found.groupBy("id").agg(F.sum("n_links").alias("others"))
-    again = live.groupBy("vec_id").agg(F.count_distinct("print").alias("prints")).where("prints > 1").select("vec_id")
-    # Links between nodes, and from a node to the vec_ids of its rows where a vec_id has several nodes.
-    tied = live.join(again, "vec_id", "left_semi").join(nodes.select("print", "id"), "print").select(F.col("id").alias("a"), (-F.col("vec_id") - 1).alias("b"))
+    # Nodes that hold rows of one vec_id belong together.
+    shared = live.join(again, "vec_id", "left_semi").join(nodes.select("print", "id"), "print").select("vec_id", "id")
+    tied = shared.join(shared.groupBy("vec_id").agg(F.min("id").alias("b")), "vec_id").select(F.col("id").alias("a"), "b")
     links = found.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(tied).distinct()
     groups = components(links).join(nodes.select(F.col("id").alias("node_id"), F.col("node").alias("least")), F.col("node") == F.col("node_id"))
     least = groups.groupBy("component").agg(F.min("least").alias("component_id"))
