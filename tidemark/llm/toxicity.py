@@ -194,7 +194,7 @@ def with_scores(docs: DataFrame, weights: dict[int, float], intercept: float, co
                 if len(known) > KNOWN_WORDS:
                     known.clear()
                 words = set(text.lower().split())
-                for w in words - known.keys():
+                for w in [w for w in words if w not in known]:
                     known[w] = frozenset(f for f in _features[w] if f in table)
                 z.append(b + math.fsum(map(table.__getitem__, frozenset().union(*map(known.__getitem__, words)))))
             score = 1 / (1 + np.exp(-np.clip(np.array(z, np.float64), -700, 700)))
