@@ -175,7 +175,7 @@ def rolling_min(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _samples(spark, sf_dir).select("user_id", "day", F.round(metrics.ema(F.col("samples")), 6).alias("ema"))
+    return _samples(spark, sf_dir).select("user_id", "day", metrics.ema(F.col("samples")).alias("ema"))
 
 
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,7 +256,7 @@ ORACLES: dict[str, str] = {
     "ring_bucket": f"SELECT event_id, CAST({_RING.format(v='value * 3')} AS BIGINT) AS ring FROM events",
     "ring_hysteresis": _FOLD.format(first=f"CAST({_RING.format(v='value')} AS BIGINT)", step="CASE WHEN s.value >= ([6, 15, 50, 100, 200, 300])[f.x + 1] + 2 AND f.x < 5 THEN f.x + 1 WHEN s.value < ([0, 6, 15, 50, 100, 200])[f.x + 1] - 1 AND f.x > 0 THEN f.x - 1 ELSE f.x END") + " SELECT user_id, day, x AS ring FROM f WHERE k = m",
     "rolling_min": "SELECT event_id, min(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS rolling_min FROM events",
-    "ema": _FOLD.format(first="value", step="f.x * (1 - CAST(0.3 AS DOUBLE)) + s.value * CAST(0.3 AS DOUBLE)") + " SELECT user_id, day, round(x, 6) AS ema FROM f WHERE k = m",
+    "ema": _FOLD.format(first="value", step="f.x * (1 - CAST(0.3 AS DOUBLE)) + s.value * CAST(0.3 AS DOUBLE)") + " SELECT user_id, day, x AS ema FROM f WHERE k = m",
     "stats_by_state": f"WITH {i.VERSIONS}, {i.OUR_PARTIAL} SELECT CASE WHEN actor = 1 THEN 'Suspect' WHEN actor < 3 THEN 'Alive' ELSE 'orphan' END AS state, count(*) AS n, min(version) AS oldest FROM our_partial GROUP BY 1",
     "gap_stats_by_state": f"""WITH {i.VERSIONS}, {i.OURS} SELECT CASE WHEN actor = 1 THEN 'Suspect' WHEN actor < 3 THEN 'Alive' ELSE 'orphan' END AS state, CAST(sum("end" - "start" + 1) AS BIGINT) AS missing FROM ({changelog._gaps('ours')}) g GROUP BY 1""",
 }

@@ -33,7 +33,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "agg_basic": "SELECT COUNT(*) AS n, COUNT(nullif(n_regionkey, 1)) AS n_some, CAST(SUM(n_nationkey) AS BIGINT) AS total, MIN(n_name) AS first_name, MAX(n_name) AS last_name FROM nation",
     "agg_group": "SELECT l_returnflag, l_linestatus, COUNT(*) AS n, CAST(SUM(CAST(l_quantity AS DECIMAL(12,2))) AS DOUBLE) AS quantity, CAST(SUM(CAST(l_extendedprice AS DECIMAL(14,2)) * CAST(1 - l_discount AS DECIMAL(4,2))) AS DOUBLE) AS revenue FROM lineitem GROUP BY l_returnflag, l_linestatus",
     "agg_distinct": "SELECT l_returnflag, COUNT(DISTINCT l_suppkey) AS suppliers, COUNT(DISTINCT l_partkey) AS parts FROM (SELECT DISTINCT l_returnflag, l_suppkey, l_partkey FROM lineitem) t GROUP BY l_returnflag",
-    "agg_having": "SELECT o_custkey, COUNT(*) AS n, ROUND(CAST(AVG(CAST(o_totalprice AS DECIMAL(14,2))) AS DOUBLE), 2) AS mean_price FROM orders GROUP BY o_custkey HAVING COUNT(*) > 12",
+    "agg_having": "SELECT o_custkey, COUNT(*) AS n, CAST(SUM(CAST(o_totalprice AS DECIMAL(14,2))) AS DOUBLE) / COUNT(*) AS mean_price FROM orders GROUP BY o_custkey HAVING COUNT(*) > 12 AND AVG(o_totalprice) > 100000",
     "agg_filter": "SELECT o_orderpriority, COUNT(*) FILTER (WHERE o_orderstatus = 'F') AS done, COALESCE(CAST(SUM(CAST(o_totalprice AS DECIMAL(14,2))) FILTER (WHERE o_orderstatus = 'P') AS DOUBLE), 0.0) AS pending FROM orders GROUP BY o_orderpriority",
     "agg_rollup": "SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
     "win_rank": "SELECT s_suppkey, CAST(RANK() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS BIGINT) AS r, CAST(DENSE_RANK() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal % 10, s_suppkey) AS BIGINT) AS d, CAST(ROW_NUMBER() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS BIGINT) AS n FROM supplier",
