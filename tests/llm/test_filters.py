@@ -1,6 +1,5 @@
 """Toxicity, languages, archives and the pipeline."""
 
-import hashlib
 import io
 import random
 import struct
@@ -169,7 +168,6 @@ def test_pipeline_equals_brute_force(spark, sf_dir):
     group = brute_documents([(d.doc_id, d.text) for d in kept])
     want = {d.doc_id for d in kept if group[d.doc_id] == d.doc_id}
     assert {r.doc_id for r in rows} == want and 0 < len(want) < len(docs)
-    assert hashlib.sha256(str(sorted((r.doc_id, r.piece) for r in rows)).encode()).hexdigest()
     ends = {}
     for r in rows:
         ends.setdefault(r.sequence_id, []).append((r.offset, r.length))
