@@ -13,7 +13,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +25,7 @@ FEATURES, MIN_DOCS = 4000, 3
 SWAP_PENALTY, RIDGE = 1.0, 2e-5
 ROUNDS = 400
 KNOWN_WORDS = 100_000
-BEGINNINGS = range(3, 9)
+BEGINNINGS, END = range(3, 9), "$"
 SIGNS = ".,;:!?\"'()[]{}<>*_-#~`«»“”„’‘…"
 #: Terms that name a group, each with the one that takes its place.
 IDENTITY_TERMS = {
@@ -37,14 +36,19 @@ IDENTITY_TERMS = {
 }
 
 
+def features_of(raw: str) -> tuple[str, ...]:
+    """Features of a raw word, in lower case without the signs around it: the word, with a mark at its end, and its beginnings."""
+    word = raw.strip(SIGNS)
+    return (word + END, *[word[:k] for k in BEGINNINGS if k <= len(word)]) if word else ()
+
+
 class _Features(dict):
-    """Features of a raw word, in lower case without the signs around it: a 60-bit hash of it, and of its beginnings."""
+    """Features of raw words that have been met."""
 
-    def __missing__(self, raw: str) -> tuple[int, ...]:
+    def __missing__(self, raw: str) -> tuple[str, ...]:
         if len(self) >= KNOWN_WORDS:
             self.clear()
-        word = raw.strip(SIGNS)
-        out = tuple(xxhash.xxh3_64_intdigest(x) >> 4 for x in (word + "$", *(word[:k] for k in BEGINNINGS if k <= len(word)))) if word else ()
+        out = features_of(raw)
         if len(raw) <= 64:
             self[raw] = out
         return out
@@ -53,12 +57,12 @@ class _Features(dict):
 _features = _Features()
 
 
-def features(text: str) -> set[int]:
+def features(text: str) -> set[str]:
     """The distinct features of a whole text."""
     return set().union(*map(_features.__getitem__, set(text.lower().split())))
 
 
-def swapped(text: str, terms: dict[str, str]) -> set[int] | None:
+def swapped(text: str, terms: dict[str, str]) -> set[str] | None:
     """The features after swapping identity terms; None if there are none."""
     words = [w.strip(SIGNS) for w in text.lower().split()]
     if not any(w in terms for w in words):
@@ -79,8 +83,9 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFr
     return text.join(F.broadcast(known), "doc_id").select("text", "toxic")
 
 
-def telling(learnt: DataFrame, n_toxic: int, n_clean: int, most: int = FEATURES) -> np.ndarray:
-    """The features whose presence tells most about the label: log ratio of their shares, times the root of their documents."""
+def telling(learnt: DataFrame, n_toxic: int, n_clean: int, most: int = FEATURES, terms: dict[str, str] = IDENTITY_TERMS) -> list[str]:
+    """The features whose presence tells most about the label - log ratio of their shares, times the root of their
+    documents - and those of the identity terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: tuple[Counter, Counter] = (Counter(), Counter())
@@ -88,46 +93,40 @@ def telling(learnt: DataFrame, n_toxic: int, n_clean: int, most: int = FEATURES)
             for text, toxic in zip(common.texts_of(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 found[toxic].update(features(text))
         names = list(found[0].keys() | found[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *(pa.array([c[f] for f in names], pa.int64()) for c in found)], ["feature", "clean", "toxic"])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[f] for f in names], pa.int64()) for c in found)], ["feature", "clean", "toxic"])
 
-    counts = learnt.mapInArrow(run, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = learnt.mapInArrow(run, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     share = (F.col("toxic") + 0.5) / (n_toxic + 1) / ((F.col("clean") + 0.5) / (n_clean + 1))
     told = F.abs(F.log(share)) * F.sqrt(F.col("clean") + F.col("toxic"))
     best = counts.where(F.col("clean") + F.col("toxic") >= MIN_DOCS).select("feature", told.alias("told")).orderBy(F.desc("told"), "feature").limit(most)
-    return np.sort(best.select("feature").toArrow()["feature"].to_numpy())
+    named = set().union(*(features(t) for t in terms))
+    return sorted(named.union(r["feature"] for r in best.select("feature").collect()))
 
 
-def examples(learnt: DataFrame, columns: np.ndarray, terms: dict[str, str] = IDENTITY_TERMS) -> DataFrame:
-    """(toxic, features, swapped features or null) of each text, of the columns and what the swaps change."""
-    chosen = learnt.sparkSession.sparkContext.broadcast(set(columns.tolist()))
+def examples(learnt: DataFrame, columns: list[str], terms: dict[str, str] = IDENTITY_TERMS) -> DataFrame:
+    """(toxic, places in columns of the text's features, of those after swapping or null) of each text."""
+    chosen = learnt.sparkSession.sparkContext.broadcast({f: n for n, f in enumerate(columns)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = chosen.value
         for batch in batches:
             own, other = [], []
             for text in common.texts_of(batch.column(0)):
-                words, swaps = features(text), swapped(text, terms)
-                more = words ^ swaps if swaps is not None else set()
-                own.append(sorted(words & (chosen.value | more)))
-                other.append(None if swaps is None else sorted(swaps & (chosen.value | more)))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(own, pa.list_(pa.int64())), pa.array(other, pa.list_(pa.int64()))], ["toxic", "words", "swapped"])
+                swaps = swapped(text, terms)
+                own.append(sorted(place[f] for f in features(text) & place.keys()))
+                other.append(None if swaps is None else sorted(place[f] for f in swaps & place.keys()))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(own, pa.list_(pa.int32())), pa.array(other, pa.list_(pa.int32()))], ["toxic", "words", "swapped"])
 
-    return learnt.mapInArrow(run, "toxic int, words array<long>, swapped array<long>")
+    return learnt.mapInArrow(run, "toxic int, words array<int>, swapped array<int>")
 
 
 class _Rows:
-    """Sparse rows of 0 and 1."""
-
-    def __init__(self, rows: list[np.ndarray], columns: np.ndarray):
-        sizes = []
-        cols = []
-        for r in rows:
-            at = np.searchsorted(columns, r)
-            at = at[(at < len(columns)) & (columns[np.minimum(at, len(columns) - 1)] == r)] if len(columns) else at[:0]
-            cols.append(at)
-            sizes.append(len(at))
-        self.n, self.width = len(rows), len(columns)
-        self.cols = np.concatenate(cols) if cols else np.zeros(0, np.int64)
-        self.row = np.repeat(np.arange(self.n), sizes)
+    """Sparse rows of 0 and 1, as places of the ones."""
+
+    def __init__(self, rows: list[np.ndarray], width: int):
+        self.n, self.width = len(rows), width
+        self.cols = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        self.row = np.repeat(np.arange(self.n), [len(r) for r in rows])
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.cols], self.n)
@@ -136,15 +135,13 @@ class _Rows:
         return np.bincount(self.cols, g[self.row], self.width)
 
 
-def fit(toxic: np.ndarray, words: list[np.ndarray], swaps: list[np.ndarray | None], columns: np.ndarray, penalty: float = SWAP_PENALTY) -> tuple[dict[int, float], float]:
-    """Weights of the columns and of what swaps change, and the intercept."""
+def fit(toxic: np.ndarray, words: list[np.ndarray], swaps: list[np.ndarray | None], width: int, penalty: float = SWAP_PENALTY) -> tuple[np.ndarray, float]:
+    """Weights of the features and the intercept, by Adam on the mean logistic loss, ridge and swap penalty."""
     y = np.asarray(toxic, np.float64)
     share = (y.sum() + 0.5) / (len(y) + 1)
     pairs = [k for k, s in enumerate(swaps) if s is not None]
-    changed = np.unique(np.concatenate([np.setxor1d(words[k], swaps[k]) for k in pairs])) if pairs else columns[:0]
-    columns = np.union1d(columns, changed)
-    x, x0, x1 = _Rows(words, columns), _Rows([words[k] for k in pairs], columns), _Rows([swaps[k] for k in pairs], columns)
-    w, b = np.zeros(len(columns)), float(np.log(share / (1 - share)))
+    x, x0, x1 = _Rows(words, width), _Rows([words[k] for k in pairs], width), _Rows([swaps[k] for k in pairs], width)
+    w, b = np.zeros(width), float(np.log(share / (1 - share)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, ROUNDS + 1):
         err = (1 / (1 + np.exp(-np.clip(x.dot(w) + b, -40, 40))) - y) / len(y)
@@ -157,10 +154,10 @@ def fit(toxic: np.ndarray, words: list[np.ndarray], swaps: list[np.ndarray | Non
         rate = 0.1 * (1 - t / (ROUNDS + 1))
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-9)
-    return dict(zip(columns.tolist(), w.tolist(), strict=True)), float(b)
+    return w, float(b)
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, penalty: float = SWAP_PENALTY) -> tuple[dict[int, float], float]:
+def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, penalty: float = SWAP_PENALTY) -> tuple[dict[str, float], float]:
     """Fit on a bounded sample. Without both classes there are no weights, and the score is the class's share.
 
     The rows are put in order, so that the fit doesn't depend on how they are dealt.
@@ -176,10 +173,11 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, penalty: f
     swaps = [None if x is None else np.array(x, np.int64) for x in table["swapped"].to_pylist()]
     toxic = table["toxic"].to_numpy()
     order = sorted(range(len(words)), key=lambda k: (toxic[k], words[k].tobytes()))
-    return fit(toxic[order], [words[k] for k in order], [swaps[k] for k in order], columns, penalty)
+    weights, intercept = fit(toxic[order], [words[k] for k in order], [swaps[k] for k in order], len(columns), penalty)
+    return dict(zip(columns, weights.tolist(), strict=True)), intercept
 
 
-def with_scores(docs: DataFrame, weights: dict[int, float], intercept: float, columns: list[str]) -> DataFrame:
+def with_scores(docs: DataFrame, weights: dict[str, float], intercept: float, columns: list[str]) -> DataFrame:
     """The columns named, and score; each text is scored whole. Null and empty texts score by the intercept alone."""
     common.long_rows(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast((weights, intercept))
@@ -187,16 +185,24 @@ def with_scores(docs: DataFrame, weights: dict[int, float], intercept: float, co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, b = model.value
-        known: dict[str, frozenset[int]] = {}  # of each word the features that have a weight
+        none: frozenset[str] = frozenset()
+        known: dict[str, frozenset[str]] = {}  # of each word the features that have a weight
         for batch in batches:
             z = []
             for text in common.texts_of(batch.column(batch.num_columns - 1)):
-                if len(known) > KNOWN_WORDS:
+                if len(known) > 3 * KNOWN_WORDS:
                     known.clear()
                 words = set(text.lower().split())
-                for w in [w for w in words if w not in known]:
-                    known[w] = frozenset(f for f in _features[w] if f in table)
-                z.append(b + math.fsum(map(table.__getitem__, frozenset().union(*map(known.__getitem__, words)))))
+                found = set()
+                for w in words:
+                    hits = known.get(w)
+                    if hits is None:
+                        hits = frozenset(f for f in features_of(w) if f in table) or none
+                        if len(w) <= 64:
+                            known[w] = hits
+                    if hits:
+                        found |= hits
+                z.append(b + math.fsum(map(table.__getitem__, found)))
             score = 1 / (1 + np.exp(-np.clip(np.array(z, np.float64), -700, 700)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64())], [*batch.schema.names[:-1], "score"])
 
