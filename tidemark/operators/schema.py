@@ -77,7 +77,7 @@ def parse(sql: str) -> dict[str, TableSpec]:
 
 
 def _internal(name: str) -> bool:
-    return "crsql" in name or "sqlite" in name or name.startswith("__")
+    return name.startswith(("sqlite_", "__"))
 
 
 def _name(word: str) -> str:
