@@ -78,7 +78,12 @@ def capture(old: DataFrame, new: DataFrame, key: list[str], columns: list[str],
     gone = F.when(F.col("_is").isNull(), F.struct(F.lit(SENTINEL).alias("cid"), F.lit(None).cast("string").alias("val"), F.lit(2).alias("cl")))
     changed = both.select(*key, F.inline(F.filter(F.array(*cells, gone), lambda x: x.isNotNull())))
     pk = F.to_json(F.struct(*key)) if len(key) > 1 else F.col(key[0])
-    return with_numbers(changed.select(pk.alias("pk"), "cid", "val", "cl"), ["pk", "cid"], "seq", first=0).withColumns({"tbl": F.lit(tbl), "site_id": F.lit(site_id), "db_version": F.lit(db_version)})
+    return with_numbers(settled(changed.select(pk.alias("pk"), "cid", "val", "cl")), ["pk", "cid"], "seq", first=0).withColumns({"tbl": F.lit(tbl), "site_id": F.lit(site_id), "db_version": F.lit(db_version)})
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A frame that is read several times, computed once: a checkpoint, if the session has a shared folder for them."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
 
 
 def with_numbers(df: DataFrame, order: list[str], name: str, first: int = 1, buckets: int = 64) -> DataFrame:

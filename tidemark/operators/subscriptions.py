@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.changes import with_numbers
+from tidemark.operators.changes import settled, with_numbers
 
 #: Changes that the log keeps before its newest.
 LOG_KEEPS = 500
@@ -61,7 +61,7 @@ def changes(stored: DataFrame, new: DataFrame, key: list[str], last_change: int
     stored: the materialised result with row_id. Upserts come before deletes, each in the order of the key; inserted rows
     get row ids after the largest so far.
     """
-    moved = difference(stored.drop("row_id"), new, key)
+    moved = settled(difference(stored.drop("row_id"), new, key))
     held = stored.select(*key, F.col("row_id").alias("_row"))
     last_row = stored.agg(F.coalesce(F.max("row_id"), F.lit(0))).first()[0]
     inserted = with_numbers(moved.where("change_type = 'insert'").select(*key), key, "_fresh", first=last_row + 1)

@@ -168,13 +168,8 @@ def need_len(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.need_len(_states(spark, sf_dir)[0])
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """A small frame that is read several times, computed once if the session has a folder for checkpoints."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
-
-
 def available_needs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mine, peer = map(_settled, _states(spark, sf_dir))
+    mine, peer = map(ops.settled, _states(spark, sf_dir))
     return sync.available_needs(mine, peer, F.lit(3))
 
 
