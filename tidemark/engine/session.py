@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 #: Settings for any size; partition sizes are left to adaptive execution.
@@ -20,3 +25,21 @@ def session(name: str = "tidemark", master: str | None = None, **more: str) -> S
     """A session; settings given here win, those of spark-submit win over the defaults."""
     builder = SparkSession.builder.appName(name).config(map=SETTINGS | more)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application, unless their Python finds it by PYTHONPATH or the working folder."""
+    root = Path(__file__).resolve().parents[2]
+    known = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
+    app = spark.sparkContext.applicationId
+    if app in _shipped or any(p and Path(p).resolve() == root for p in known):
+        return
+    path = Path(tempfile.mkdtemp()) / "tidemark.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted((root / "tidemark").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    spark.sparkContext.addPyFile(str(path))
+    _shipped.add(app)
