@@ -199,6 +199,25 @@ def test_search_finds_the_nearest(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def found_by(frame):
+    found = {}
+    for r in ann.search(frame).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    return found
+
+
+def test_search_finds_the_nearest_in_hot_groups_and_among_unequal_norms(spark):
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(rng.standard_normal((6000, 64)))
+    for g in range(2):
+        x[g * 1900 : (g + 1) * 1900] = unit(unit(rng.standard_normal(64)) + 0.0125 * rng.standard_normal((1900, 64)))
+    for vectors in (x, x * np.exp(rng.standard_normal((6000, 1)))):
+        rows = [(int(n), v.tolist()) for n, v in zip(rng.permutation(6000), vectors, strict=True)]
+        want = {q: {n for _, n in best} for q, best in brute_search(rows).items()}
+        assert found_by(spark.createDataFrame(rows, "vec_id long, embedding array<double>")) == want
+
+
 def test_vectors_of_repeated_and_null_ids(spark):
     a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
     rows = [(5, a, 1), (5, b, 1), (2, a, 1), (9, [0.05, 1.0, 0.0], 1), (2, a, 1), (None, a, 1), (7, c, 1), (8, c, 2)]

@@ -7,6 +7,10 @@ estimated probability that they hold its neighbours - a neighbour's projection i
 times the usual likeness, with a mean and width measured on a sample - until that reaches a target. The candidates of all
 tables are merged and ranked by exact inner products in double precision.
 
+The estimate only says where to look first. Every vector is in one bucket of the first table, and a bucket's products with
+a query are bounded by its ball and its largest norm: the query then visits each bucket of that table left out so far whose
+bound reaches the k-th product found, or all of them while it has found fewer than k. So no neighbour is missed.
+
 Buckets are compared in blocks of bounded size, the queries streaming past; what a task reports is one list a query.
 """
 
@@ -25,7 +29,7 @@ from tidemark.llm import common
 from tidemark.llm.rabitq import vectors_of
 
 TABLES, PROJECTIONS, WIDTH = 2, 4, 1.5
-#: Estimated share of the neighbours in the buckets that a query visits, over all tables.
+#: Estimated share of the neighbours in the buckets that a query visits first, over all tables.
 TARGET = 0.985
 #: Rows from which the usual likeness of neighbours is estimated: those of the smallest hashes.
 SAMPLE_ROWS = 2000
@@ -134,7 +138,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def search(vectors: DataFrame, query_ids: str = "vec_id % 20 = 0", k: int = 20, tables: int = TABLES, target: float = TARGET) -> DataFrame:
-    """The k nearest candidates found for each query: query_id, rank, vec_id, score.
+    """The k nearest candidates of each query, or all if they are fewer: query_id, rank, vec_id, score.
 
     Needs columns vec_id and embedding; others are ignored. Queries are the rows that `query_ids` selects, candidates
     all rows but those of the query's own vec_id; vectors of other lengths aren't compared. Nearest first, ties to the
@@ -150,13 +154,11 @@ def search(vectors: DataFrame, query_ids: str = "vec_id % 20 = 0", k: int = 20,
         found = one if found is None else found.unionByName(one)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    lists = found.groupBy("query_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
-    ranked = lists.select("query_id", F.posexplode(F.slice("found", 1, k)).alias("rank", "of"))
+    ranked = _merged(found, k).select("query_id", F.posexplode("found").alias("rank", "of"))
     return ranked.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("of.vec_id").alias("vec_id"), (-F.col("of.minus")).alias("score"))
 
 
 def _search(rows: DataFrame, dim: int, n: int, bound: float, query_ids: str, k: int, tables: int, target: float) -> DataFrame:
-    spark = rows.sparkSession
     hashes = Hashes(dim, bound, tables, PROJECTIONS)
     sample = _matrix(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("vector").toArrow()["vector"].combine_chunks())
     usual = usual_neighbour(sample, hashes, n, k)
@@ -175,20 +177,48 @@ def _search(rows: DataFrame, dim: int, n: int, bound: float, query_ids: str, k:
     blocks = {name: -(-size // BLOCK) for name, size in sizes.items()}
     names = [np.array(sorted(x >> 4 for x in sizes if x & 15 == t), np.int64) for t in range(tables)]
 
+    centres = sample_centres(sample, hashes, names[0])
+
+    def extents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = np.zeros((2, len(names[0])))  # of each bucket of the first table: distance from the centre, norm
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column(0))
+                place = np.searchsorted(names[0], hashes.buckets(x)[:, 0])
+                np.maximum.at(most[0], place, np.linalg.norm(x - centres[place], axis=1))
+                np.maximum.at(most[1], place, np.linalg.norm(x, axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(names[0]))), pa.array(most[0]), pa.array(most[1])], ["place", "radius", "norm"])
+
+    measured = rows.select("vector").mapInArrow(extents, "place long, radius double, norm double").groupBy("place").agg(F.max("radius"), F.max("norm")).collect()
+    radii, norms = np.array([r[1:] for r in sorted(measured)]).reshape(-1, 2).T
+
+    def asked(batch: pa.RecordBatch, t: int, row: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+        name = names[t][place] << 4 | t
+        times = np.array([blocks[x] for x in name.tolist()], np.int64)
+        block = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        at = pa.array(np.repeat(row, times), pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.repeat(name, times), pa.int64()), pa.array(block.astype(np.int32)), pa.array(np.ones(len(block), np.int8))], ["id", "vector", "name", "block", "kind"])
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, whole.num_rows, 64):
                 batch = whole.slice(a, 64)
                 q = _matrix(batch.column(1))
                 for t in range(tables):
-                    row, place = hashes.visits(q, t, names[t], usual, share)
-                    name = names[t][place] << 4 | t
-                    times = np.array([blocks[x] for x in name.tolist()], np.int64)
-                    block = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                    at = pa.array(np.repeat(row, times))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.repeat(name, times)), pa.array(block.astype(np.int32)), pa.array(np.ones(len(block), np.int8))], ["id", "vector", "name", "block", "kind"])
-
-    probes = rows.where(query_ids).select("vec_id", "vector").distinct().mapInArrow(probe, "id long, vector binary, name long, block int, kind byte")
+                    yield asked(batch, t, *hashes.visits(q, t, names[t], usual, share))
+
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, 64):
+                batch = whole.slice(a, 64)
+                q, bar = _matrix(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)
+                # Not "at least the bar": a bound that isn't a number excludes nothing.
+                open_ = ~(reach(q, centres, radii, norms) < bar[:, None])
+                open_[hashes.visits(q, 0, names[0], usual, share)] = False
+                yield asked(batch, 0, *np.nonzero(open_))
+
+    asking = rows.where(query_ids).select("vec_id", "vector").distinct()
+    probing = "id long, vector binary, name long, block int, kind byte"
     parts = F.create_map(*[F.lit(x) for pair in blocks.items() if pair[1] > 1 for x in pair]) if max(blocks.values()) > 1 else None
     block = F.lit(0) if parts is None else F.coalesce(F.pmod(F.xxhash64("id"), F.element_at(parts, F.col("name"))).cast("int"), F.lit(0))
     base = hashed.select("id", "vector", "name", block.cast("int").alias("block"), F.lit(0).cast("byte").alias("kind"))
@@ -217,9 +247,33 @@ def _search(rows: DataFrame, dim: int, n: int, bound: float, query_ids: str, k:
                         yield lists.take()
         yield lists.take()
 
-    schema = "query_id long, found array<struct<minus: double, vec_id: long>>"
-    met = base.unionByName(probes).repartition("name", "block").sortWithinPartitions("name", "block", "kind", "id")
-    return met.select("id", "vector", "name", "block", "kind").mapInArrow(compare, schema)
+    def met(base: DataFrame, probes: DataFrame) -> DataFrame:
+        both = base.unionByName(probes).repartition("name", "block").sortWithinPartitions("name", "block", "kind", "id")
+        return both.select("id", "vector", "name", "block", "kind").mapInArrow(compare, "query_id long, found array<struct<minus: double, vec_id: long>>")
+
+    first = common.materialize(_merged(met(base, asking.mapInArrow(probe, probing)), k), "found")
+    bars = first.select(F.col("query_id").alias("vec_id"), (-F.get("found", F.lit(k - 1))["minus"]).alias("bar"))
+    barred = asking.join(bars, "vec_id", "left").select("vec_id", "vector", F.coalesce("bar", F.lit(float("-inf"))).alias("bar"))
+    return first.unionByName(met(base.where("name % 16 = 0"), barred.mapInArrow(widen, probing)))
+
+
+def _merged(found: DataFrame, k: int) -> DataFrame:
+    """One list a query: its k best."""
+    return found.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k).alias("found"))
+
+
+def sample_centres(sample: np.ndarray, hashes: Hashes, names: np.ndarray) -> np.ndarray:
+    """A centre for each bucket of the first table: the mean of the sampled vectors in it, 0 without any."""
+    place = np.searchsorted(names, hashes.buckets(sample)[:, 0])
+    total = np.zeros((len(names), sample.shape[1]))
+    np.add.at(total, place, sample)
+    return total / np.maximum(np.bincount(place, minlength=len(names)), 1)[:, None]
+
+
+def reach(q: np.ndarray, centres: np.ndarray, radii: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """What no product of a query with a vector of a bucket exceeds (queries x buckets), with room for rounding."""
+    length = np.linalg.norm(q, axis=1)[:, None]
+    return np.minimum(q @ centres.T + length * radii, length * norms) + 1e-9 * length * norms.max()
 
 
 class Lists:
