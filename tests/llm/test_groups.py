@@ -218,6 +218,17 @@ def test_search_finds_the_nearest_in_hot_groups_and_among_unequal_norms(spark):
         assert found_by(spark.createDataFrame(rows, "vec_id long, embedding array<double>")) == want
 
 
+def test_search_of_few_rows_finds_all_candidates(spark):
+    rng = np.random.default_rng(9)
+    few = [(n * 20, rng.standard_normal(64).tolist()) for n in range(12)]
+    some = [(n * 20, rng.standard_normal(48).tolist()) for n in range(100, 160)]
+    copies = [(n * 10, rng.standard_normal(32).tolist()) for n in range(400, 430)]
+    rows = few + some + copies
+    want = {q: {n for _, n in best} for q, best in brute_search(rows).items()}
+    assert {len(want[n]) for n, _ in few} == {11}
+    assert found_by(spark.createDataFrame(rows + 40 * copies[:1], "vec_id long, embedding array<double>")) == want
+
+
 def test_vectors_of_repeated_and_null_ids(spark):
     a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
     rows = [(5, a, 1), (5, b, 1), (2, a, 1), (9, [0.05, 1.0, 0.0], 1), (2, a, 1), (None, a, 1), (7, c, 1), (8, c, 2)]

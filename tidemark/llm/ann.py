@@ -146,7 +146,8 @@ def search(vectors: DataFrame, query_ids: str = "vec_id % 20 = 0", k: int = 20,
     with a null vec_id, take no part. Without queries or candidates there are no rows.
     """
     spark = vectors.sparkSession
-    rows = common.materialize(prepared(vectors), "vectors")
+    # Copies of a row within a bucket would take each other's candidates' places.
+    rows = common.materialize(prepared(vectors).distinct(), "vectors")
     known = {r["dim"]: (r["n"], r["bound"]) for r in rows.groupBy("dim").agg(F.count("*").alias("n"), F.max("norm").alias("bound")).collect()}
     found = None
     for dim, (n, bound) in sorted(known.items()):
