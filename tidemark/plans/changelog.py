@@ -125,6 +125,11 @@ def contains_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.contains_versions(asked, i.ours(spark, sf_dir))
 
 
+def contains_version_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """contains_version, asked of every version."""
+    return sync.contains_versions(i.versions(spark, sf_dir).select("actor", "version"), i.ours(spark, sf_dir))
+
+
 def contains_seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = i.versions(spark, sf_dir).where("version % 7 IN (2, 3)").selectExpr("actor", "version", "version % 4 AS start", "version % 4 + 2 AS end")
     return sync.contains_seqs(asked, i.our_partial(spark, sf_dir))
@@ -144,6 +149,13 @@ def range_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.overlaps(a, b, ["actor"], 16)
 
 
+def range_overlap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """range_overlap of all ranges."""
+    a = i.ours(spark, sf_dir).selectExpr("actor", "start", "start + 4 AS end")
+    b = i.theirs(spark, sf_dir).selectExpr("actor", "start", "start + start % 5 AS end")
+    return ranges.overlaps(a, b, ["actor"], 16)
+
+
 def chunk_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.chunks(ranges.coalesce(i.theirs(spark, sf_dir), ["actor"]), 4)
 
@@ -180,6 +192,13 @@ def serve_need(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.serve_need(asked, applied, i.our_partial(spark, sf_dir).select("actor", "version"), gaps)
 
 
+def serve_need_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """serve_need, asked from every version on, with all gaps."""
+    asked = i.versions(spark, sf_dir).selectExpr("actor", "version AS start", "version + 24 AS end")
+    applied = i.ours(spark, sf_dir).where("start % 5 <> 1").selectExpr("actor", "start AS version")
+    return sync.serve_need(asked, applied, i.our_partial(spark, sf_dir).select("actor", "version"), ranges.gaps(i.ours(spark, sf_dir), ["actor"]))
+
+
 def rank_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS actor", "c_custkey % 50 AS need", "c_custkey % 13 AS last_sync", "c_nationkey % 6 AS ring")
     return sync.rank_peers(customers, 700)
@@ -190,7 +209,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         lww_merge, changes_scan, sample_changes, capture_changes, sentinel_filter, causal_length_live, materialize_rows, chunk_changes, change_size, changeset_dedupe, route_complete, buffer_changes,
         apply_buffered, impactful_changes, fully_buffered, orphan_buffered, partial_merge, gaps_insert, version_gaps, collapse_ranges, contains_version, contains_seqs, known_actors, gap_total,
-        range_overlap, chunk_ranges, consistency_report, sync_state, need_len, available_needs, serve_need, rank_peers,
+        range_overlap, chunk_ranges, consistency_report, sync_state, need_len, available_needs, serve_need, rank_peers, contains_version_whole,
+        range_overlap_whole, serve_need_whole,
     )
 }
 
@@ -295,6 +315,15 @@ ORACLES: dict[str, str] = {
  held AS (SELECT p.actor, 'buffered' AS kind, v, count(*) AS n FROM our_partial p JOIN one ON one.actor = p.actor AND one.v = p.version WHERE NOT EXISTS (SELECT 1 FROM full_ f WHERE f.actor = p.actor AND f.v = p.version) GROUP BY p.actor, v),
  missing AS (SELECT * FROM ({_gaps("ours")}) g WHERE "start" % 3 = 0),
  none AS (SELECT one.actor, one.v AS "start", one.v AS "end" FROM one WHERE NOT EXISTS (SELECT 1 FROM full_ f WHERE f.actor = one.actor AND f.v = one.v) AND NOT EXISTS (SELECT 1 FROM held h WHERE h.actor = one.actor AND h.v = one.v) AND NOT EXISTS (SELECT 1 FROM missing m WHERE m.actor = one.actor AND one.v BETWEEN m."start" AND m."end"))
+ SELECT actor, kind, v AS v_start, v AS v_end, n FROM full_ UNION ALL SELECT actor, kind, v, v, n FROM held UNION ALL SELECT actor, 'empty', "start", "end", 0 FROM ({_islands("none")}) e""",
+    "contains_version_whole": f"""WITH {i.VERSIONS}, {i.OURS} SELECT v.actor, v.version, EXISTS (SELECT 1 FROM ours o WHERE o.actor = v.actor AND o."start" = v.version) AS contains FROM versions v""",
+    "range_overlap_whole": f"""WITH {i.VERSIONS}, {i.OURS}, {i.THEIRS}, a AS (SELECT actor, "start" AS s, "start" + 4 AS e, unnest(range("start", "start" + 5)) AS n FROM ours), b AS (SELECT actor, "start" AS s, "start" + "start" % 5 AS e, unnest(range("start", "start" + "start" % 5 + 1)) AS n FROM theirs)
+ SELECT a.actor, a.s AS a_start, a.e AS a_end, b.s AS b_start, b.e AS b_end, a.n AS "start", least(a.e, b.e) AS "end" FROM a JOIN b ON a.actor = b.actor AND a.n = b.n WHERE a.n = greatest(a.s, b.s)""",
+    "serve_need_whole": f"""WITH {i.VERSIONS}, {i.OURS}, {i.OUR_PARTIAL}, one AS (SELECT DISTINCT actor, unnest(range(version, version + 25)) AS v FROM versions),
+ full_ AS (SELECT o.actor, 'changes' AS kind, v, count(*) AS n FROM ours o JOIN one ON one.actor = o.actor AND one.v = o."start" WHERE o."start" % 5 <> 1 GROUP BY o.actor, v),
+ held AS (SELECT p.actor, 'buffered' AS kind, v, count(*) AS n FROM our_partial p JOIN one ON one.actor = p.actor AND one.v = p.version WHERE NOT EXISTS (SELECT 1 FROM full_ f WHERE f.actor = p.actor AND f.v = p.version) GROUP BY p.actor, v),
+ missing AS (SELECT actor, unnest(range("start", "end" + 1)) AS v FROM ({_gaps("ours")}) g),
+ none AS (SELECT actor, v AS "start", v AS "end" FROM (SELECT actor, v FROM one EXCEPT SELECT actor, v FROM full_ EXCEPT SELECT actor, v FROM held EXCEPT SELECT actor, v FROM missing) q)
  SELECT actor, kind, v AS v_start, v AS v_end, n FROM full_ UNION ALL SELECT actor, kind, v, v, n FROM held UNION ALL SELECT actor, 'empty', "start", "end", 0 FROM ({_islands("none")}) e""",
     "rank_peers": "SELECT c_custkey AS actor, c_custkey % 50 AS need, c_custkey % 13 AS last_sync, c_nationkey % 6 AS ring FROM customer ORDER BY need DESC, last_sync, ring, actor LIMIT 7",
 }
