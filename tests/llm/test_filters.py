@@ -101,6 +101,15 @@ def test_learning_raises_the_likelihood():
     assert values[-1] > values[0]
 
 
+def test_bounds_of_learning_are_parameters(spark):
+    rows = [(n, "alpha alpha alpha beta beta gammadelta", "en") for n in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    only = lambda text: langid.learn(spark.createDataFrame([(n, text, "en") for n in range(40)], docs.schema), PIECES)
+    assert langid.learn(docs, PIECES, types=2) == only("alpha alpha alpha beta beta") != langid.learn(docs, PIECES)
+    assert langid.learn(docs, PIECES, signs=6) == only("alpha alpha alpha beta beta")
+    assert langid.learn(docs, PIECES, types=10_000, signs=200) == langid.learn(docs, PIECES)
+
+
 def test_languages_of_held_out_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("*", "1 as lang_pred", "2 as score")
     more = spark.createDataFrame([(9001, None, None, None, None, 1, 2), (9002, "12 ... !", "en", None, None, 1, 2), (9003, "", "en", None, None, 1, 2), (None, "the that", None, None, None, 1, 2), (9004, "日本語" * 30, None, None, None, 1, 2)], docs.schema)

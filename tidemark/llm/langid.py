@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 
 from tidemark.llm import common
 
-#: Most texts and most word types to learn a language from.
-TRAIN_ROWS, TRAIN_WORDS = 400, 10_000
+#: Most texts and most word types to learn a language from, and the signs of its longest word, the start's mark included.
+TRAIN_ROWS, TRAIN_WORDS, TRAIN_SIGNS = 400, 10_000, 200
 ROUNDS = 3
 #: The count that every piece has besides, and the probability of a sign that no piece covers.
 ADDED, UNKNOWN = 0.05, 1e-9
@@ -139,15 +139,15 @@ class Model:
         return out
 
 
-def learn_pieces(words: Counter, vocab: list[str], rounds: int = ROUNDS) -> dict[str, float]:
-    """Piece probabilities of one language by expectation maximisation over its words and their counts."""
+def learn_pieces(words: Counter, vocab: list[str], rounds: int = ROUNDS, signs: int = TRAIN_SIGNS) -> dict[str, float]:
+    """Piece probabilities of one language by expectation maximisation over its words of at most `signs` and their counts."""
     longest = max(map(len, vocab), default=1)
     prob = dict.fromkeys(vocab, 1 / max(len(vocab), 1))
     for _ in range(rounds):
         found: Counter = Counter()
         for word, times in words.items():
             n = len(word)
-            if n > 200:
+            if n > signs:
                 continue  # such runs teach nothing of a language's words
             cuts = [[(start, p, prob[p]) for start in range(max(0, end - longest), end) if (p := word[start:end]) in prob] or [(end - 1, "", UNKNOWN)] for end in range(1, n + 1)]
             ahead = [1.0] + [0.0] * n
@@ -171,8 +171,12 @@ def learnable(doc_id: Column, folds: int = 4, held_out: int = 2) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)) != held_out
 
 
-def learn(docs: DataFrame, vocab_path: str, rows: int = TRAIN_ROWS) -> tuple[list[str], dict[str, tuple[float, ...]]]:
-    """Languages and their piece probabilities, from at most `rows` texts of each language outside the held-out fold."""
+def learn(docs: DataFrame, vocab_path: str, rows: int = TRAIN_ROWS, types: int = TRAIN_WORDS, signs: int = TRAIN_SIGNS) -> tuple[list[str], dict[str, tuple[float, ...]]]:
+    """Languages and their piece probabilities, from at most `rows` texts of each language outside the held-out fold.
+
+    Of these texts the `types` commonest words of each language count, but for those of more than `signs` signs (the mark
+    of the word's start is one).
+    """
     common.long_rows(docs.sparkSession)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where("lang is not null and doc_id is not null").where(learnable(F.col("doc_id")))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -188,13 +192,13 @@ def learn(docs: DataFrame, vocab_path: str, rows: int = TRAIN_ROWS) -> tuple[lis
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("lang", "text")
     counted = text.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= TRAIN_WORDS)
+    top = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= types)
     words: dict[str, Counter] = {}
     for r in top.select("lang", "word", "n").toArrow().to_pylist():
         words.setdefault(r["lang"], Counter())[r["word"]] = r["n"]
     langs = sorted(words)
     vocab = vocabulary(vocab_path)
-    learnt = [learn_pieces(Counter(dict(sorted(words[x].items()))), vocab) for x in langs]
+    learnt = [learn_pieces(Counter(dict(sorted(words[x].items()))), vocab, signs=signs) for x in langs]
     return langs, {p: tuple(m[p] for m in learnt) for p in vocab}
 
 
