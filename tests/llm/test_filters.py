@@ -189,3 +189,9 @@ def test_stages_keep_the_columns_of_documents(spark, sf_dir):
         out = stage(spark, docs, sf_dir)
         assert out.columns == stages.DOCUMENT, name
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_language_stage_without_a_language_drops_letterless_texts_only(spark, sf_dir):
+    rows = [(1, "Hello there.", None, "a", 12), (2, "12 + 3!", None, "a", 7), (3, None, None, "b", 0), (4, "été", None, "b", 3), (None, "x1", None, "c", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    assert {tuple(r) for r in stages.keep_identified(spark, docs, sf_dir).collect()} == {rows[0], rows[3], rows[4]}

@@ -270,6 +270,19 @@ def with_languages(docs: DataFrame, langs: list[str], pieces: dict[str, tuple[fl
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
+def with_letters(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns named, of the texts that have a letter: those that with_languages names a language for if any was learnt."""
+    common.long_rows(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            on = [n for n, text in enumerate(common.texts_of(batch.column(batch.num_columns - 1))) if any(words_of(p) for p in parts_of(text))]
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).take(pa.array(on, pa.int64()))
+
+    kept = docs.select(*columns, F.col("text").cast("string").alias("_text"))
+    return kept.mapInArrow(run, T.StructType(kept.schema.fields[:-1]))
+
+
 def identify(docs: DataFrame, vocab_path: str, rows: int = TRAIN_ROWS) -> DataFrame:
     """Predict the language of every document after learning from the others' lang outside the held-out fold.
 

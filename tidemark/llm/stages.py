@@ -18,8 +18,11 @@ def keep_harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is recognised: those that are `und` (null, or without a letter) go."""
+    """Documents in which a language is recognised: those that are `und` (null, or without a letter) go, and no others,
+    also where no language could be learnt."""
     langs, pieces = langid.learn(docs, public_tokenizers.path(PIECES))
+    if not langs:
+        return langid.with_letters(docs, DOCUMENT)
     return langid.with_languages(docs, langs, pieces, DOCUMENT).where(F.col("lang_pred") != langid.UNDETERMINED).select(*DOCUMENT)
 
 
