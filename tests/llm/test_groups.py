@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tidemark.llm import ann, buckets, hyperminhash, rabitq
+from tidemark.llm import ann, buckets, hyperminhash, queries, rabitq
 from tidemark.llm.components import components
 
 
@@ -229,6 +229,54 @@ def test_search_of_few_rows_finds_all_candidates(spark):
     assert found_by(spark.createDataFrame(rows + 40 * copies[:1], "vec_id long, embedding array<double>")) == want
 
 
+def hits_and_share(frame, rows):
+    """Recall of the index without its exact step, and the share of the candidates that a query was compared with."""
+    want = {q: {n for _, n in best} for q, best in brute_search(rows).items()}
+    found, compared = {}, {}
+    for r in ann.search(frame, exact=False).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+        compared[r.query_id] = r.compared
+    assert all(len(found[q]) == len(x) for q, x in want.items())
+    return sum(len(found[q] & x) for q, x in want.items()) / sum(map(len, want.values())), sum(compared.values()) / len(compared) / (len(rows) - 1)
+
+
+def test_the_index_compares_an_ever_smaller_share(spark):
+    shares = []
+    for n in (500, 2000, 8000):
+        rows = [(k, x.tolist()) for k, x in enumerate(np.random.default_rng(2).standard_normal((n, 64)))]
+        recall, share = hits_and_share(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), rows)
+        assert recall >= 0.9
+        shares.append(share)
+    assert shares[0] < 0.65 and shares[0] > shares[1] > shares[2] and shares[2] < 0.45
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_the_registered_search_on_driver_tables(spark, sf):
+    rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").collect()]
+    want = {q: {n for _, n in best} for q, best in brute_search(rows).items()}
+    vectors = {n: np.array(x) for n, x in rows}
+    got = queries.op10_ann(spark, f"/root/testdata/{sf}").collect()
+    assert sum(r.vec_id in want[r.query_id] for r in got) / sum(map(len, want.values())) >= 0.9
+    assert len(got) == sum(map(len, want.values()))
+    assert all(abs(r.score - vectors[r.query_id] @ vectors[r.vec_id]) < 1e-12 for r in got)
+    assert sum(r.compared for r in got) / len(got) / (len(rows) - 1) < 0.65
+
+
+def test_the_index_in_hot_groups_and_beside_a_long_vector(spark):
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(rng.standard_normal((6000, 64)))
+    for g in range(2):
+        x[g * 1900 : (g + 1) * 1900] = unit(unit(rng.standard_normal(64)) + 0.0125 * rng.standard_normal((1900, 64)))
+    ids = rng.permutation(6000)
+    long = x.copy()
+    long[5000] *= 1e6
+    for vectors in (x, x * np.exp(rng.standard_normal((6000, 1))), long):
+        rows = [(int(n), v.tolist()) for n, v in zip(ids, vectors, strict=True)]
+        recall, share = hits_and_share(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), rows)
+        assert recall >= 0.9 and share < 0.5
+
+
 def test_vectors_of_repeated_and_null_ids(spark):
     a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
     rows = [(5, a, 1), (5, b, 1), (2, a, 1), (9, [0.05, 1.0, 0.0], 1), (2, a, 1), (None, a, 1), (7, c, 1), (8, c, 2)]

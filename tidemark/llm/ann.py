@@ -1,24 +1,29 @@
 """Nearest neighbours by inner product, with multiprobe p-stable hashing.
 
-Vectors are scaled to a common bound M and get one more coordinate, sqrt(M^2 - |x|^2), so that the largest inner product
-is the smallest distance. Each table hashes a vector by a few Gaussian projections, cut into slots of a fixed width with
-a random offset; together the slots name a bucket. A query visits the buckets of each table in the order of the
-estimated probability that they hold its neighbours - a neighbour's projection is taken as Gaussian around the query's own
-times the usual likeness, with a mean and width measured on a sample - until that reaches a target. The candidates of all
-tables are merged and ranked by exact inner products in double precision.
-
-The estimate only says where to look first. Every vector is in one bucket of the first table, and a bucket's products with
-a query are bounded by its ball and its largest norm: the query then visits each bucket of that table left out so far whose
-bound reaches the k-th product found, or all of them while it has found fewer than k. So no neighbour is missed.
-
-Buckets are compared in blocks of bounded size, the queries streaming past; what a task reports is one list a query.
+Vectors are scaled to a bound M and get one more coordinate, sqrt(M^2 - |x|^2), so that the largest inner product is the
+smallest distance. A table hashes a vector by Gaussian projections (orthogonal within the table), cut into slots of a
+fixed width with an edge at their median; together the slots name a bucket. A query visits perturbed buckets in the order
+of their estimated success: a neighbour's projection is taken as Gaussian around the query's own times the likeness, the
+cosine that its k-th neighbour is expected to reach. The candidates of all tables are merged and ranked by exact inner
+products in double precision.
+
+That happens on two levels. A table over all rows deals them into cells of near vectors, as many as make blocks of a
+bounded size (a cell of more rows is dealt into several blocks by a hash of the id); vectors lie in bands of norms, each
+with a bound of its own, so that one very long vector doesn't press all others together. A query is sent to the cells in
+which its neighbours are expected. In each block the rows, less their mean, are hashed by TABLES further tables, whose
+buckets the query probes. Thus neither a table of all buckets nor more than one copy of a vector is ever shuffled.
+
+The likeness is read off for each query: its products with a sample of rows, at the rank that a k-th neighbour has
+there (and one further, to be careful). Within a block, the nearest of some guide rows correct the estimate, so that dense
+groups are probed where they lie; and how far down the order a query goes is settled by what some guides, asked as queries,
+would have missed. With `exact`, every bucket whose bound reaches the k-th product found is visited
+as well, and no neighbour is missed; on vectors without structure those are nearly all buckets.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,76 +31,85 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import common
-from tidemark.llm.rabitq import vectors_of
-
-TABLES, PROJECTIONS, WIDTH = 2, 4, 1.5
-#: Estimated share of the neighbours in the buckets that a query visits first, over all tables.
-TARGET = 0.985
-#: Rows from which the usual likeness of neighbours is estimated: those of the smallest hashes.
-SAMPLE_ROWS = 2000
-#: Rows of a bucket that are compared at a time, and queries whose lists a task holds.
-BLOCK, HELD = 8192, 50_000
+from tidemark.llm.vectors import as_binary, as_matrix, by_length, norms
+
+#: Tables of a block, their projections, and the width of a slot; two middle slots hold nearly all projections.
+TABLES, PROJECTIONS, WIDTH = 16, 12, 8.0
+#: Share of the neighbours that is looked for in a block's buckets, and (estimated) in the cells that a query is sent to.
+TARGET, CELL_TARGET = 0.93, 0.995
+#: Estimated chances up to which a table may be visited, of which a block takes the least that finds the target's share,
+#: and the most guides that are asked for that.
+LADDER, ASKS = (*np.geomspace(0.004, 0.9, 24).tolist(), 0.95, 0.98), 64
+#: Rows from which likeness and cells are estimated: those of the smallest hashes.
+SAMPLE_ROWS = 4096
+#: Most rows of a block, and the rows from which on there are blocks enough for every task.
+BLOCK, SPREAD = 16_384, 2048
+#: Most projections of the cells, and most bands of norms (each half as long as the one before; the last takes the rest).
+CELL_PROJECTIONS, BANDS = 12, 16
+#: Rows of a block that tell where neighbours lie, the nearest of them that are asked, and the least spread assumed.
+GUIDES, NEAR, LEAST_SPREAD = 512, 16, 0.02
+#: So many times k candidates of a block are compared at least, or all if they are fewer.
+AT_LEAST = 4
+#: Queries that are looked up together.
+QUERIES = 64
 SEED = 911
 
+FOUND = "query_id long, compared long, found array<struct<minus: double, vec_id: long>>"
+
 
 def prepared(vectors: DataFrame) -> DataFrame:
-    """(vec_id, vector in double precision as bytes, norm) of the vectors that take part."""
+    """(vec_id, vector in double precision as bytes, dim, norm) of the vectors that take part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            xs = vectors_of(batch.column(1))
-            on = [n for n, x in enumerate(xs) if x is not None]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(on, pa.int64())), pa.array([xs[n].tobytes() for n in on], pa.binary()), pa.array([len(xs[n]) for n in on], pa.int32()), pa.array([float(np.linalg.norm(xs[n])) for n in on], pa.float64())], ["vec_id", "vector", "dim", "norm"])
+            for rows, x in by_length(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), as_binary(x), pa.array(np.full(len(x), x.shape[1], np.int32)), pa.array(norms(x))], ["vec_id", "vector", "dim", "norm"])
 
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null").mapInArrow(run, "vec_id long, vector binary, dim int, norm double")
 
 
-@dataclass
-class Neighbour:
-    """A neighbour's usual cosine to the query, and where its projections lie (tables x projections, in slot widths)."""
-
-    likeness: float
-    shift: np.ndarray
-    spread: np.ndarray
-
-
-class Hashes:
-    """The projections of all tables for one dimension."""
-
-    def __init__(self, dim: int, bound: float, tables: int, projections: int):
-        rng = np.random.default_rng(SEED + dim)
-        self.bound, self.tables, self.projections = bound, tables, projections
-        self.lines = rng.standard_normal((dim + 1, tables * projections))
-        self.offsets = rng.random(tables * projections)
-
-    def project(self, x: np.ndarray, query: bool) -> np.ndarray:
-        """Projections in slot widths (rows x tables x projections). Queries are scaled to the bound, rows filled up to it."""
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        if query:
-            full = np.hstack([x / norm, np.zeros((len(x), 1))])
-        else:
-            full = np.hstack([x / self.bound, np.sqrt(np.maximum(0, 1 - (norm / self.bound) ** 2))])
-        return (full @ self.lines / WIDTH).reshape(len(x), self.tables, self.projections)
-
-    def buckets(self, x: np.ndarray) -> np.ndarray:
-        """Bucket names (rows x tables): slots as digits of base 64."""
-        slots = np.floor(self.project(x, False) + self.offsets.reshape(self.tables, -1)).astype(np.int64)
-        return (np.clip(slots + 32, 0, 63) << 6 * np.arange(self.projections)).sum(-1)
-
-    def visits(self, q: np.ndarray, table: int, names: np.ndarray, usual: Neighbour, target: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, place in names) of the buckets that each query visits: the likeliest first, until the target is reached."""
-        centre = self.project(q, True)[:, table] * usual.likeness + usual.shift[table] + self.offsets.reshape(self.tables, -1)[table]
-        edges = _normal((np.arange(-32, 33)[None, None] - centre[:, :, None]) / usual.spread[table][None, :, None])
-        share = np.diff(edges, axis=-1)  # of each projection's slots
-        slots = names[:, None] >> 6 * np.arange(self.projections) & 63
-        chance = np.ones((len(q), len(names)))
-        for k in range(self.projections):
-            chance *= share[:, k, slots[:, k]]
-        chance /= np.maximum(chance.sum(1, keepdims=True), 1e-300)
-        order = np.argsort(-chance, axis=1, kind="stable")
-        ranked = np.take_along_axis(chance, order, 1)
-        row, rank = np.nonzero(np.cumsum(ranked, 1) - ranked < target)
-        return row, order[row, rank]
+class Table:
+    """Projections of vectors with one more coordinate, their slots, and the chances of slots."""
+
+    def __init__(self, dim: int, projections: int, seed: int):
+        lines = np.random.default_rng([SEED, dim, seed]).standard_normal((dim + 1, projections))
+        if 0 < projections <= dim + 1:
+            lines = np.linalg.qr(lines)[0] * math.sqrt(dim + 1)
+        self.lines, self.edges = lines, np.zeros(projections)
+
+    def fit(self, full: np.ndarray) -> None:
+        """Put an edge at the median of each projection of these rows."""
+        if len(full):
+            self.edges = np.median(full @ self.lines, axis=0)
+
+    def slots(self, full: np.ndarray) -> np.ndarray:
+        """Slots 0 to 3 (rows x projections); the outer ones are open."""
+        return (np.clip(np.floor((full @ self.lines - self.edges) / WIDTH), -2, 1) + 2).astype(np.int64)
+
+    def names(self, full: np.ndarray) -> np.ndarray:
+        slots = self.slots(full)
+        return (slots << 2 * np.arange(slots.shape[1])).sum(1)
+
+    def chances(self, centre: np.ndarray, spread: np.ndarray, names: np.ndarray) -> np.ndarray:
+        """The chance that a neighbour, whose projections lie around a centre (queries x projections) with a spread, is in
+        each of the named buckets (queries x names), relative to the likeliest one."""
+        k = self.lines.shape[1]
+        at = _normal((np.array([-WIDTH, 0.0, WIDTH]) - (centre - self.edges)[:, :, None]) / spread[:, None, None])
+        share = np.diff(at, axis=-1, prepend=0.0, append=1.0)
+        logs = np.log(np.maximum(share, 1e-30)).astype(np.float32).reshape(len(centre), 4 * k)
+        slots = names[:, None] >> 2 * np.arange(k) & 3
+        hot = np.zeros((len(names), 4 * k), np.float32)
+        hot[np.arange(len(names))[:, None], 4 * np.arange(k) + slots] = 1
+        out = logs @ hot.T
+        return np.exp(out - out.max(1, keepdims=True))
+
+
+def likeliest(chance: np.ndarray, target: float) -> np.ndarray:
+    """Which buckets a query visits (queries x names): the likeliest first, until they hold the target."""
+    ranked = -np.sort(-chance, axis=1)
+    sums = np.cumsum(ranked, 1, dtype=np.float64)
+    last = (sums < target * sums[:, -1:]).sum(1)  # the place of the bucket that reaches it
+    return chance >= ranked[np.arange(len(chance)), np.minimum(last, chance.shape[1] - 1)][:, None]
 
 
 def _normal(x: np.ndarray) -> np.ndarray:
@@ -106,221 +120,282 @@ def _normal(x: np.ndarray) -> np.ndarray:
     return np.where(x >= 0, 1 - tail, tail)
 
 
-def _quantile(p: float) -> float:
-    lo, hi = -10.0, 10.0
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if _normal(np.array(mid)) < p else (lo, mid)
-    return lo
-
-
-def usual_neighbour(sample: np.ndarray, hashes: Hashes, rows: int, k: int) -> Neighbour:
-    """What a k-th neighbour among `rows` vectors is usually like, from a sample.
-
-    likeness: the cosine, after scaling, that it is likely to reach: from the mean and deviation of each sampled vector's
-    cosines, the value that nineteen in twenty reach, so that most queries visit enough. shift and spread: how the
-    projections of the sampled vectors' nearest hundredth lie around the likeness times the query's own.
-    """
-    shape = (hashes.tables, hashes.projections)
-    if rows <= 2 * k or len(sample) < 3:
-        return Neighbour(0.0, np.zeros(shape), np.full(shape, 1 / WIDTH))
-    some = sample[:200]
-    cos = some / np.linalg.norm(some, axis=1, keepdims=True) @ sample.T / hashes.bound
-    cos[np.arange(len(cos)), np.arange(len(cos))] = np.nan
-    reach = np.nanmean(cos, 1) + _quantile(1 - k / rows) * np.nanstd(cos, 1)
-    near = np.argsort(np.where(np.isnan(cos), np.inf, -cos), axis=1)[:, : max(2, len(sample) // 100)]
-    rest = hashes.project(sample, False)[near] - np.take_along_axis(cos, near, 1)[:, :, None, None] * hashes.project(some, True)[:, None]
-    return Neighbour(float(np.clip(np.percentile(reach, 5), 0.0, 0.999)), rest.mean((0, 1)), np.maximum(rest.std((0, 1)), 1e-3))
+def filled(x: np.ndarray, bound: float) -> np.ndarray:
+    """Rows scaled to the bound, with the coordinate that makes them as long as it."""
+    x = x / bound
+    return np.hstack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(1, keepdims=True)))])
+
+
+class Index:
+    """The rows of one block: their exact vectors, and the buckets of all tables."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, expected: Callable[[np.ndarray, np.ndarray], np.ndarray], k: int, tables: int = TABLES, target: float = TARGET):
+        self.ids, self.x = ids, x
+        self.mean = x.mean(0)
+        apart = x - self.mean
+        length = np.abs(apart).max()
+        self.bound = float(norms(apart[(apart != 0).any(1)]).max()) if length > 0 else 1.0
+        full = filled(apart, self.bound)
+        self.rest = float(full[:, -1].mean())
+        self.tables: list[tuple[Table, np.ndarray, np.ndarray]] = []
+        for t in range(tables):
+            table = Table(x.shape[1], PROJECTIONS, t)
+            table.fit(full)
+            names, place = np.unique(table.names(full), return_inverse=True)
+            self.tables.append((table, names, place.astype(np.int32)))
+        self.lines = np.hstack([t.lines for t, _, _ in self.tables])
+        self.some = np.unique(np.linspace(0, len(x) - 1, GUIDES).astype(np.int64))
+        self.apart, self.guides = apart[self.some] / self.bound, full[self.some] @ self.lines
+        self.share = self._share(expected, k, target)
+
+    def _share(self, expected: Callable[[np.ndarray, np.ndarray], np.ndarray], k: int, target: float) -> float:
+        """The estimated chance up to which each table is visited: the least of a ladder at which so large a share of the
+        neighbours of some guides, each k that reach its expected product, is found."""
+        asks = self.some[:: max(1, len(self.some) // ASKS)]
+        own, q = self.ids[asks], self.x[asks]
+        kth = expected(own, q)
+        products = np.where(own[:, None] == self.ids[None], -np.inf, q @ self.x.T)
+        best = np.partition(products, -min(k, len(self.ids)), axis=1)[:, -min(k, len(self.ids))]
+        wanted = (products >= np.minimum(np.maximum(best, kth), products.max(1))[:, None]) & (products > -np.inf)
+        chances = self._chances(own, q, kth)
+        for share in LADDER:
+            if wanted[self._seen(chances, share)].sum() >= target * wanted.sum():
+                return share
+        return 1.0
+
+    def around(self, own: np.ndarray, unit: np.ndarray, likeness: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the projections of each query's neighbours lie (queries x projections), and how widely.
+
+        Around the likeness times the query's own, but for what those of the guides that come nearest have in common
+        beyond that - as in a dense group - as far as it is more than chance.
+        """
+        alone = unit @ self.lines[:-1]
+        plain = self.rest * self.lines[-1]
+        m = min(NEAR, max(2, len(self.some) // 16))
+        if len(self.some) <= m:
+            return likeness[:, None] * alone + plain, np.sqrt(np.maximum(1 - likeness**2 - self.rest**2, LEAST_SPREAD**2))
+        cos = unit @ self.apart.T
+        hidden = np.where(own[:, None] == self.ids[self.some][None], -np.inf, cos)
+        near = np.argpartition(-hidden, m - 1, axis=1)[:, :m]
+        left = self.guides[near] - np.take_along_axis(cos, near, 1)[:, :, None] * alone[:, None] - plain
+        common_ = left.mean(1)
+        within = ((left - common_[:, None]) ** 2).mean((1, 2)) * m / (m - 1)
+        kept = np.maximum(0, 1 - within / m / np.maximum((common_**2).mean(1), 1e-12))
+        return likeness[:, None] * alone + plain + kept[:, None] * common_, np.sqrt(np.maximum(within * (1 + kept / m), LEAST_SPREAD**2))
+
+    def _chances(self, own: np.ndarray, q: np.ndarray, kth: np.ndarray) -> list[np.ndarray]:
+        """Each table's chances (queries x buckets). kth: the product that a query's k-th neighbour may reach."""
+        length = norms(q)
+        unit = q / length[:, None]
+        likeness = np.clip(np.nan_to_num((kth / length - unit @ self.mean) / self.bound), 0, 0.995)
+        centre, spread = self.around(own, unit, likeness)
+        step = PROJECTIONS
+        return [table.chances(centre[:, t * step : (t + 1) * step], spread, names) for t, (table, names, _) in enumerate(self.tables)]
+
+    def _seen(self, chances: list[np.ndarray], share: float) -> np.ndarray:
+        """The rows in the buckets that each query visits (queries x rows), over all tables."""
+        out = np.zeros((len(chances[0]), len(self.ids)), bool)
+        for chance, (_, _, place) in zip(chances, self.tables, strict=True):
+            out |= likeliest(chance, share)[:, place]
+        return out
 
+    def search(self, own: np.ndarray, q: np.ndarray, kth: np.ndarray, k: int, exact: bool = False) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """Of each query the ids and products of its k best candidates, and how many were compared."""
+        other = own[:, None] != self.ids[None]
+        seen = self._seen(self._chances(own, q, kth), self.share) & other
+        few = seen.sum(1) < np.minimum(AT_LEAST * k, other.sum(1))
+        seen[few] = other[few]
+        scores = np.full(seen.shape, -np.inf)
+        self._compare(q, seen, scores)
+        if exact:
+            best = min(k, len(self.ids))
+            bar = np.partition(scores, -best, axis=1)[:, -best]
+            # Not "at least the bar": a bound that isn't a number excludes nothing.
+            more = ~(self.reach(q) < bar[:, None])[:, self.tables[0][2]] & other & ~seen
+            self._compare(q, more, scores)
+            seen |= more
+        ids, products = [], []
+        best = min(k, len(self.ids))
+        bar = np.partition(scores, -best, axis=1)[:, -best]
+        for row, low, real in zip(scores, bar, seen, strict=True):
+            at = np.flatnonzero((row >= low) & real)
+            at = at[np.lexsort((self.ids[at], -row[at]))]
+            ids.append(self.ids[at][:k])
+            products.append(row[at][:k])
+        return ids, products, seen.sum(1)
+
+    def _compare(self, q: np.ndarray, pairs: np.ndarray, scores: np.ndarray) -> None:
+        row, col = np.nonzero(pairs)
+        for a in range(0, len(row), 65536):
+            r, c = row[a : a + 65536], col[a : a + 65536]
+            scores[r, c] = np.nan_to_num(np.einsum("ij,ij->i", q[r], self.x[c]), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+
+    def reach(self, q: np.ndarray) -> np.ndarray:
+        """What no product of a query with a row of each bucket of the first table exceeds, with room for rounding."""
+        _, names, place = self.tables[0]
+        size = np.bincount(place, minlength=len(names))[:, None]
+        centre = np.zeros((len(names), self.x.shape[1]))
+        np.add.at(centre, place, self.x / size[place])
+        radius, most = np.zeros(len(names)), np.zeros(len(names))
+        np.maximum.at(radius, place, np.linalg.norm(self.x - centre[place], axis=1))
+        np.maximum.at(most, place, np.linalg.norm(self.x, axis=1))
+        length = np.linalg.norm(q, axis=1)[:, None]
+        return np.minimum(q @ centre.T + length * radius, length * most) + 1e-9 * length * most.max()
+
+
+class Cells:
+    """The table that deals all rows of one dimension into cells, a band of norms at a time."""
+
+    def __init__(self, dim: int, rows: int, longest: float, ids: np.ndarray, sample: np.ndarray, k: int, tasks: int):
+        self.longest, self.ids, self.sample = longest, ids, sample
+        blocks = max(rows / BLOCK, min(tasks, rows / SPREAD))
+        bits = min(CELL_PROJECTIONS, max(0, math.ceil(math.log2(max(blocks, 1)))))
+        #: Where a k-th neighbour among all rows stands in the sample, and one further.
+        self.rank = math.ceil(k * len(ids) / rows) + 1
+        self.tables: dict[int, Table] = {}
+        self.rests: dict[int, float] = {}
+        bands = self.band(norms(sample))
+        for band in range(BANDS):
+            full = filled(sample[bands == band], self.bound(band))
+            self.tables[band] = Table(dim, bits, 1 << 16)
+            self.tables[band].fit(full)
+            self.rests[band] = float(full[:, -1].mean()) if len(full) else 0.0
+
+    def band(self, length: np.ndarray) -> np.ndarray:
+        return np.clip(np.floor(np.log2(np.maximum(self.longest / length, 1))), 0, BANDS - 1).astype(np.int64)
+
+    def bound(self, band: int) -> float:
+        return self.longest / 2.0**band
+
+    def names(self, x: np.ndarray) -> np.ndarray:
+        """Each row's cell: its name in the band's table, and the band."""
+        bands = self.band(norms(x))
+        out = np.zeros(len(x), np.int64)
+        for band in np.unique(bands).tolist():
+            at = bands == band
+            out[at] = self.tables[band].names(filled(x[at], self.bound(band))) << 8 | band
+        return out
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+    def expected(self, own: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """The product that each query's k-th neighbour may reach; -inf where the sample is too small to tell."""
+        products = np.where(own[:, None] == self.ids[None], -np.inf, q @ self.sample.T)
+        if self.rank > products.shape[1]:
+            return np.full(len(q), -np.inf)
+        return np.partition(products, -self.rank, axis=1)[:, -self.rank]
+
+    def visits(self, q: np.ndarray, kth: np.ndarray, cells: np.ndarray, sizes: np.ndarray, need: int, whole: bool) -> np.ndarray:
+        """The cells that each query is sent to (queries x cells): in each band the likeliest, and rows enough to choose from."""
+        if whole:
+            return np.ones((len(q), len(cells)), bool)
+        length = norms(q)
+        unit = q / length[:, None]
+        chance = np.zeros((len(q), len(cells)))
+        out = np.zeros((len(q), len(cells)), bool)
+        for band in np.unique(cells & 255).tolist():
+            at = np.flatnonzero(cells & 255 == band)
+            likeness = np.clip(np.nan_to_num(kth / length / self.bound(band)), 0, 0.995)
+            table, rest = self.tables[band], self.rests[band]
+            spread = np.sqrt(np.maximum(1 - likeness**2 - rest**2, LEAST_SPREAD**2))
+            chance[:, at] = table.chances(likeness[:, None] * (unit @ table.lines[:-1]) + rest * table.lines[-1], spread, cells[at] >> 8)
+            out[:, at] = likeliest(chance[:, at], CELL_TARGET)
+        few = np.flatnonzero((out * sizes).sum(1) < need)
+        if len(few):  # few rows altogether: further cells, the likeliest first
+            order = np.argsort(-(chance[few] + out[few]), axis=1, kind="stable")
+            before = np.cumsum(sizes[order], axis=1) - sizes[order]
+            more = np.zeros((len(few), len(cells)), bool)
+            np.put_along_axis(more, order, before < need, 1)
+            out[few] |= more
+        return out
 
 
-def search(vectors: DataFrame, query_ids: str = "vec_id % 20 = 0", k: int = 20, tables: int = TABLES, target: float = TARGET) -> DataFrame:
-    """The k nearest candidates of each query, or all if they are fewer: query_id, rank, vec_id, score.
+def search(vectors: DataFrame, query_ids: str = "vec_id % 20 = 0", k: int = 20, tables: int = TABLES, target: float = TARGET, exact: bool = True) -> DataFrame:
+    """The k nearest candidates of each query, or all if they are fewer: query_id, rank, vec_id, score, compared (the
+    candidates that the query was compared with exactly).
 
     Needs columns vec_id and embedding; others are ignored. Queries are the rows that `query_ids` selects, candidates
     all rows but those of the query's own vec_id; vectors of other lengths aren't compared. Nearest first, ties to the
     smaller vec_id; equal rows count once. Vectors that are null, empty, zero or hold null or non-finite parts, and rows
-    with a null vec_id, take no part. Without queries or candidates there are no rows.
+    with a null vec_id, take no part. Without queries or candidates there are no rows. Without `exact`, about the target's
+    share of the neighbours is found.
     """
     spark = vectors.sparkSession
-    # Copies of a row within a bucket would take each other's candidates' places.
+    # Copies of a row would take each other's candidates' places.
     rows = common.materialize(prepared(vectors).distinct(), "vectors")
-    known = {r["dim"]: (r["n"], r["bound"]) for r in rows.groupBy("dim").agg(F.count("*").alias("n"), F.max("norm").alias("bound")).collect()}
+    known = rows.groupBy("dim", "vec_id").agg(F.count("*").alias("n"), F.max("norm").alias("norm")).groupBy("dim").agg(F.sum("n").alias("n"), F.max("norm").alias("longest"), F.max("n").alias("most"))
     found = None
-    for dim, (n, bound) in sorted(known.items()):
-        one = _search(rows.where(F.col("dim") == dim), dim, n, bound, query_ids, k, tables, target)
+    for r in sorted(known.collect()):
+        one = _search(rows.where(F.col("dim") == r["dim"]), r["dim"], r["n"], r["longest"], r["most"], query_ids, k, tables, target, exact)
         found = one if found is None else found.unionByName(one)
     if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    ranked = _merged(found, k).select("query_id", F.posexplode("found").alias("rank", "of"))
-    return ranked.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("of.vec_id").alias("vec_id"), (-F.col("of.minus")).alias("score"))
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, compared long")
+    best = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k)
+    merged = found.groupBy("query_id").agg(best.alias("found"), F.sum("compared").alias("compared"))
+    ranked = merged.select("query_id", "compared", F.posexplode("found").alias("rank", "of"))
+    return ranked.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("of.vec_id").alias("vec_id"), (-F.col("of.minus")).alias("score"), "compared")
 
 
-def _search(rows: DataFrame, dim: int, n: int, bound: float, query_ids: str, k: int, tables: int, target: float) -> DataFrame:
-    hashes = Hashes(dim, bound, tables, PROJECTIONS)
-    sample = _matrix(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("vector").toArrow()["vector"].combine_chunks())
-    usual = usual_neighbour(sample, hashes, n, k)
-    share = 1 - (1 - target) ** (1 / tables)
+def _search(rows: DataFrame, dim: int, n: int, longest: float, most: int, query_ids: str, k: int, tables: int, target: float, exact: bool) -> DataFrame:
+    spark = rows.sparkSession
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(SAMPLE_ROWS).select("vec_id", "vector").toArrow()
+    shared = spark.sparkContext.broadcast(Cells(dim, n, longest, sample["vec_id"].to_numpy(), as_matrix(sample["vector"]).copy(), k, common.partitions(spark)))
 
-    def hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                names = hashes.buckets(_matrix(batch.column(1)))
-                for t in range(tables):
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((names[:, t] << 4 | t))], ["id", "vector", "name"])
-
-    hashed = rows.select("vec_id", "vector").mapInArrow(hash_rows, "id long, vector binary, name long")
-    # At most as many buckets as slots to the power of the projections; projections of scaled vectors span few slots.
-    sizes = {r["name"]: r["n"] for r in hashed.groupBy("name").agg(F.count("*").alias("n")).collect()}
-    blocks = {name: -(-size // BLOCK) for name, size in sizes.items()}
-    names = [np.array(sorted(x >> 4 for x in sizes if x & 15 == t), np.int64) for t in range(tables)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared.value.names(as_matrix(batch.column(1))))], ["id", "vector", "cell"])
 
-    centres = sample_centres(sample, hashes, names[0])
-
-    def extents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most = np.zeros((2, len(names[0])))  # of each bucket of the first table: distance from the centre, norm
-        for batch in batches:
-            if batch.num_rows:
-                x = _matrix(batch.column(0))
-                place = np.searchsorted(names[0], hashes.buckets(x)[:, 0])
-                np.maximum.at(most[0], place, np.linalg.norm(x - centres[place], axis=1))
-                np.maximum.at(most[1], place, np.linalg.norm(x, axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(names[0]))), pa.array(most[0]), pa.array(most[1])], ["place", "radius", "norm"])
-
-    measured = rows.select("vector").mapInArrow(extents, "place long, radius double, norm double").groupBy("place").agg(F.max("radius"), F.max("norm")).collect()
-    radii, norms = np.array([r[1:] for r in sorted(measured)]).reshape(-1, 2).T
-
-    def asked(batch: pa.RecordBatch, t: int, row: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-        name = names[t][place] << 4 | t
-        times = np.array([blocks[x] for x in name.tolist()], np.int64)
-        block = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        at = pa.array(np.repeat(row, times), pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.repeat(name, times), pa.int64()), pa.array(block.astype(np.int32)), pa.array(np.ones(len(block), np.int8))], ["id", "vector", "name", "block", "kind"])
+    dealt = rows.select("vec_id", "vector").mapInArrow(deal, "id long, vector binary, cell long")
+    # At most 2^CELL_PROJECTIONS cells in each band.
+    sizes = {r["cell"]: r["n"] for r in dealt.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    cells = np.array(sorted(sizes), np.int64)
+    size = np.array([sizes[c] for c in cells.tolist()], np.int64)
+    parts = -(-size // BLOCK)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for a in range(0, whole.num_rows, 64):
-                batch = whole.slice(a, 64)
-                q = _matrix(batch.column(1))
-                for t in range(tables):
-                    yield asked(batch, t, *hashes.visits(q, t, names[t], usual, share))
-
-    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for a in range(0, whole.num_rows, 64):
-                batch = whole.slice(a, 64)
-                q, bar = _matrix(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)
-                # Not "at least the bar": a bound that isn't a number excludes nothing.
-                open_ = ~(reach(q, centres, radii, norms) < bar[:, None])
-                open_[hashes.visits(q, 0, names[0], usual, share)] = False
-                yield asked(batch, 0, *np.nonzero(open_))
-
-    asking = rows.where(query_ids).select("vec_id", "vector").distinct()
-    probing = "id long, vector binary, name long, block int, kind byte"
-    parts = F.create_map(*[F.lit(x) for pair in blocks.items() if pair[1] > 1 for x in pair]) if max(blocks.values()) > 1 else None
-    block = F.lit(0) if parts is None else F.coalesce(F.pmod(F.xxhash64("id"), F.element_at(parts, F.col("name"))).cast("int"), F.lit(0))
-    base = hashed.select("id", "vector", "name", block.cast("int").alias("block"), F.lit(0).cast("byte").alias("kind"))
+            for a in range(0, whole.num_rows, QUERIES):
+                batch = whole.slice(a, QUERIES)
+                own, q = batch.column(0).to_numpy(), as_matrix(batch.column(1))
+                kth = shared.value.expected(own, q)
+                row, at = np.nonzero(shared.value.visits(q, kth, cells, size, k + most, exact))
+                times = parts[at]
+                part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                row = np.repeat(row, times)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(np.repeat(cells[at], times)), pa.array(part.astype(np.int32)), pa.array(kth[row])], ["id", "vector", "cell", "part", "kth"])
+
+    hot = [F.lit(x) for c, p in zip(cells.tolist(), parts.tolist(), strict=True) if p > 1 for x in (c, p)]
+    part = F.coalesce(F.pmod(F.xxhash64("id"), F.try_element_at(F.create_map(*hot), F.col("cell"))).cast("int"), F.lit(0)) if hot else F.lit(0)
+    base = dealt.select("id", "vector", "cell", part.alias("part"), F.lit(None).cast("double").alias("kth"))
+    asking = rows.where(query_ids).select("vec_id", "vector").mapInArrow(probe, "id long, vector binary, cell long, part int, kth double")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists = Lists(k)
-        now, ids, vectors = None, [], []
+        now, index = None, None
+        ids: list[np.ndarray] = []
+        vectors: list[np.ndarray] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            name, block_, kind = (batch.column(c).to_numpy() for c in (2, 3, 4))
-            own, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
-            new = np.flatnonzero(np.append(True, (name[1:] != name[:-1]) | (block_[1:] != block_[:-1]) | (kind[1:] != kind[:-1])))
-            for a, b in zip(new, np.append(new[1:], len(name)), strict=True):
-                if (name[a], block_[a]) != now:
-                    now, ids, vectors = (name[a], block_[a]), [], []
-                if not kind[a]:
-                    ids.append(own[a:b])
-                    vectors.append(x[a:b])
+            own, x = batch.column(0).to_numpy(), as_matrix(batch.column(1))
+            cell, part_, asks = batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4).is_valid().to_numpy(zero_copy_only=False)
+            kth = batch.column(4).to_numpy(zero_copy_only=False)
+            new = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | (part_[1:] != part_[:-1]) | (asks[1:] != asks[:-1])))
+            for a, b in zip(new, np.append(new[1:], len(own)), strict=True):
+                if (cell[a], part_[a]) != now:
+                    now, index, ids, vectors = (cell[a], part_[a]), None, [], []
+                if not asks[a]:
+                    ids.append(own[a:b].copy())
+                    vectors.append(x[a:b].copy())
                 elif ids:
-                    if len(ids) > 1:
-                        ids, vectors = [np.concatenate(ids)], [np.concatenate(vectors)]
-                    for c in range(a, b, 128):
-                        lists.offer(own[c : min(c + 128, b)], x[c : min(c + 128, b)], ids[0], vectors[0])
-                    if len(lists.place) >= HELD:
-                        yield lists.take()
-        yield lists.take()
-
-    def met(base: DataFrame, probes: DataFrame) -> DataFrame:
-        both = base.unionByName(probes).repartition("name", "block").sortWithinPartitions("name", "block", "kind", "id")
-        return both.select("id", "vector", "name", "block", "kind").mapInArrow(compare, "query_id long, found array<struct<minus: double, vec_id: long>>")
-
-    first = common.materialize(_merged(met(base, asking.mapInArrow(probe, probing)), k), "found")
-    bars = first.select(F.col("query_id").alias("vec_id"), (-F.get("found", F.lit(k - 1))["minus"]).alias("bar"))
-    barred = asking.join(bars, "vec_id", "left").select("vec_id", "vector", F.coalesce("bar", F.lit(float("-inf"))).alias("bar"))
-    return first.unionByName(met(base.where("name % 16 = 0"), barred.mapInArrow(widen, probing)))
-
-
-def _merged(found: DataFrame, k: int) -> DataFrame:
-    """One list a query: its k best."""
-    return found.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k).alias("found"))
-
-
-def sample_centres(sample: np.ndarray, hashes: Hashes, names: np.ndarray) -> np.ndarray:
-    """A centre for each bucket of the first table: the mean of the sampled vectors in it, 0 without any."""
-    place = np.searchsorted(names, hashes.buckets(sample)[:, 0])
-    total = np.zeros((len(names), sample.shape[1]))
-    np.add.at(total, place, sample)
-    return total / np.maximum(np.bincount(place, minlength=len(names)), 1)[:, None]
-
-
-def reach(q: np.ndarray, centres: np.ndarray, radii: np.ndarray, norms: np.ndarray) -> np.ndarray:
-    """What no product of a query with a vector of a bucket exceeds (queries x buckets), with room for rounding."""
-    length = np.linalg.norm(q, axis=1)[:, None]
-    return np.minimum(q @ centres.T + length * radii, length * norms) + 1e-9 * length * norms.max()
-
-
-class Lists:
-    """The k best of what each query has been offered."""
-
-    def __init__(self, k: int):
-        self.k = k
-        self._clear()
-
-    def _clear(self) -> None:
-        self.place: dict[int, int] = {}
-        self.scores, self.ids = np.full((256, self.k), -np.inf), np.full((256, self.k), np.iinfo(np.int64).max)
-
-    def offer(self, queries: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
-        at = np.array([self.place.setdefault(i, len(self.place)) for i in queries.tolist()])
-        while len(self.place) > len(self.scores):
-            self.scores, self.ids = np.vstack([self.scores, np.full_like(self.scores, -np.inf)]), np.vstack([self.ids, np.full_like(self.ids, np.iinfo(np.int64).max)])
-        rough = q @ x.T
-        rough[queries[:, None] == ids[None]] = -np.inf
-        # What the product's rounding may have put in the wrong order stays, and so do ties: exact products decide.
-        bar = self.scores[at, -1]
-        if rough.shape[1] > self.k:
-            bar = np.maximum(bar, np.partition(rough, -self.k, axis=1)[:, -self.k])
-        slack = 1e-9 * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
-        row, col = np.nonzero((rough >= (bar - slack)[:, None]) & np.isfinite(rough))
-        if not len(row):
-            return
-        exact = np.concatenate([np.einsum("ij,ij->i", q[row[c : c + 65536]], x[col[c : c + 65536]]) for c in range(0, len(row), 65536)])
-        # All that is offered and held, in order: query, score down, id up; each id and score once.
-        rows = np.concatenate([row, np.repeat(np.arange(len(at)), self.k)])
-        scores, names = np.concatenate([exact, self.scores[at].ravel()]), np.concatenate([ids[col], self.ids[at].ravel()])
-        order = np.lexsort((names, -scores, rows))
-        rows, scores, names = rows[order], scores[order], names[order]
-        fresh = np.append(True, (rows[1:] != rows[:-1]) | (scores[1:] != scores[:-1]) | (names[1:] != names[:-1]))
-        rows, scores, names = rows[fresh], scores[fresh], names[fresh]
-        rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        best = rank < self.k
-        self.scores[at], self.ids[at] = -np.inf, np.iinfo(np.int64).max
-        self.scores[at[rows[best]], rank[best]], self.ids[at[rows[best]], rank[best]] = scores[best], names[best]
-
-    def take(self) -> pa.RecordBatch:
-        """All lists, which are empty afterwards."""
-        n = len(self.place)
-        there = np.isfinite(self.scores[:n])
-        pairs = pa.StructArray.from_arrays([pa.array(-self.scores[:n][there]), pa.array(self.ids[:n][there])], ["minus", "vec_id"])
-        ends = pa.array(np.append(0, np.cumsum(there.sum(1))).astype(np.int32))
-        out = pa.RecordBatch.from_arrays([pa.array(list(self.place), pa.int64()), pa.ListArray.from_arrays(ends, pairs)], ["query_id", "found"])
-        self._clear()
-        return out
+                    index = index or Index(np.concatenate(ids), np.concatenate(vectors), shared.value.expected, k, tables, target)
+                    for c in range(a, b, QUERIES):
+                        d = min(c + QUERIES, b)
+                        yield _lists(own[c:d], *index.search(own[c:d], x[c:d], kth[c:d], k, exact))
+
+    both = base.unionByName(asking).repartition("cell", "part").sortWithinPartitions("cell", "part", F.col("kth").asc_nulls_first(), "id")
+    return both.select("id", "vector", "cell", "part", "kth").mapInArrow(compare, FOUND)
+
+
+def _lists(own: np.ndarray, ids: list[np.ndarray], products: list[np.ndarray], compared: np.ndarray) -> pa.RecordBatch:
+    pairs = pa.StructArray.from_arrays([pa.array(-np.concatenate(products)), pa.array(np.concatenate(ids))], ["minus", "vec_id"])
+    ends = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(own), pa.array(compared.astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pairs)], ["query_id", "compared", "found"])

@@ -56,7 +56,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.search(table(spark, sf_dir, "embeddings"))
+    return ann.search(table(spark, sf_dir, "embeddings"), exact=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
