@@ -242,3 +242,49 @@ def test_sinks_and_snapshots(spark, tmp_path):
     (tmp_path / "b.sql").write_text("B")
     (tmp_path / "a.sql").write_text("A")
     assert tables.sql_files([str(tmp_path)]) == ["A", "B"]
+
+
+def test_engines_of_two_folders_see_their_own_tables(spark):
+    small, large = Engine(spark, "/root/testdata/sf0.001"), Engine(spark, "/root/testdata/sf0.01")
+    count = "SELECT count(*) FROM orders"
+    late = small.query(count)
+    assert [e.query(count).first()[0] for e in (small, large, small)] == [1500, 15000, 1500] and late.first()[0] == 1500
+
+
+def test_only_statements_that_read_are_let_through(spark, sf_dir):
+    for sql in ("WITH x AS (SELECT 1) INSERT INTO nation SELECT * FROM x", "EXPLAIN INSERT INTO nation VALUES (1)", "EXPLAIN EXTENDED WITH x AS (SELECT 1) DELETE FROM nation", "FROM nation INSERT INTO region SELECT 1, 'x'",
+                "WITH a AS (DELETE FROM nation) SELECT 1", "UPDATE nation SET n_name = ''", "DROP TABLE nation", "SELECT 1; DELETE FROM nation", "SET x = 1", ""):
+        with pytest.raises((PermissionError, ValueError)):
+            Engine(spark, sf_dir).query(sql)
+    assert Engine(spark, sf_dir).query("WITH insert_ AS (SELECT 1 AS a) SELECT a FROM insert_").first()[0] == 1
+    assert dialect.tag("WITH x AS (SELECT 1) INSERT INTO t SELECT * FROM x") == "INSERT" and dialect.tag("WITH x AS (SELECT 1) SELECT 1") == "SELECT"
+
+
+def test_a_query_ends_with_the_timeout(spark, sf_dir):
+    with pytest.raises(TimeoutError):
+        Engine(spark, sf_dir, timeout=1.0).collect("SELECT count(*) FROM range(10000000000000) WHERE id % 7 = 3")
+    assert Engine(spark, sf_dir, timeout=60.0).collect("SELECT 1 AS x")[0].x == 1
+
+
+def test_rows_that_came_back_are_not_reaped(spark):
+    names = "tbl string, pk long, cid string, cl long, ts timestamp_ntz"
+    rows = [("t", 1, "-1", 2, "2024-01-01"), ("t", 2, "-1", 2, "2024-01-01"), ("t", 2, "a", 3, "2024-01-02"), ("t", 3, "-1", 2, "2024-01-01"), ("t", 3, "-1", 4, "2024-03-01"), ("t", 4, "-1", 2, "2024-01-03"), ("t", 4, "-1", 2, "2024-01-01"), ("t", 5, "a", 1, "2024-01-01")]
+    log = spark.createDataFrame([(*r[:4], __import__("datetime").datetime.fromisoformat(r[4])) for r in rows], names)
+    got = ingest.reapable(log, F.lit("2024-02-20").cast("timestamp_ntz"), "2w")
+    assert [r.pk for r in got.collect()] == [1, 4]
+    assert [r.pk for r in ingest.reapable(log, F.lit("2024-02-20").cast("timestamp_ntz"), "2w", limit=1).collect()] == [1]
+    assert {r.pk for r in ingest.reap(log, got).collect()} == {2, 3, 5}
+
+
+def test_writes_are_refused_with_reasons(spark, sf_dir):
+    engine = Engine(spark, sf_dir)
+    for sql in ("INSERT INTO region (r_regionkey, r_name) VALUES (50, 'a'), (50, 'b')", "INSERT INTO region (r_name) VALUES ('no key')", "UPDATE region SET r_regionkey = 1", "INSERT INTO region (nothing) VALUES (1)",
+                "INSERT INTO region (r_regionkey) VALUES (1) ON CONFLICT (r_name) DO NOTHING", "SELECT 1", "DELETE region", "UPDATE region"):
+        with pytest.raises((ValueError, IndexError)):
+            engine.execute([sql])
+    with pytest.raises(LookupError):
+        engine.execute(["DELETE FROM nowhere"])
+    assert engine.query("SELECT count(*) FROM region").first()[0] == 5
+    assert engine.execute(["DELETE FROM region WHERE r_name IS NULL", "UPDATE region SET r_name = NULL WHERE r_regionkey = 2"])[1]["rows_affected"] == 1
+    assert engine.query("SELECT r_regionkey FROM region WHERE r_name IS NULL").first()[0] == 2
+    assert Engine(spark, sf_dir).query("SELECT count(r_name) FROM region").first()[0] == 5

@@ -6,11 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from tidemark.plans import changelog, live, relational
+from tidemark.plans import changelog, live, relational, surface
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES = changelog.QUERIES | live.QUERIES | relational.QUERIES
-ORACLES = changelog.ORACLES | live.ORACLES | relational.ORACLES
+QUERIES = changelog.QUERIES | live.QUERIES | relational.QUERIES | surface.QUERIES
+ORACLES = changelog.ORACLES | live.ORACLES | relational.ORACLES | surface.ORACLES
 
 
 @pytest.fixture(scope="module")

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import threading
 import time
 import uuid
 from collections.abc import Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.engine.catalog import Catalog
+from tidemark.engine import writes
+from tidemark.engine.catalog import VIEWS, Catalog
+from tidemark.functions import pg
+from tidemark.operators.changes import settled
 from tidemark.plans import dialect
 from tidemark.sources import sinks
 
+#: The session's views belong to one statement at a time.
+_views = threading.RLock()
+VERSION_CALL = re.compile(r"(?i)(?<![\w.'])version\s*\(\s*\)")
+
 
 class Engine:
     """SQL over the tables of a folder.
@@ -23,7 +31,12 @@ class Engine:
     """
 
     def __init__(self, spark: SparkSession, folder: str, timeout: float | None = 60.0):
-        self.spark, self.catalog, self.timeout = spark, Catalog(spark, folder).register(), timeout
+        self.spark, self.catalog, self.timeout = spark, Catalog(spark, folder), timeout
+        self._written: dict[str, DataFrame] = {}  # tables that statements have changed
+
+    def table(self, name: str) -> DataFrame:
+        """A table as this engine sees it."""
+        return self._written[name] if name in self._written else self.catalog.table(name)
 
     @staticmethod
     def parts(statement: str | list | dict) -> tuple[str, Any]:
@@ -37,8 +50,69 @@ class Engine:
         """The result of one statement that reads; nothing runs before the frame is used."""
         sql, values = self.parts(statement)
         dialect.check_read_only(sql)
-        args = dialect.parameters(values, sql)
-        return self.spark.sql(dialect.rewrite(sql), args=args) if args else self.spark.sql(dialect.rewrite(sql))
+        return self.read(sql, values)
+
+    def read(self, sql: str, values: Any = None, tables: dict[str, DataFrame] | None = None) -> DataFrame:
+        """Resolve a statement against this engine's tables (or those given in their place), whatever views the session has.
+
+        Names are resolved as soon as the frame is made, so views may serve another engine right after.
+        """
+        words = {t.strip('"`').lower() for t in dialect.tokens(sql)}
+        known = [n for n in self.catalog.keys if n in words]
+        frames = {n: tables[n] if tables and n in tables else self.table(n) for n in known}
+        kinds: dict[str, str] = {}
+        for df in frames.values():
+            for f in df.schema:
+                kind = f.dataType.simpleString()
+                kinds[f.name.lower()] = kind if kinds.get(f.name.lower(), kind) == kind else "several"
+        text = dialect.rewrite(sql, kinds=kinds)
+        text = VERSION_CALL.sub("tide_version()", text) if "version" in words else text
+        args = dialect.parameters(dialect.typed(values, sql, kinds), sql)
+        used = {t.lower() for t in dialect.tokens(text)}
+        with _views:
+            for name, df in frames.items():
+                df.createOrReplaceTempView(name)
+            for name in VIEWS:
+                if name in used:
+                    self.catalog.system_view(name).createOrReplaceTempView(name)
+            if called := {n for n in used if n.startswith("tide_")}:
+                lookups = self.catalog.definitions() if called & {"tide_constraintdef", "tide_indexdef", "tide_functiondef", "tide_function_arguments"} else None
+                pg.register(self.spark, called, lookups)
+            return self.spark.sql(text, args=args) if args else self.spark.sql(text)
+
+    def collect(self, statement: str | list | dict) -> list[Row]:
+        """The rows of a statement that reads; TimeoutError once the engine's timeout is over."""
+        with self.limited():
+            return self.query(statement).collect()
+
+    def execute(self, statements: list[str | list | dict]) -> list[dict[str, Any]]:
+        """Statements that write, all or none: of each the rows affected, the time taken and, with RETURNING, the rows.
+
+        A statement sees what those before it have done. The changed tables take effect together, at the end, for this
+        engine only; their files stay as they are. An error leaves every table as it was.
+        """
+        staged: dict[str, DataFrame] = {}
+        out = []
+        with self.limited():
+            for statement in statements:
+                began = time.monotonic()
+                sql, values = self.parts(statement)
+                if len(dialect.statements(sql)) != 1:
+                    raise ValueError("one statement at a time")
+                write = writes.parse(dialect.statements(sql)[0])
+                if write.table not in self.catalog.keys:
+                    raise LookupError(f"no table {write.table}")
+                stored = staged[write.table] if write.table in staged else self.table(write.table)
+                read = lambda text, bound, tables: self.read(text, bound, staged | tables)
+                after, touched = writes.apply(write, stored, self.catalog.keys[write.table], {}, read, values)
+                touched = settled(touched)
+                done = {"rows_affected": touched.count(), "time": time.monotonic() - began}
+                if write.returning:
+                    done["rows"] = self.read(f"SELECT {write.returning} FROM {write.table}", values, staged | {write.table: touched}).collect()
+                staged[write.table] = settled(after)
+                out.append(done)
+        self._written |= staged
+        return out
 
     def explain(self, statement: str | list | dict) -> str:
         """The physical plan as text."""
@@ -63,7 +137,7 @@ class Engine:
         known = [n for n in names if n in self.catalog.keys]
         counts = None
         for n in known:
-            one = self.catalog.table(n).agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows")
+            one = self.table(n).agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows")
             counts = one if counts is None else counts.unionAll(one)
         if counts is None:
             counts = self.spark.createDataFrame([], "table_name string, n_rows long")
@@ -71,18 +145,26 @@ class Engine:
 
 
 class Limit:
+    """Cancels the jobs that its block starts once the time is over, which then ends with a TimeoutError."""
+
     def __init__(self, spark: SparkSession, seconds: float | None):
-        self.spark, self.tag = spark, f"query-{uuid.uuid4().hex}"
-        self.timer = threading.Timer(seconds, lambda: spark.interruptTag(self.tag)) if seconds else None
+        self.spark, self.seconds, self.tag, self.over = spark, seconds, f"query-{uuid.uuid4().hex}", False
+        self.timer = threading.Timer(seconds, self._stop) if seconds else None
+
+    def _stop(self) -> None:
+        self.over = True
+        self.spark.sparkContext.cancelJobsWithTag(self.tag)
 
     def __enter__(self) -> Limit:
-        self.spark.addTag(self.tag)
+        self.spark.sparkContext.addJobTag(self.tag)
         if self.timer:
             self.timer.daemon = True
             self.timer.start()
         return self
 
-    def __exit__(self, *_: object) -> None:
+    def __exit__(self, kind: type[BaseException] | None, error: BaseException | None, trace: object) -> None:
         if self.timer:
             self.timer.cancel()
-        self.spark.removeTag(self.tag)
+        self.spark.sparkContext.removeJobTag(self.tag)
+        if self.over and error is not None:
+            raise TimeoutError(f"stopped after {self.seconds} s") from error

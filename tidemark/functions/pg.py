@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.engine.catalog import TYPE_OIDS
+from tidemark.plans.calls import SETTINGS, quoted
 
 #: Names that must be quoted as identifiers (fixed values: SQL's reserved words that clients meet).
 KEYWORDS = (
@@ -20,8 +21,7 @@ KEYWORDS = (
     "using", "values", "when", "where", "with",
 )
 
-#: What current_setting answers (fixed values).
-SETTINGS = {"server_version": "14.0", "server_version_num": "140000", "search_path": "main", "client_encoding": "UTF8", "standard_conforming_strings": "on", "TimeZone": "UTC", "DateStyle": "ISO", "integer_datetimes": "on"}
+VERSION = "PostgreSQL 14.0 (tidemark)"
 
 
 def array_to_string(arr: Column, delimiter: str) -> Column:
@@ -95,7 +95,7 @@ def current_setting(name: str) -> Column:
 
 
 def version() -> Column:
-    return F.lit("PostgreSQL 14.0 (tidemark)")
+    return F.lit(VERSION)
 
 
 def format_type(oid: Column) -> Column:
@@ -156,12 +156,53 @@ def json_contains(selector: str, value: Column) -> Column:
     return F.when(value.isNotNull(), walk(json.loads(selector), "$"))
 
 
-def register(spark: SparkSession) -> None:
-    """The functions that SQL text may call, as SQL functions that the optimiser inlines, and Python where it must be."""
-    spark.udf.register("json_contains", json_contains_any)
-    spark.udf.register("parse_ident", parse_ident_column)
-    for name, body in {
-        "array_to_string(arr STRING, d STRING) RETURNS STRING": "coalesce(array_join(split(regexp_replace(trim(arr), '^\\\\{|\\\\}$', ''), ','), d), '')",
-        "string_to_array(s STRING, d STRING) RETURNS ARRAY<STRING>": "if(d = '', split(s, ''), split(s, concat('\\\\Q', d, '\\\\E')))",
-    }.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name} RETURN {body}")
+@F.pandas_udf(T.StringType())
+def regexp_replace_any(text: pd.Series, pattern: pd.Series, replacement: pd.Series, flags: pd.Series) -> pd.Series:
+    """regexp_replace where the pattern differs by row; by Arrow batches."""
+
+    def one(x: str | None, p: str | None, r: str | None, f: str | None) -> str | None:
+        if None in (x, p, r):
+            return None
+        try:
+            found = re.compile(p, re.I if "i" in (f or "") else 0)
+        except re.error:
+            return x
+        return found.sub(re.sub(r"[$\\\\](\d)", r"\\\\g<\1>", r), x, count=0 if "g" in (f or "") else 1)
+
+    return pd.Series([one(*z) for z in zip(text, pattern, replacement, flags, strict=True)], dtype="object")
+
+
+def _mapped(pairs: dict) -> str:
+    return "map(" + ", ".join(f"{k if isinstance(k, int) else quoted(k)}{'L' * isinstance(k, int)}, {quoted(v)}" for k, v in pairs.items()) + ")" if pairs else "CAST(map() AS MAP<BIGINT, STRING>)"
+
+
+_BRACES = "regexp_replace(trim(arr), '^\\\\{|\\\\}$', '')"
+_LENGTH = f"CAST(CASE WHEN startswith(trim(arr), '{{') THEN if(trim({_BRACES}) = '', 0, size(split({_BRACES}, ','))) ELSE json_array_length(arr) END AS BIGINT)"
+#: Functions of one expression: (arguments, type, body). Their names are those of calls.NAMED's values.
+BODIES = {
+    "array_to_string": ("arr STRING, d STRING", "STRING", f"coalesce(array_join(split({_BRACES}, ','), d), '')"),
+    "tide_array_to_string": ("arr STRING, d STRING, missing STRING DEFAULT NULL", "STRING", f"coalesce(array_join(split({_BRACES}, ','), d), '')"),
+    "string_to_array": ("s STRING, d STRING", "ARRAY<STRING>", "if(d = '', split(s, ''), split(s, concat('\\\\Q', d, '\\\\E')))"),
+    "tide_string_to_array": ("s STRING, d STRING", "STRING", "to_json(if(d = '', split(s, ''), split(s, concat('\\\\Q', d, '\\\\E'))))"),
+    "tide_array_length": ("arr STRING, dim INT DEFAULT 1", "BIGINT", _LENGTH),
+    "tide_array_lower": ("arr STRING, dim INT DEFAULT 1", "BIGINT", f"if({_LENGTH} > 0, 1L, NULL)"),
+    "tide_array_upper": ("arr STRING, dim INT DEFAULT 1", "BIGINT", f"if({_LENGTH} > 0, {_LENGTH}, NULL)"),
+    "tide_quote_ident": ("s STRING", "STRING", f"if(s rlike '^[A-Za-z_][A-Za-z0-9_]*$' AND lower(s) NOT IN ({', '.join(map(quoted, KEYWORDS))}), s, concat('\"', replace(s, '\"', '\"\"'), '\"'))"),
+    "tide_format_type": ("oid BIGINT, typmod BIGINT DEFAULT NULL", "STRING", f"coalesce(try_element_at({_mapped(TYPE_OIDS)}, oid), 'unknown')"),
+    "tide_version": ("", "STRING", quoted(VERSION)),
+}
+UDFS = {"json_contains": json_contains_any, "tide_json_contains": json_contains_any, "parse_ident": parse_ident_column, "tide_parse_ident": parse_ident_column, "tide_regexp_replace": regexp_replace_any}
+
+
+def register(spark: SparkSession, names: set[str] | None = None, definitions: dict[str, dict[int, str]] | None = None) -> None:
+    """The functions that SQL text may call, as SQL functions that the optimiser inlines, and Python where it must be.
+
+    names: only these. definitions: for functions that look a definition up by its number, what they answer.
+    """
+    for name, udf in UDFS.items():
+        if names is None or name in names:
+            spark.udf.register(name, udf)
+    bodies = BODIES | {n: ("oid BIGINT, col BIGINT DEFAULT 0, pretty BOOLEAN DEFAULT false", "STRING", f"try_element_at({_mapped(x)}, oid)") for n, x in (definitions or {}).items()}
+    for name, (arguments, kind, body) in bodies.items():
+        if names is None or name in names:
+            spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {kind} RETURN {body}")

@@ -56,10 +56,15 @@ def duration(text: str) -> int:
 
 
 def reapable(changes: DataFrame, now: Column, retention: str, limit: int | None = REAP_LIMIT, where: str | None = None) -> DataFrame:
-    """Keys of deleted rows whose deletion is older than the retention; the oldest first, up to a limit if there is one."""
-    old = changes.where("cid = '-1' and cl % 2 = 0").where(F.col("ts") < now - F.expr(f"interval {duration(retention)} seconds"))
+    """Keys of deleted rows whose deletion is older than the retention; the oldest first, up to a limit if there is one.
+
+    A row's largest causal length says whether it is deleted now: one that came back after an old deletion is alive. Each
+    key comes out once, with the time of its latest deletion.
+    """
+    latest = changes.groupBy("tbl", "pk").agg(F.max("cl").alias("cl"), F.max(F.when((F.col("cid") == "-1") & (F.col("cl") % 2 == 0), F.struct("cl", "ts"))).alias("gone"))
+    old = latest.where("cl % 2 = 0 and gone.cl = cl").select("tbl", "pk", F.col("gone.ts").alias("ts")).where(F.col("ts") < now - F.expr(f"interval {duration(retention)} seconds"))
     old = old.where(where) if where else old
-    return old.select("tbl", "pk", "ts").orderBy("ts", "tbl", "pk").limit(limit) if limit else old.select("tbl", "pk", "ts")
+    return old.orderBy("ts", "tbl", "pk").limit(limit) if limit else old
 
 
 def reap(changes: DataFrame, keys: DataFrame) -> DataFrame:

@@ -254,7 +254,8 @@ ORACLES: dict[str, str] = {
  r AS (SELECT *, 1 AS held FROM m UNION ALL SELECT *, 0 FROM n), w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, held DESC) AS rn FROM r) t WHERE rn = 1)
  SELECT w.id, w.state, coalesce(w.rtt_min, m.rtt_min) AS rtt_min, w.updated_at FROM w LEFT JOIN m ON m.id = w.id""",
     "delete_if_older": "SELECT o_orderkey, o_orderdate FROM orders WHERE NOT (o_orderpriority = '5-LOW' AND o_orderdate < TIMESTAMP '1996-01-01')",
-    "reap_deleted": f"WITH {i.ROW_CHANGES} SELECT tbl, pk FROM row_changes WHERE cid = '-1' AND cl % 2 = 0 AND ts < TIMESTAMP '2024-02-01' - INTERVAL 14 DAY ORDER BY ts, tbl, pk LIMIT 500",
+    "reap_deleted": f"""WITH {i.ROW_CHANGES}, latest AS (SELECT tbl, pk, cid, cl, ts, row_number() OVER (PARTITION BY tbl, pk ORDER BY cl DESC, (cid = '-1') DESC, ts DESC) AS rn FROM row_changes)
+ SELECT tbl, pk FROM latest WHERE rn = 1 AND cid = '-1' AND cl % 2 = 0 AND ts < TIMESTAMP '2024-02-01' - INTERVAL 14 DAY ORDER BY ts, tbl, pk LIMIT 500""",
     "reap_orphans": f"WITH {i.CHANGES} SELECT c_custkey AS pk FROM customer WHERE c_custkey NOT IN (SELECT pk FROM changes)",
     "schema_evolve": "SELECT c_custkey, c_name, CAST(1 AS BIGINT) AS tier, CAST(NULL AS VARCHAR) AS note, upper(c_name) AS shout FROM customer",
     "histogram_buckets": f"WITH {_EDGES}, lags AS (SELECT event_type, value / 10 AS lag FROM events), counted AS ({_COUNTED.format(more='')}) SELECT k.event_type, e.bucket, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT event_type FROM events) k CROSS JOIN edges e LEFT JOIN counted c ON c.event_type = k.event_type AND c.bucket = e.bucket",
