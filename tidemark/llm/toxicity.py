@@ -1,8 +1,9 @@
 """A toxicity classifier with counterfactual regularisation.
 
-Logistic regression on the distinct words of a text and their beginnings. For each labelled text that mentions a group, a copy is made in
-which identity terms are swapped; the squared change of the score's logit is penalised, so that the words that name a
-group don't carry weight of their own and neutral mentions aren't flagged.
+Logistic regression on the distinct words of a text and their beginnings. Each labelled text has a counterfactual: where it
+mentions a group, a copy in which identity terms are swapped; where it mentions none, a term is placed into it, and into a
+copy the term that takes its place. The squared change of the score's logit within such a pair is penalised, so that the
+words that name a group, and what they begin with, don't carry weight of their own and neutral mentions aren't flagged.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,6 +72,20 @@ def swapped(text: str, terms: dict[str, str]) -> set[str] | None:
     return features(" ".join(terms.get(w, w) for w in words))
 
 
+def counterfactual(text: str, terms: dict[str, str]) -> tuple[set[str], set[str]]:
+    """The features that only one, and only the other, of a text's pair has: the text and its copy with identity terms
+    swapped, or, if it holds none, the text with a term (chosen by the text's features) and with the one in its place."""
+    own = features(text)
+    if not terms:
+        return set(), set()
+    other = swapped(text, terms)
+    if other is None:
+        names = sorted(terms)
+        term = names[xxhash.xxh3_64_intdigest("\0".join(sorted(own))) % len(names)]
+        own, other = own | features(term), own | features(terms[term])
+    return own - other, other - own
+
+
 def learnable(doc_id: Column, folds: int = 5, held_out: int = 0) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)) != held_out
 
@@ -104,29 +120,31 @@ def telling(learnt: DataFrame, n_toxic: int, n_clean: int, most: int = FEATURES,
 
 
 def examples(learnt: DataFrame, columns: list[str], terms: dict[str, str] = IDENTITY_TERMS) -> DataFrame:
-    """(toxic, places in columns of the text's features, of those after swapping or null) of each text."""
+    """(toxic, place, words, more, less) of each text: a hash of its features, the places in columns of its features, and
+    of those that only one and only the other of its counterfactual pair has."""
     chosen = learnt.sparkSession.sparkContext.broadcast({f: n for n, f in enumerate(columns)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = chosen.value
+        known = chosen.value
         for batch in batches:
-            own, other = [], []
+            found: list[list] = [[], [], []]
             for text in common.texts_of(batch.column(0)):
-                swaps = swapped(text, terms)
-                own.append(sorted(place[f] for f in features(text) & place.keys()))
-                other.append(None if swaps is None else sorted(place[f] for f in swaps & place.keys()))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(own, pa.list_(pa.int32())), pa.array(other, pa.list_(pa.int32()))], ["toxic", "words", "swapped"])
+                for out, names in zip(found, (features(text), *counterfactual(text, terms)), strict=True):
+                    out.append(sorted(known[f] for f in names & known.keys()))
+            place = [xxhash.xxh3_64_intdigest(np.array(w + [-1] + m + [-1] + n, np.int32).tobytes()) >> 1 for w, m, n in zip(*found, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(place, pa.int64()), *(pa.array(x, pa.list_(pa.int32())) for x in found)], ["toxic", "place", "words", "more", "less"])
 
-    return learnt.mapInArrow(run, "toxic int, words array<int>, swapped array<int>")
+    return learnt.mapInArrow(run, "toxic int, place long, words array<int>, more array<int>, less array<int>")
 
 
-class _Rows:
-    """Sparse rows of 0 and 1, as places of the ones."""
+class Ones:
+    """Sparse rows of 0 and 1, as places of the ones: a column of lists."""
 
-    def __init__(self, rows: list[np.ndarray], width: int):
-        self.n, self.width = len(rows), width
-        self.cols = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        self.row = np.repeat(np.arange(self.n), [len(r) for r in rows])
+    def __init__(self, column: pa.ChunkedArray | pa.Array, width: int):
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        self.n, self.width = len(column), width
+        self.cols = column.flatten().to_numpy().astype(np.int64)
+        self.row = np.repeat(np.arange(self.n), np.diff(column.offsets.to_numpy()))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.cols], self.n)
@@ -135,45 +153,48 @@ class _Rows:
         return np.bincount(self.cols, g[self.row], self.width)
 
 
-def fit(toxic: np.ndarray, words: list[np.ndarray], swaps: list[np.ndarray | None], width: int, penalty: float = SWAP_PENALTY) -> tuple[np.ndarray, float]:
-    """Weights of the features and the intercept, by Adam on the mean logistic loss, ridge and swap penalty."""
+def fit(toxic: np.ndarray, words: Ones, more: Ones, less: Ones, penalty: float = SWAP_PENALTY, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """Weights of the features and the intercept, by Adam on the mean logistic loss, ridge and swap penalty: the mean
+    over the pairs that differ of the squared change of the logit."""
     y = np.asarray(toxic, np.float64)
     share = (y.sum() + 0.5) / (len(y) + 1)
-    pairs = [k for k, s in enumerate(swaps) if s is not None]
-    x, x0, x1 = _Rows(words, width), _Rows([words[k] for k in pairs], width), _Rows([swaps[k] for k in pairs], width)
-    w, b = np.zeros(width), float(np.log(share / (1 - share)))
+    pairs = len(np.union1d(more.row, less.row))
+    w, b = np.zeros(words.width), float(np.log(share / (1 - share)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    for t in range(1, ROUNDS + 1):
-        err = (1 / (1 + np.exp(-np.clip(x.dot(w) + b, -40, 40))) - y) / len(y)
-        g, gb = x.turned_dot(err) + RIDGE * w, err.sum()
+    for t in range(1, rounds + 1):
+        err = (1 / (1 + np.exp(-np.clip(words.dot(w) + b, -40, 40))) - y) / len(y)
+        g, gb = words.turned_dot(err) + RIDGE * w, err.sum()
         if pairs:
-            d = 2 * penalty * (x0.dot(w) - x1.dot(w)) / len(pairs)
-            g += x0.turned_dot(d) - x1.turned_dot(d)
+            d = 2 * penalty * (more.dot(w) - less.dot(w)) / pairs
+            g += more.turned_dot(d) - less.turned_dot(d)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        rate = 0.1 * (1 - t / (ROUNDS + 1))
+        rate = 0.1 * (1 - t / (rounds + 1))
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-9)
     return w, float(b)
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, penalty: float = SWAP_PENALTY) -> tuple[dict[str, float], float]:
+def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, penalty: float = SWAP_PENALTY, report: dict[str, int] | None = None) -> tuple[dict[str, float], float]:
     """Fit on a bounded sample. Without both classes there are no weights, and the score is the class's share.
 
-    The rows are put in order, so that the fit doesn't depend on how they are dealt.
+    The rows are put in order, so that the fit doesn't depend on how they are dealt. report, if given, is told the number
+    of texts, and of pairs whose scores could differ.
     """
-    learnt = sample(docs, labels, rows)
+    learnt = common.materialize(sample(docs, labels, rows), "labelled")
     n = {r["toxic"]: r["count"] for r in learnt.groupBy("toxic").count().collect()}
+    if report is not None:
+        report |= {"texts": sum(n.values()), "pairs": 0}
     if not n.get(0) or not n.get(1):
         share = (n.get(1, 0) + 0.5) / (sum(n.values()) + 1)
         return {}, float(np.log(share / (1 - share)))
     columns = telling(learnt, n[1], n[0])
     table = examples(learnt, columns).toArrow()
-    words = [np.array(x, np.int64) for x in table["words"].to_pylist()]
-    swaps = [None if x is None else np.array(x, np.int64) for x in table["swapped"].to_pylist()]
-    toxic = table["toxic"].to_numpy()
-    order = sorted(range(len(words)), key=lambda k: (toxic[k], words[k].tobytes()))
-    weights, intercept = fit(toxic[order], [words[k] for k in order], [swaps[k] for k in order], len(columns), penalty)
+    table = table.take(pa.array(np.lexsort((table["place"].to_numpy(), table["toxic"].to_numpy()))))
+    words, more, less = (Ones(table[x], len(columns)) for x in ("words", "more", "less"))
+    if report is not None:
+        report["pairs"] = len(np.union1d(more.row, less.row))
+    weights, intercept = fit(table["toxic"].to_numpy(), words, more, less, penalty)
     return dict(zip(columns, weights.tolist(), strict=True)), intercept
 
 
