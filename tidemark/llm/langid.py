@@ -22,8 +22,10 @@ from pyspark.sql import types as T
 
 from tidemark.llm import common
 
-#: Most texts and most word types to learn a language from, and the signs of its longest word, the start's mark included.
-TRAIN_ROWS, TRAIN_WORDS, TRAIN_SIGNS = 400, 10_000, 200
+#: Most texts to learn a language from: those of the smallest hashes.
+TRAIN_ROWS = 400
+#: Signs after which a letter run is cut when it is learnt from: its probability stays in range.
+STRETCH = 60
 ROUNDS = 3
 #: The count that every piece has besides, and the probability of a sign that no piece covers.
 ADDED, UNKNOWN = 0.05, 1e-9
@@ -139,48 +141,102 @@ class Model:
         return out
 
 
-def learn_pieces(words: Counter, vocab: list[str], rounds: int = ROUNDS, signs: int = TRAIN_SIGNS) -> dict[str, float]:
-    """Piece probabilities of one language by expectation maximisation over its words of at most `signs` and their counts."""
-    longest = max(map(len, vocab), default=1)
-    prob = dict.fromkeys(vocab, 1 / max(len(vocab), 1))
+def learn_pieces(words: Counter, vocab: list[str], rounds: int = ROUNDS, signs: int | None = None) -> dict[str, float]:
+    """Piece probabilities of one language by expectation maximisation over its words (with `signs`, of at most so many) and
+    their counts. Letter runs of more than STRETCH signs count as several words of that length."""
+    long = [w for w in words if len(w) > STRETCH]
+    if long:
+        words = Counter(words)
+        for w in long:
+            times = words.pop(w)
+            if signs is None or len(w) <= signs:
+                for a in range(0, len(w), STRETCH):
+                    words[w[a : a + STRETCH]] += times
+    words = Counter({w: n for w, n in words.items() if signs is None or len(w) <= signs})
+    place = {p[:n]: -1 for p in vocab for n in range(1, len(p))} | {p: n for n, p in enumerate(vocab)}
+    names = list(words)
+    lattices = [Lattice(names[a : a + 8192], place, len(vocab)) for a in range(0, len(names), 8192)]
+    times = np.array([words[w] for w in names], np.float64)
+    prob = np.full(len(vocab), 1 / max(len(vocab), 1))
     for _ in range(rounds):
-        found: Counter = Counter()
-        for word, times in words.items():
-            n = len(word)
-            if n > signs:
-                continue  # such runs teach nothing of a language's words
-            cuts = [[(start, p, prob[p]) for start in range(max(0, end - longest), end) if (p := word[start:end]) in prob] or [(end - 1, "", UNKNOWN)] for end in range(1, n + 1)]
-            ahead = [1.0] + [0.0] * n
-            for end, ways in enumerate(cuts, 1):
-                ahead[end] = sum(ahead[s] * x for s, _, x in ways)
-            back = [0.0] * n + [1.0]
-            for end in range(n, 0, -1):
-                for s, _, x in cuts[end - 1]:
-                    back[s] += back[end] * x
-            if ahead[n] > 0:
-                for end, ways in enumerate(cuts, 1):
-                    for s, p, x in ways:
-                        if p:
-                            found[p] += times * ahead[s] * x * back[end] / ahead[n]
-        total = sum(found.values()) + ADDED * len(vocab)
-        prob = {p: (found[p] + ADDED) / total for p in vocab}
-    return prob
+        found = np.zeros(len(vocab) + 1)
+        for k, lattice in enumerate(lattices):
+            found += lattice.expected(np.append(prob, UNKNOWN), times[k * 8192 : (k + 1) * 8192])
+        prob = (found[:-1] + ADDED) / (found[:-1].sum() + ADDED * len(vocab))
+    return dict(zip(vocab, prob.tolist(), strict=True))
+
+
+class Lattice:
+    """All pieces at all places of some words: arcs from start to end, by which segmentations are summed."""
+
+    def __init__(self, words: list[str], place: dict[str, int], unknown: int):
+        get, arcs = place.get, []
+        for n, word in enumerate(words):
+            size = len(word)
+            for start in range(size):
+                row = get(word[start], -1)
+                arcs.append((n, start, start + 1, row if row >= 0 else unknown))
+                for end in range(start + 2, size + 1):
+                    row = get(word[start:end])
+                    if row is None:
+                        break
+                    if row >= 0:
+                        arcs.append((n, start, end, row))
+        self.word, self.start, self.end, self.row = np.array(arcs, np.int64).reshape(-1, 4).T
+        self.sizes, self.rows = np.array([len(w) for w in words]), unknown + 1
+
+    def _sums(self, prob: np.ndarray, ways: np.ndarray, at: np.ndarray, other: np.ndarray, steps: range) -> np.ndarray:
+        order = np.lexsort((self.word, at))
+        bounds = np.searchsorted(at[order], np.arange(ways.shape[1] + 1))
+        for k in steps:
+            some = order[bounds[k] : bounds[k + 1]]
+            if len(some):
+                word = self.word[some]
+                first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+                ways[word[first], k] += np.add.reduceat(ways[word, other[some]] * prob[self.row[some]], first)
+        return ways
+
+    def expected(self, prob: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """How often each piece is expected in the words, given how often they occur."""
+        n, most = len(self.sizes), int(self.sizes.max(initial=0))
+        ahead, back = np.zeros((n, most + 1)), np.zeros((n, most + 1))
+        ahead[:, 0] = 1
+        self._sums(prob, ahead, self.end, self.start, range(1, most + 1))
+        back[np.arange(n), self.sizes] = 1
+        self._sums(prob, back, self.start, self.end, range(most, -1, -1))
+        whole = ahead[np.arange(n), self.sizes]
+        share = np.where(whole > 0, times / np.where(whole > 0, whole, 1), 0)
+        return np.bincount(self.row, share[self.word] * ahead[self.word, self.start] * prob[self.row] * back[self.word, self.end], self.rows)
 
 
 def learnable(doc_id: Column, folds: int = 4, held_out: int = 2) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)) != held_out
 
 
-def learn(docs: DataFrame, vocab_path: str, rows: int = TRAIN_ROWS, types: int = TRAIN_WORDS, signs: int = TRAIN_SIGNS) -> tuple[list[str], dict[str, tuple[float, ...]]]:
+def training_ids(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """(doc_id, lang) of the `rows` smallest hashes of each language outside the held-out fold.
+
+    A histogram of the hashes' leading bits tells up to which of them the rows lie, so that no task ranks more of a
+    language than about the rows it keeps.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where("lang is not null and doc_id is not null").where(learnable(F.col("doc_id")))
+    ids = ids.distinct().withColumn("hash", F.xxhash64("doc_id")).withColumn("bin", F.shiftright("hash", 48))
+    counts = ids.groupBy("lang", "bin").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("bin")) - F.col("n")
+    cuts = counts.withColumn("before", before).where(F.col("before") < rows).groupBy("lang").agg(F.max("bin").alias("cut"))
+    order = Window.partitionBy("lang").orderBy("hash", "doc_id")
+    return ids.join(cuts, "lang").where("bin <= cut").withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows).select("doc_id", "lang")
+
+
+def learn(docs: DataFrame, vocab_path: str, rows: int = TRAIN_ROWS, types: int | None = None, signs: int | None = None) -> tuple[list[str], dict[str, tuple[float, ...]]]:
     """Languages and their piece probabilities, from at most `rows` texts of each language outside the held-out fold.
 
-    Of these texts the `types` commonest words of each language count, but for those of more than `signs` signs (the mark
-    of the word's start is one).
+    All words of these texts count; with `types` only so many of the commonest of each language, with `signs` only those
+    of at most so many signs (the mark of the word's start is one).
     """
     common.long_rows(docs.sparkSession)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where("lang is not null and doc_id is not null").where(learnable(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = ids.distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows).select("doc_id", "lang")
+    sample = common.materialize(training_ids(docs, rows), "language-sample")
+    sample = F.broadcast(sample) if sample.count() <= common.BROADCAST_IDS else sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -190,9 +246,9 @@ def learn(docs: DataFrame, vocab_path: str, rows: int = TRAIN_ROWS, types: int =
         keys = list(counts)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64())], ["lang", "word", "n"])
 
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("lang", "text")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id").select("lang", "text")
     counted = text.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= types)
+    top = counted if types is None else counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= types)
     words: dict[str, Counter] = {}
     for r in top.select("lang", "word", "n").toArrow().to_pylist():
         words.setdefault(r["lang"], Counter())[r["word"]] = r["n"]
@@ -287,7 +343,9 @@ def identify(docs: DataFrame, vocab_path: str, rows: int = TRAIN_ROWS) -> DataFr
     """Predict the language of every document after learning from the others' lang outside the held-out fold.
 
     Needs columns doc_id, text and lang; others are ignored. One row per row of docs: doc_id, held_out, lang_pred, score.
-    A null doc_id is not held out. An empty table gives no rows.
+    A null doc_id is not held out. Repeated rows are predicted each; learning counts a doc_id once for each lang that it
+    has, with all its texts. Texts may be of any length. Where no piece of the vocabulary covers a letter, all languages
+    give it the same small probability. An empty table gives no rows.
     """
     langs, pieces = learn(docs, vocab_path, rows)
     named = with_languages(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), langs, pieces, ["doc_id"])
