@@ -195,3 +195,109 @@ def test_language_stage_without_a_language_drops_letterless_texts_only(spark, sf
     rows = [(1, "Hello there.", None, "a", 12), (2, "12 + 3!", None, "a", 7), (3, None, None, "b", 0), (4, "été", None, "b", 3), (None, "x1", None, "c", 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
     assert {tuple(r) for r in stages.keep_identified(spark, docs, sf_dir).collect()} == {rows[0], rows[3], rows[4]}
+
+
+def test_pairs_act_on_the_driver_tables(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    report, changes = {}, {}
+    for penalty in (0.0, 1.0):
+        weights, intercept = toxicity.learn(docs, labels, penalty=penalty, report=report)
+        logit = lambda names: sum(weights.get(f, 0.0) for f in names)  # noqa: B023, E731
+        texts = [r.text or "" for r in docs.limit(40).collect()]
+        pairs = [toxicity.counterfactual(t, toxicity.IDENTITY_TERMS) for t in texts]
+        changes[penalty] = sum(abs(logit(a) - logit(b)) for a, b in pairs)
+    assert report["pairs"] > 300 and report["pairs"] <= report["texts"]
+    assert changes[1.0] < changes[0.0] / 20
+
+
+def test_fit_reaches_the_optimum_that_newton_finds():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    width, n = 12, 400
+    rows = [sorted(set(rng.integers(0, width, 5).tolist())) for _ in range(n)]
+    y = np.array([float(0 in r or (1 in r and 2 in r)) for r in rows])
+    y[rng.random(n) < 0.1] = 0
+    more, less = [[3] if k % 2 else [] for k in range(n)], [[0] if k % 2 else [] for k in range(n)]
+    ones = [toxicity.Ones(pa.array(x, pa.list_(pa.int32())), width) for x in (rows, more, less)]
+    dense = np.zeros((n, width + 1))
+    for k, r in enumerate(rows):
+        dense[k, r] = 1
+    dense[:, width] = 1
+    change = np.zeros(width + 1)
+    change[3], change[0] = 1, -1
+
+    def value(v, penalty):
+        z = dense @ v
+        return np.mean(np.logaddexp(0, z) - y * z) + toxicity.RIDGE / 2 * (v[:width] ** 2).sum() + penalty * (change @ v) ** 2
+
+    for penalty in (0.0, 0.3):
+        v = np.zeros(width + 1)
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-dense @ v))
+            g = dense.T @ (p - y) / n + toxicity.RIDGE * np.append(v[:width], 0) + 2 * penalty * change * (change @ v)
+            h = dense.T @ (dense * (p * (1 - p))[:, None]) / n + toxicity.RIDGE * np.diag([1.0] * width + [0]) + 2 * penalty * np.outer(change, change)
+            v -= np.linalg.solve(h + 1e-9 * np.eye(width + 1), g)
+        w, b = toxicity.fit(y, *ones, penalty=penalty, rounds=8000)
+        assert value(np.append(w, b), penalty) <= value(v, penalty) + 1e-3
+
+
+def test_scores_are_recomputed_from_the_weights(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    weights, intercept = toxicity.learn(docs, labels)
+    got = {r.doc_id: r for r in queries.op7_toxicity(spark, sf_dir).collect()}
+    for d in docs.collect():
+        words = {w.strip(toxicity.SIGNS) for w in (d.text or "").lower().split()} - {""}
+        names = {w + "$" for w in words} | {w[:k] for w in words for k in range(3, 9) if len(w) >= k}
+        score = 1 / (1 + np.exp(-(intercept + sum(weights.get(x, 0.0) for x in names))))
+        assert abs(got[d.doc_id].score - score) < 1e-9 and got[d.doc_id].predicted == int(score >= 0.5)
+
+
+def test_predictions_are_recomputed_by_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    langs, pieces = langid.learn(docs, PIECES)
+    model = langid.Model(pieces, len(langs))
+    got = {r.doc_id: r for r in queries.op8_langid(spark, sf_dir).collect()}
+    for d in docs.collect():
+        if d.text and len(d.text) < 1500:
+            words = ["▁" + w for w in langid.regex.findall(r"\p{L}+", d.text.lower())]
+            total = sum((np.array(langid.forward(w, pieces, model.longest, model.unknown)) for w in words), np.zeros(len(langs)))
+            r = got[d.doc_id]
+            assert r.lang_pred == (langs[int(total.argmax())] if words else "und")
+            assert not words or abs(r.score - 1 / np.exp(total - total.max()).sum()) < 1e-6
+
+
+def test_the_sample_of_a_language_that_most_rows_have(spark):
+    rows = [(n, "a" if n % 10 else "b") for n in range(20_000)] + [(n, "a") for n in range(50)] + [(None, "a"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string")
+    order = {r.doc_id: r.h for r in docs.selectExpr("doc_id", "xxhash64(doc_id) AS h").distinct().collect()}
+    got = langid.training_ids(docs, 100).collect()
+    for lang in "ab":
+        ids = sorted({n for n, x in rows if x == lang and n is not None and not held(n, 4, 2)}, key=lambda n: (order[n], n))
+        assert sorted(r.doc_id for r in got if r.lang == lang) == sorted(ids[:100])
+
+
+def test_language_stage_follows_the_model(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    more = [(9101, "日本語の文章です " * 20, None, None, 9), (9102, "1234", None, None, 4), (9103, None, None, None, 0), (None, "the and of that with", None, None, 9)]
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema)).withColumn("score", docs.n_chars)
+    kept = {r.doc_id for r in stages.keep_identified(spark, docs, sf_dir).collect()}
+    truth = {r.doc_id: r.lang for r in docs.collect()}
+    assert 9101 not in kept and 9102 not in kept and 9103 not in kept and None in kept  # a letter test would keep 9101
+    assert len(kept & {n for n, x in truth.items() if x}) >= 0.99 * sum(bool(x) for x in truth.values())
+    english = {r.doc_id for r in stages.keep_identified(spark, docs, sf_dir, ["en"]).collect()}
+    assert english < kept and {truth[n] for n in english if n is not None} == {"en"}
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    odd = [(None, "the and of that with them", "en", "s", 5), (None, None, None, None, None), (9001, "", "en", "s", 0), (9002, "that and the from with " * 4000, "en", "s", 9), (9003, "the same words again and here", "en", "s", 9), (9003, "the same words again and here", "en", "s", 9)]
+    both = docs.unionByName(spark.createDataFrame(odd, docs.schema)).selectExpr("*", "1 AS score", "2 AS component_id", "3 AS lang_pred")
+    for name, rows in (("odd", both), ("none", both.limit(0))):
+        folder = f"{tmp_path}/{name}"
+        rows.write.parquet(f"file://{folder}/documents.parquet")
+        spark.read.parquet(f"{sf_dir}/labels.parquet").write.parquet(f"file://{folder}/labels.parquet")
+        out = corpus_pipeline.run(spark, f"file://{folder}").collect()
+        assert bool(out) == (name == "odd")
+    ids = [r.doc_id for r in corpus_pipeline.run(spark, f"file://{tmp_path}/odd").collect()]
+    assert ids.count(9003) == 1 and 9001 not in ids and ids.count(None) == 1 and 9002 in ids

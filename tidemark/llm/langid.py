@@ -258,11 +258,17 @@ def learn(docs: DataFrame, vocab_path: str, rows: int = TRAIN_ROWS, types: int |
     return langs, {p: tuple(m[p] for m in learnt) for p in vocab}
 
 
-def with_languages(docs: DataFrame, langs: list[str], pieces: dict[str, tuple[float, ...]], columns: list[str]) -> DataFrame:
+def with_languages(docs: DataFrame, langs: list[str], pieces: dict[str, tuple[float, ...]], columns: list[str], other: float | None = None) -> DataFrame:
     """The columns named, lang_pred and score (the posterior of the predicted language, all languages alike before).
 
-    Texts that are null or have no letter, and all texts if nothing was learnt, are `und` with score 0.
+    Texts that are null or have no letter, and all texts if nothing was learnt, are `und` with score 0. With `other`, that
+    is the probability beforehand that a text is in none of the languages, but in one that has all pieces alike; a text
+    that this explains best is `und` too, with that posterior.
     """
+    before = np.zeros(len(langs))
+    if other is not None and langs:
+        langs, pieces = [*langs, UNDETERMINED], {p: (*x, 1 / len(pieces)) for p, x in pieces.items()}
+        before = np.log([(1 - other) / (len(langs) - 1)] * (len(langs) - 1) + [other])
     common.long_rows(docs.sparkSession)
     table = docs.sparkSession.sparkContext.broadcast(pieces)
     k = len(langs)
@@ -314,6 +320,7 @@ def with_languages(docs: DataFrame, langs: list[str], pieces: dict[str, tuple[fl
             settle()
             for total in totals:
                 if total[k] > 0:
+                    total[:k] += before
                     best = int(total[:k].argmax())
                     pred.append(langs[best])
                     score.append(float(1 / np.exp(np.clip(total[:k] - total[best], -700, 0)).sum()))

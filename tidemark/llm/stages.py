@@ -10,8 +10,9 @@ from tidemark.llm import common, hyperminhash, langid, packing, toxicity
 
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 TOKENIZER, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: The posterior from which on a language counts as recognised: likelier than all others together.
-LEAST_SCORE = 0.5
+#: The posterior from which on a language counts as recognised: likelier than all others together; and the share of
+#: documents that are taken to be in none of the languages before they are looked at.
+LEAST_SCORE, OTHER = 0.5, 1e-4
 
 
 def keep_harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,16 +22,16 @@ def keep_harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return toxicity.with_scores(docs, weights, intercept, DOCUMENT).where("score < 0.5").select(*DOCUMENT)
 
 
-def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str, languages: list[str] | None = None, least: float = LEAST_SCORE) -> DataFrame:
+def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str, languages: list[str] | None = None, least: float = LEAST_SCORE, other: float = OTHER) -> DataFrame:
     """Documents in one of the languages (None: those that could be learnt) by the model's decision: the prediction is among
-    them, and its posterior is at least `least`. Texts that no language explains better than the others, those that are null
-    or without a letter, and those in other languages go. Where no language could be learnt, the model decides nothing, and
+    them, and its posterior is at least `least`. Texts that no language explains better than pieces at random (`other` is the
+    share of such texts beforehand), those that are null or without a letter, and those in other languages go. Where no language could be learnt, the model decides nothing, and
     only texts without a letter go. Repeated rows and null doc_ids are judged like any other."""
     langs, pieces = langid.learn(docs, public_tokenizers.path(PIECES))
     if not langs:
         return langid.with_letters(docs, DOCUMENT)
     wanted = F.col("lang_pred").isin(langs if languages is None else languages)
-    return langid.with_languages(docs, langs, pieces, DOCUMENT).where(wanted & (F.col("score") >= least)).select(*DOCUMENT)
+    return langid.with_languages(docs, langs, pieces, DOCUMENT, other).where(wanted & (F.col("score") >= least)).select(*DOCUMENT)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
