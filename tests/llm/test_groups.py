@@ -283,3 +283,76 @@ def test_vectors_of_repeated_and_null_ids(spark):
     got = rabitq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
     assert sorted((r.vec_id or -1, r.n_links, r.component_id or -1) for r in got) == [(-1, 0, -1), (2, 1, 2), (2, 1, 2), (5, 1, 2), (5, 1, 2), (7, 0, 7), (8, 0, 8), (9, 1, 2)]
     assert all(r.kept for r in got if r.vec_id is None)
+
+
+def test_dense_groups_cost_rows_in_proportion(spark):
+    for n in (2000, 20_000):
+        rows = spark.range(n).selectExpr("1L AS bucket", "id", "IF(id < 3, id, 100L) AS known", f"{n}L AS n")
+        met = buckets.dealt(rows, 100, "known")
+        assert met.count() <= 2.1 * n
+        assert met.where("lo = hi").select("id").distinct().count() == 3  # only the others' blocks meet themselves
+        assert buckets.dealt(rows.withColumn("known", rows.n), 100, "known").count() == 0
+        pairs = {(r.lo, r.hi) for r in met.select("lo", "hi").distinct().collect()}
+        assert pairs == {(0, 0)} | {(0, k) for k in range(1, -(-(n - 3) // 100) + 1)}
+
+
+def test_blocks_of_known_groups_let_all_others_meet(spark):
+    rng = random.Random(5)
+    rows = [(b, n, rng.choice([1000 + b, 1000 + b, 2000 + b, None])) for b, size in ((1, 90), (2, 7), (3, 41), (4, 1)) for n in range(100 * b, 100 * b + size)]
+    met = buckets.blocks(spark.createDataFrame(rows, "bucket long, id long, grp long"), 10, "grp").collect()
+    held = {}
+    for r in met:
+        held.setdefault((r.bucket, r.lo, r.hi), []).append(r)
+    together = {(min(x.id, y.id), max(x.id, y.id)) for (_, lo, hi), rs in held.items() for x in rs for y in rs if x.id != y.id and (lo == hi or x.own != y.own)}
+    want = {(x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1] and (x[2] is None or x[2] != y[2])}
+    assert want <= together
+
+
+@pytest.mark.parametrize("spread", [0.02, 0.055])
+def test_vector_cores_equal_brute_force(spark, monkeypatch, spread):
+    monkeypatch.setattr(buckets, "BLOCK", 20)
+    rng = np.random.default_rng(12)
+    rows, n = [], 0
+    for size in (90, 60, 8):
+        base = rng.standard_normal(16)
+        for _ in range(size):
+            x = base / np.linalg.norm(base) + spread * rng.standard_normal(16)
+            rows += [(n, x.tolist(), 1)] + [(n + 1000, x.tolist(), 1)] * (n % 9 == 0)
+            n += 1
+    rows += [(n + k, rng.standard_normal(16).tolist(), 1) for k in range(60)]
+    rows += [(0, rows[0][1], 1), (9001, rows[0][1], 2), (None, rows[0][1], 1)]
+    own = {}
+    for k, x, label in rows:
+        if k is not None:
+            own.setdefault(k, set()).add((tuple(x), label))
+    one = {k: [(np.array(x) / np.linalg.norm(x), label) for x, label in v] for k, v in own.items()}
+    near = lambda a, b: any(p[1] == q[1] and p[0] @ q[0] >= 0.93 for p in one[a] for q in one[b])
+    pairs = [(a, b) for a in one for b in one if a < b and near(a, b)]
+    got = rabitq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert len(got) == len(rows) and len(pairs) > 300
+    assert {r.vec_id: r.component_id for r in got if r.vec_id is not None} == roots(one, pairs)
+    links = dict.fromkeys(one, 0)
+    for p in pairs:
+        for x in p:
+            links[x] += 1
+    assert {r.vec_id: r.n_links for r in got if r.vec_id is not None} == links
+
+
+def test_documents_of_large_buckets_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(buckets, "BLOCK", 16)
+    monkeypatch.setattr(buckets, "SMALL", 8)
+    monkeypatch.setattr(hyperminhash, "SETTLE_BLOCK", 12)
+    rng = random.Random(3)
+    words = [f"w{n}" for n in range(4000)]
+    rows = []
+    for edits, size in ((4, 70), (7, 60), (9, 50)):  # around the threshold, links join some and not others
+        base = [rng.choice(words) for _ in range(250)]
+        for _ in range(size):
+            copy = list(base)
+            for _ in range(edits):
+                copy[rng.randrange(250)] = rng.choice(words)
+            rows.append((len(rows), " ".join(copy)))
+    want = brute_documents(rows)
+    got = hyperminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert 5 < len(set(want.values())) < 120
+    assert {r.doc_id: r.component_id for r in got} == want

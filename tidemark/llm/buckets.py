@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import common
+
 #: Rows of one block; a bucket of more rows is dealt into blocks, and every two blocks meet in a task of their own.
 BLOCK = 2048
 #: Up to this size, the pairs of many buckets are made together.
@@ -19,14 +21,53 @@ CHUNK = 1 << 16
 GATHER = 8192
 
 
-def blocks(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """From (bucket, id, ...) to the same with n, own, lo, hi: rows alone in their bucket go; a bucket of n rows over
-    `block` is dealt into blocks by a hash of the id, and a row is repeated for each block that its own must meet."""
+def counted(rows: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame | None]:
+    """(cold, hot): rows of buckets of 2 to `block` rows, and those of larger ones, each with n, the rows of the bucket.
+
+    What is large is known before any row moves: hot rows learn it from a broadcast list of buckets (a bucket of more than
+    `block` rows each, so few; beyond common.BROADCAST_IDS by a shuffle), and only cold ones are brought together by bucket.
+    """
     counts = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    dealt = rows.join(counts, "bucket").withColumn("own", F.when(F.col("n") > block, F.pmod(F.xxhash64("id", "bucket"), parts)).otherwise(0).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.when(F.col("n") > block, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))))
-    return met.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other")
+    large = common.materialize(counts.where(F.col("n") > block), "hot-buckets")
+    many = large.count()
+    if not many:
+        return rows.join(counts, "bucket"), None
+    known = F.broadcast(large) if many <= common.BROADCAST_IDS else large
+    cold = rows.join(known.select("bucket"), "bucket", "left_anti").join(counts.where(F.col("n") <= block), "bucket")
+    return cold, rows.join(known, "bucket")
+
+
+def blocks(rows: DataFrame, block: int = BLOCK, known: str | None = None) -> DataFrame:
+    """From (bucket, id, ...) to the same with n, own, lo, hi: rows alone in their bucket go; a bucket of n rows over
+    `block` is dealt into blocks by a hash of the id, and a row is repeated for each block that its own must meet.
+
+    known: a column of groups within which nothing is left to find (null: a row by itself). Then the blocks of a bucket's
+    largest group don't meet each other, only those of the other rows; a large bucket that is one group goes.
+    """
+    cold, hot = counted(rows, block)
+    one = cold.withColumn("own", F.lit(0)).withColumn("lo", F.lit(0)).withColumn("hi", F.lit(0))
+    return one if hot is None else one.unionByName(dealt(hot, block, known))
+
+
+def dealt(hot: DataFrame, block: int = BLOCK, known: str | None = None) -> DataFrame:
+    """The rows of large buckets (with n) in blocks, repeated for each block that their own must meet."""
+    if known is None:
+        parts = F.ceil(F.col("n") / F.lit(block)).cast("int")
+        placed = hot.withColumn("own", F.pmod(F.xxhash64("id", "bucket"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    else:
+        group = F.coalesce(F.col(known), F.col("id"))
+        sizes = hot.groupBy("bucket", group.alias("_group")).agg(F.count("*").alias("_size"))
+        largest = sizes.groupBy("bucket").agg(F.max(F.struct("_size", "_group")).alias("_most"))
+        # One row for each large bucket.
+        with_most = hot.join(F.broadcast(largest) if largest.count() <= common.BROADCAST_IDS else largest, "bucket").where("_most._size < n")
+        in_it = group == F.col("_most._group")
+        rest = F.ceil((F.col("n") - F.col("_most._size")) / F.lit(block)).cast("int")
+        whole = F.ceil(F.col("_most._size") / F.lit(block)).cast("int")
+        mixed = F.xxhash64("id", "bucket")
+        own = F.when(in_it, rest + F.pmod(mixed, whole)).otherwise(F.pmod(mixed, rest)).cast("int")
+        met = F.sequence(F.lit(0), F.when(in_it, rest).otherwise(rest + whole) - 1)
+        placed = with_most.withColumn("own", own).withColumn("other", F.explode(met)).drop("_most")
+    return placed.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other")
 
 
 def together(df: DataFrame) -> DataFrame:

@@ -8,9 +8,11 @@ index and drops pairs far below the threshold; the rest are confirmed on full se
 a pair with probability (1 - 0.75^4)^32 = 5e-6.
 
 Documents with equal sets are one node from the start. In buckets of many documents pairs are first proposed around
-pivots only; after the links found there are closed into components, the documents of large buckets that still lie in
-different components meet in blocks, each two blocks of a cluster, where all their pairs are looked at until a link
-connects them. So no link between components is lost, and no task emits more pairs than it has rows.
+pivots only, and in buckets of more than a block first within blocks: after the links found there are closed into
+components, only documents of different components still meet, and the largest component's blocks never meet each other,
+so a group of near copies costs rows in proportion to its size. What may still be linked then - documents of one cluster
+of near sketches in different components - meets once more, sketches first, texts only of documents with such a partner,
+until a link connects them. So no link between components is lost, and no task emits more pairs than it has rows.
 """
 
 from __future__ import annotations
@@ -177,7 +179,8 @@ def band_rows(nodes: DataFrame) -> DataFrame:
 
 
 def propose(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share a bucket and may reach the threshold, from bucket members with registers and n_shingles.
+    """Pairs (a, b) that share a bucket and may reach the threshold, from bucket members with registers, n_shingles and
+    component (rows of one are linked already).
 
     In small buckets all pairs. In large ones those around pivots - a row that no earlier pivot has come near to is the
     next pivot - and of the rows around two pivots one pair that comes near, if there is one: the pairs connect what all
@@ -195,16 +198,18 @@ def propose(members: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in buckets.whole_groups(batches):
             ids, n, regs = table.column("id").to_numpy(), table.column("n_shingles").to_numpy(), _registers(table.column("registers"))
+            part = table.column("component").to_numpy()
             found = list(small(table, starts, regs, n))
             for a, b in buckets.large_groups(starts):
                 found.extend(_forest(np.arange(a, b), regs, n))
             if found:
                 i, j = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+                i, j = i[part[i] != part[j]], j[part[i] != part[j]]
                 pairs = np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1), axis=0)
                 if len(pairs):
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return buckets.together(members.select("bucket", "lo", "hi", "own", "id", "n_shingles", "registers")).mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    return buckets.together(members.select("bucket", "lo", "hi", "own", "id", "component", "n_shingles", "registers")).mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
 def _near_one(first: int, rows: np.ndarray, regs: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -227,18 +232,37 @@ def _forest(rows: np.ndarray, regs: np.ndarray, n: np.ndarray) -> Iterator[tuple
     if len(groups) > 1:
         owner = np.concatenate([np.full(len(g), k) for k, g in enumerate(groups)])
         order = np.concatenate(groups)
-        forest = buckets.Forest(len(groups))
+        part = np.arange(len(groups))  # what is connected by now
         for k, g in enumerate(groups[:-1]):
             for i in g:  # rows of pivots that aren't connected with this one yet
-                roots = np.array([forest.root(x) for x in range(len(groups))])
-                others = (owner > k) & (roots[owner] != roots[k])
+                others = (owner > k) & (part[owner] != part[k])
                 if not others.any():
                     break
                 ok = _near_one(i, order[others], regs, n)
-                at, first = np.unique(roots[owner[others][ok]], return_index=True)
-                yield np.full(len(at), i), order[others][ok][first]
-                for x in at:
-                    forest.join(int(x), forest.root(k))
+                at, first = np.unique(part[owner[others][ok]], return_index=True)
+                if len(at):
+                    yield np.full(len(at), i), order[others][ok][first]
+                    part[np.isin(part, at)] = part[k]
+
+
+def with_partners(members: DataFrame) -> DataFrame:
+    """The rows (bucket, lo, hi, own, id, component) of settling that have a near sketch of another component in their
+    blocks, from the same with n_shingles and registers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in buckets.whole_groups(batches, 2 * SETTLE_BLOCK):
+            n, regs, part = table.column("n_shingles").to_numpy(), _registers(table.column("registers")), table.column("component").to_numpy()
+            on = np.zeros(len(n), bool)
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                for i in range(a, b - 1):
+                    j = np.flatnonzero(part[i + 1 : b] != part[i]) + i + 1
+                    j = j[_near_one(i, j, regs, n)]
+                    on[j] = True
+                    on[i] |= len(j) > 0
+            yield from table.select(names).filter(pa.array(on)).to_batches()
+
+    names = ["bucket", "lo", "hi", "own", "id", "component"]
+    return buckets.together(members.select(*names, "n_shingles", "registers")).mapInArrow(run, "bucket long, lo int, hi int, own int, id long, component long")
 
 
 def settle(members: DataFrame) -> DataFrame:
@@ -297,6 +321,11 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def large_buckets(rows: DataFrame) -> DataFrame:
+    """(bucket) of the buckets in which only pairs around pivots were looked at."""
+    return common.materialize(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > buckets.SMALL).select("bucket"), "large")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Link documents whose shingle sets have a Jaccard index of at least 0.75, and close the links into groups.
 
@@ -311,23 +340,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = common.materialize(equal, "nodes")
     rows = band_rows(nodes.select(F.col("node").alias("id"), "registers"))
     payload = nodes.select(F.col("node").alias("id"), "n_shingles", "registers")
-    members = common.materialize(buckets.blocks(rows), "members")
-    pairs = common.materialize(propose(members.join(payload, "id")), "pairs")
+    rows = common.materialize(rows, "bands")
+    cold, hot = buckets.counted(rows, buckets.BLOCK)
+    members = cold.withColumns({"own": F.lit(0), "lo": F.lit(0), "hi": F.lit(0)})
+    if hot is not None:  # within blocks first
+        hot = common.materialize(hot, "hot")
+        own = F.pmod(F.xxhash64("id", "bucket"), F.ceil(F.col("n") / F.lit(buckets.BLOCK)).cast("int")).cast("int")
+        members = members.unionByName(hot.withColumns({"own": own, "lo": own, "hi": own}))
+    members = common.materialize(members, "members")
+    pairs = common.materialize(propose(members.withColumn("component", F.col("id")).join(payload, "id")), "pairs")
     links = common.materialize(confirm(pairs, docs), "confirmed")
     # A doc_id of several rows holds their nodes together.
     again = keyed.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
     tied = keyed.join(again, "doc_id", "left_semi").join(nodes.select("print", "node"), "print").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     links = links.unionByName(tied)
     found = components(links)
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    if hot is not None:  # then rows of different components, across blocks
+        across = common.materialize(buckets.dealt(common.materialize(placed(hot), "hot-components"), buckets.BLOCK, "component"), "across")
+        more = common.materialize(propose(across.join(payload, "id")), "more-pairs")
+        if more.take(1):
+            pairs = pairs.unionByName(more)
+            links = links.unionByName(common.materialize(confirm(more, docs), "more-confirmed"))
+            found = components(links)
     # Large buckets whose members aren't one component yet: their members meet once more, in clusters of all near pairs.
-    large = members.where(F.col("n") > buckets.SMALL)
-    apart = large.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = apart.groupBy("bucket", "lo", "hi").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").drop("mixed")
-    rest = common.materialize(apart.join(mixed, ["bucket", "lo", "hi"]).select("id", "component").distinct(), "apart")
+    apart = placed(rows.join(F.broadcast(large), "bucket") if (large := large_buckets(rows)).count() <= common.BROADCAST_IDS else rows.join(large, "bucket"))
+    mixed = apart.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("bucket")
+    rest = common.materialize(apart.join(mixed, "bucket", "left_semi").select("id", "component").distinct(), "apart")
     if rest.take(1):
         near = components(pairs.unionByName(links)).select(F.col("node").alias("id"), F.col("component").alias("bucket"))
-        met = common.materialize(buckets.blocks(rest.join(near, "id"), SETTLE_BLOCK), "met")
+        met = common.materialize(buckets.blocks(rest.join(near, "id"), SETTLE_BLOCK, "component"), "met")
         text = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+        met = common.materialize(with_partners(met.join(payload, "id")), "partners")
         links = links.unionByName(common.materialize(settle(met.join(common.semi_join(text, met.select("id"), "id"), "id")), "settled"))
         found = components(links)
     named = nodes.select("print", "node").join(found, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
