@@ -9,6 +9,12 @@ pairs; the estimates of both directions and their bounds decide which of them ar
 Bands have k bits, so that a bucket keeps about 16 vectors of a label; at the threshold a bit differs with probability
 p = acos(t) / pi, and so many bands are taken that a pair at the threshold is missed with probability 0.0005 at most.
 Pairs above it are missed less. A pair that shares several bands is looked at in the first one only.
+
+Vectors follow their codes: the codes alone are dealt to all bands, and only rows with a pair there that first meets in
+that band, and whose codes differ in few enough bits, are joined with their vectors. Dense groups are taken out before:
+vectors within half the threshold's angle of a pivot are linked with each other whatever they are, so the members of such
+a core are counted, not compared, and its blocks don't meet each other; a group of copies that differ a little costs rows
+in proportion to its size.
 """
 
 from __future__ import annotations
@@ -25,11 +31,16 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import buckets, common
 from tidemark.llm.components import components
+from tidemark.llm.vectors import as_matrix, by_length
 
 THRESHOLD = 0.93
 MISS = 0.0005
 #: Deviations at which a bound rules out a pair.
 SURE = 4.0
+#: Deviations of the number of differing code bits at which codes alone rule out a pair.
+CODES_SURE = 5.0
+#: What is kept off half the threshold's angle, so that rounding links no pair below the threshold.
+MARGIN = 1e-6
 SEED = 20240521
 
 
@@ -48,19 +59,6 @@ def rotation(dim: int, code_bits: int) -> np.ndarray:
     return (q * np.sign(np.diag(r)))[:code_bits]
 
 
-def checked(value: list | None) -> np.ndarray | None:
-    """The vector in double precision, or None if it takes no part."""
-    if not value or any(x is None for x in value):
-        return None
-    x = np.array(value, np.float64)
-    return x if np.isfinite(x).all() and x.any() else None
-
-
-def vectors_of(column: pa.Array) -> list[np.ndarray | None]:
-    """The vectors of a list column in double precision, None where they are null, zero or hold null or non-finite parts."""
-    return [checked(x) for x in column.to_pylist()]
-
-
 def codes(vectors: DataFrame, bits: int, bands: int) -> DataFrame:
     """One row per row: vec_id, label, and for vectors that take part print, dim, code, factor and the vector (double, as bytes)."""
     size = bits * bands
@@ -68,15 +66,15 @@ def codes(vectors: DataFrame, bits: int, bands: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels = batch.column(1).to_pylist()
-            xs = [x if label is not None else None for x, label in zip(vectors_of(batch.column(2)), labels, strict=True)]
-            prints, dims, code, factor, raw = ([None] * len(xs) for _ in range(5))
-            for n, x in enumerate(xs):
-                if x is not None:
-                    turned = rotation(len(x), size) @ (x / np.linalg.norm(x / abs(x).max()) / abs(x).max())
-                    dims[n], raw[n] = len(x), x.tobytes()
+            prints, dims, code, factor, raw = ([None] * len(labels) for _ in range(5))
+            for rows, x in by_length(batch.column(2), np.array([label is not None for label in labels], bool)):
+                unit = x / np.abs(x).max(1, keepdims=True)
+                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+                turned = unit @ rotation(x.shape[1], size).T
+                packed, factors = np.packbits(turned > 0, axis=1), np.abs(turned).sum(1) / math.sqrt(size)
+                for k, n in enumerate(rows.tolist()):
+                    raw[n], dims[n], code[n], factor[n] = x[k].tobytes(), x.shape[1], packed[k].tobytes(), float(factors[k])
                     prints[n] = xxhash.xxh3_128_digest(raw[n] + str(labels[n]).encode())
-                    code[n] = np.packbits(turned > 0).tobytes()
-                    factor[n] = float(np.abs(turned).sum() / math.sqrt(size))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.binary()), pa.array(dims, pa.int32()), pa.array(code, pa.binary()), pa.array(factor, pa.float64()), pa.array(raw, pa.binary())], ["vec_id", "label", "print", "dim", "code", "factor", "vector"])
 
     columns = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding"))
@@ -90,7 +88,7 @@ def _keys(code: np.ndarray, bits: int, bands: int) -> np.ndarray:
 
 
 def _matrix(column: pa.ChunkedArray, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+    return as_matrix(column, kind)
 
 
 def band_rows(nodes: DataFrame, bits: int, bands: int) -> DataFrame:
@@ -111,14 +109,52 @@ def band_rows(nodes: DataFrame, bits: int, bands: int) -> DataFrame:
     return nodes.select("id", "label", "dim", "code").mapInArrow(run, "bucket long, band int, id long")
 
 
+def open_rows(members: DataFrame, bits: int, bands: int, threshold: float = THRESHOLD) -> DataFrame:
+    """The bucket members that have a pair to look at, from members with codes and cores: one that first meets in this band,
+    isn't within a core, and whose codes differ in no more bits than CODES_SURE deviations from what the threshold allows."""
+    size = bits * bands
+    share = math.acos(threshold) / math.pi
+    most = size * share + CODES_SURE * math.sqrt(size * share * (1 - share))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in buckets.whole_groups(batches):
+            own, core, band = (table.column(n).to_numpy() for n in ("own", "core", "band"))
+            whole = table.column("lo").to_numpy() == table.column("hi").to_numpy()
+            code = _matrix(table.column("code"), np.uint8)
+            keys = _keys(code, bits, bands)
+            on = np.zeros(len(own), bool)
+            for i, j in buckets.small_pairs(starts):
+                ok = (core[i] != core[j]) & (whole[i] | (own[i] != own[j]))
+                i, j = i[ok], j[ok]
+                ok = (keys[i] == keys[j]).argmax(1) == band[i]
+                i, j = i[ok], j[ok]
+                ok = np.bitwise_count(code[i] ^ code[j]).sum(1) <= most
+                on[i[ok]] = on[j[ok]] = True
+            for a, b in buckets.large_groups(starts):
+                lo, hi = table.column("lo")[a].as_py(), table.column("hi")[a].as_py()
+                signs = np.unpackbits(code[a:b], axis=1)[:, :size].astype(np.float32) * 2 - 1
+                for i, j, same in buckets.tiles(a, b, own, lo, hi):
+                    ok = (core[i][:, None] != core[j][None]) & (signs[i - a] @ signs[j - a].T >= size - 2 * most)
+                    if same:
+                        ok &= i[:, None] != j[None]
+                    for k in range(int(band[a])):
+                        ok &= keys[i, k][:, None] != keys[j, k][None]
+                    on[i[ok.any(1)]] = True
+                    on[j[ok.any(0)]] = True
+            yield from table.select(names).filter(pa.array(on)).to_batches()
+
+    names = ["bucket", "lo", "hi", "own", "id", "band", "core"]
+    return buckets.together(members.select(*names, "code")).mapInArrow(run, "bucket long, lo int, hi int, own int, id long, band int, core long")
+
+
 def compare(members: DataFrame, bits: int, bands: int, threshold: float = THRESHOLD) -> DataFrame:
     """From bucket members with codes and vectors: (id, n_links, root): how many vectors each is linked to by pairs that
-    this task has confirmed, copies counted, and the smallest id of its linked set in the task."""
+    this task has confirmed, copies counted, and the smallest id of its linked set in the task. Pairs of one core are left out."""
     size = bits * bands
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in buckets.whole_groups(batches):
-            ids, copies, own = (table.column(n).to_numpy() for n in ("id", "copies", "own"))
+            ids, copies, own, core = (table.column(n).to_numpy() for n in ("id", "copies", "own", "core"))
             band, whole = table.column("band").to_numpy(), table.column("lo").to_numpy() == table.column("hi").to_numpy()
             code = _matrix(table.column("code"), np.uint8)
             keys = _keys(code, bits, bands)
@@ -141,7 +177,7 @@ def compare(members: DataFrame, bits: int, bands: int, threshold: float = THRESH
                             forest.join(x, y)  # noqa: B023
 
             for i, j in buckets.small_pairs(starts):
-                ok = whole[i] | (own[i] != own[j])
+                ok = (core[i] != core[j]) & (whole[i] | (own[i] != own[j]))
                 i, j = i[ok], j[ok]
                 ok = (keys[i] == keys[j]).argmax(1) == band[i]
                 i, j = i[ok], j[ok]
@@ -151,7 +187,9 @@ def compare(members: DataFrame, bits: int, bands: int, threshold: float = THRESH
             for a, b in buckets.large_groups(starts):
                 lo, hi = table.column("lo")[a].as_py(), table.column("hi")[a].as_py()
                 for i, j, same in buckets.tiles(a, b, own, lo, hi):
-                    ok = np.triu(np.ones((len(i), len(j)), bool), 1) if same else np.ones((len(i), len(j)), bool)
+                    ok = core[i][:, None] != core[j][None]
+                    if same:
+                        ok = np.triu(ok, 1)
                     for k in range(int(band[a])):
                         ok &= keys[i, k][:, None] != keys[j, k][None]
                     if ok.any():
@@ -163,7 +201,7 @@ def compare(members: DataFrame, bits: int, bands: int, threshold: float = THRESH
             # One row for each id and root: what a task reports stays in proportion to the rows that it has read.
             yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(roots)], ["id", "n_links", "root"])
 
-    cols = ["bucket", "lo", "hi", "own", "id", "band", "copies", "code", "factor", "dim", "vector"]
+    cols = ["bucket", "lo", "hi", "own", "id", "band", "core", "copies", "code", "factor", "dim", "vector"]
     return buckets.together(members.select(*cols)).mapInArrow(run, "id long, n_links long, root long")
 
 
@@ -182,6 +220,53 @@ def _units(table: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray]:
     return unit, turned
 
 
+def cores(nodes: DataFrame, rows: DataFrame, block: int, threshold: float = THRESHOLD) -> DataFrame | None:
+    """(id, core): vectors within half the threshold's angle of a pivot, the core's name; None if no bucket is large.
+
+    Pivots are the smallest ids of the first band's large buckets. Then vectors in no core yet that share any large bucket
+    with a core's members are held against the core that most of them are in. Any two members of a core are linked.
+    """
+    _, hot = buckets.counted(rows, block)
+    if hot is None:
+        return None
+    hot = common.materialize(hot, "hot")
+    vector = nodes.select("id", "vector")
+    pivots = hot.where("band = 0").groupBy("bucket").agg(F.min("id").alias("core"))
+    first = near_pivots(hot.where("band = 0").join(_few(pivots), "bucket").select("id", "core"), vector, threshold)
+    taken = common.materialize(first, "first-cores")
+    common_ = hot.join(taken, "id").groupBy("bucket", "core").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "core")).alias("m"))
+    asked = hot.join(taken.select("id"), "id", "left_anti").join(_few(common_.select("bucket", F.col("m.core").alias("core"))), "bucket").select("id", "core").distinct()
+    later = near_pivots(asked, vector, threshold).groupBy("id").agg(F.min("core").alias("core"))
+    return common.materialize(taken.unionByName(later), "cores")
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A list of large buckets, broadcast where it is short."""
+    df = common.materialize(df, "list")
+    return F.broadcast(df) if df.count() <= common.BROADCAST_IDS else df
+
+
+def near_pivots(asked: DataFrame, vector: DataFrame, threshold: float) -> DataFrame:
+    """The rows (id, core) whose vectors lie within half the threshold's angle of each other."""
+    bar = math.cos(math.acos(threshold) / 2 - MARGIN)
+    # Few pivots (one for each large bucket), each asked by many: their vectors go to the rows.
+    pivot = _few(vector.join(_few(asked.select(F.col("core").alias("id")).distinct()), "id", "left_semi").select(F.col("id").alias("core"), F.col("vector").alias("pivot")))
+    both = asked.join(vector, "id").join(pivot, "core").where(F.octet_length("vector") == F.octet_length("pivot")).select("id", "core", "vector", "pivot")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [n for n, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)) if _cosine(x, y) >= bar]
+            yield batch.select([0, 1]).take(pa.array(near, pa.int64()))
+
+    return both.mapInArrow(run, "id long, core long")
+
+
+def _cosine(x: bytes, y: bytes) -> float:
+    a, b = np.frombuffer(x), np.frombuffer(y)
+    a, b = a / np.abs(a).max(), b / np.abs(b).max()
+    return float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Link vectors of one label whose cosine is at least the threshold, and close the links into groups.
 
@@ -202,9 +287,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     hashed = -F.conv(F.substring(F.hex("print"), 1, 15), 16, 10).cast("long") - 1
     named = first.join(again.withColumnRenamed("vec_id", "node"), "node", "left").withColumn("id", F.when(F.col("several"), hashed).otherwise(F.col("node")))
     nodes = common.materialize(named.select("print", "node", "copies", "id", "of.*"), "nodes")
-    members = buckets.blocks(band_rows(nodes, bits, bands))
+    rows = common.materialize(band_rows(nodes, bits, bands), "bands")
+    core = cores(nodes, rows, buckets.BLOCK, threshold)
+    rows = rows.withColumn("core", F.col("id")) if core is None else rows.join(core, "id", "left").withColumn("core", F.coalesce("core", "id"))
+    members = buckets.blocks(rows) if core is None else buckets.blocks(common.materialize(rows, "placed"), buckets.BLOCK, "core")
+    asking = common.materialize(open_rows(members.join(nodes.select("id", "code"), "id"), bits, bands, threshold), "open")
     payload = nodes.select("id", "copies", "code", "factor", "dim", "vector")
-    found = common.materialize(compare(members.join(payload, "id"), bits, bands, threshold), "links")
+    found = common.materialize(compare(asking.join(payload, "id"), bits, bands, threshold), "links")
+    if core is not None:  # each member is linked to all others of its core
+        sizes = core.join(nodes.select("id", "copies"), "id")
+        whole = sizes.groupBy("core").agg(F.sum("copies").alias("n"))
+        within = sizes.join(_few(whole), "core").select("id", (F.col("n") - F.col("copies")).alias("n_links"), F.col("core").alias("root"))
+        found = common.materialize(found.unionByName(within), "all-links")
     counts = found.groupBy("id").agg(F.sum("n_links").alias("others"))
     # Nodes that hold rows of one vec_id belong together.
     shared = live.join(again, "vec_id", "left_semi").join(nodes.select("print", "id"), "print").select("vec_id", "id")
