@@ -15,31 +15,62 @@ from pyspark.sql import functions as F
 TEXT_BATCH_ROWS = 256
 
 _written: list[tuple[SparkSession, str]] = []
+_hooked: list[bool] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session takes a
+    temporary one; on a cluster, whose machines share none, that is an error."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return (at or f"file://{tempfile.gettempdir()}/tidemark-checkpoints").rstrip("/")
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir isn't set: intermediate tables need a folder that all machines share")
+        at = f"file://{tempfile.gettempdir()}/tidemark-checkpoints"
+    return qualified(spark, at).rstrip("/")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark reads it by."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return str(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString())
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, removed when the session's process ends."""
+    """A new path in the shared folder, removed when the session's process ends, or by release()."""
     path = f"{shared_dir(spark)}/tidemark-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    if not _written:
+    if not _hooked:
         atexit.register(_clean)
+        _hooked.append(True)
     _written.append((spark, path))
     return path
 
 
+def mark() -> int:
+    """Where release() may begin."""
+    return len(_written)
+
+
+def release(begin: int, keep: DataFrame | None = None) -> None:
+    """Remove the tables written since a mark, but for the one that `keep` reads: for when nothing will read them again."""
+    kept = {str(f).rsplit("/", 1)[0].removeprefix("file:").lstrip("/") for f in (keep.inputFiles() if keep is not None else [])}
+    left = [(s, p) for s, p in _written[begin:] if p.removeprefix("file:").lstrip("/") in kept]
+    for spark, path in _written[begin:]:
+        if (spark, path) not in left:
+            _remove(spark, path)
+    _written[begin:] = left
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _clean() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _remove(spark, path)
         except Exception:  # the session has ended already: its folder is the cluster's to clear
-            return
+            continue
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
