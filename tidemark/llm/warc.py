@@ -46,7 +46,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     if refers_to is None:
         block += payload
-    head = {"WARC-Type": "response" if refers_to is None else "revisit", "WARC-Record-ID": f"<urn:page:{'' if page_id is None else page_id}>", "WARC-Date": date}
+    head = {"WARC-Type": "response" if refers_to is None else "revisit", "WARC-Record-ID": f"<urn:page:{page_id}>" if page_id is not None else f"<urn:uuid:{uuid.uuid4()}>", "WARC-Date": date}
     if url is not None:
         head["WARC-Target-URI"] = "".join(c if c.isprintable() and c != " " else "".join(f"%{b:02X}" for b in c.encode()) for c in url)
     head["WARC-Payload-Digest"] = f"sha1:{digest(payload)}"
@@ -93,7 +93,7 @@ def page_of(headers: dict[str, str], block: bytes) -> tuple[int | None, str | No
         raise ValueError("the payload doesn't match its length or digest")
     if kind == "revisit" and (payload or "WARC-Refers-To" not in headers):
         raise ValueError("a revisit holds a payload or refers to nothing")
-    ids = [headers[x].removeprefix("<urn:page:").removesuffix(">") if x in headers else "" for x in ("WARC-Record-ID", "WARC-Refers-To")]
+    ids = [headers[x].removeprefix("<urn:page:").removesuffix(">") if headers.get(x, "").startswith("<urn:page:") else "" for x in ("WARC-Record-ID", "WARC-Refers-To")]
     page_id, refers_to = (int(x) if x else None for x in ids)
     return page_id, headers.get("WARC-Target-URI"), length, name, kind, refers_to, payload if kind == "response" else None
 
@@ -180,21 +180,24 @@ def write_archives(pages: DataFrame, folder: str, dictionary: bytes | None) -> D
         store, at = fs.FileSystem.from_uri(folder)
         store.create_dir(at, recursive=True)
         name, out, archive, size, done = "", None, None, 0, []
-        for batch in batches:
-            for page_id, url, html, refers_to in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.bytes_of(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-                if archive is None:
-                    name = f"{uuid.uuid4().hex}.warc.zst"
-                    out = store.open_output_stream(f"{at}/{name}")
-                    archive, size = ArchiveWriter(out, shared.value), 0
-                data = record(page_id, url, html, refers_to)
-                archive.write(data)
-                size += len(data)
-                if size >= ARCHIVE_BYTES:
-                    out.close()
-                    done.append((f"{folder}/{name}", archive.records))
-                    archive = None
+        try:
+            for batch in batches:
+                for page_id, url, html, refers_to in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.bytes_of(batch.column(2)), batch.column(3).to_pylist(), strict=True):
+                    if archive is None:
+                        name = f"{uuid.uuid4().hex}.warc.zst"
+                        out = store.open_output_stream(f"{at}/{name}")
+                        archive, size = ArchiveWriter(out, shared.value), 0
+                    data = record(page_id, url, html, refers_to)
+                    archive.write(data)
+                    size += len(data)
+                    if size >= ARCHIVE_BYTES:
+                        out.close()
+                        done.append((f"{folder}/{name}", archive.records))
+                        archive = None
+        finally:
+            if out is not None:
+                out.close()
         if archive is not None:
-            out.close()
             done.append((f"{folder}/{name}", archive.records))
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], ["path", "records"])
 
@@ -230,11 +233,12 @@ def archive(spark: SparkSession, pages: DataFrame, folder: str | None = None, pa
     """Write every page to archives and read them back; one row per row of pages.
 
     Needs columns page_id, url and html; others are ignored. The payload is the html in UTF-8 (null: empty). Rows with a
-    null page_id are responses of their own and read back with page_id null; so are repeated rows of the largest page_id
+    null page_id are responses of their own, whose record has a random id, and read back with page_id null; responses, too, are repeated rows of the largest page_id
     of a payload. An empty table gives no rows.
     """
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     folder = folder or common.scratch_path(spark, "archives")
-    folder = folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
+    folder = common.qualified(spark, folder)
+    folder = f"file://{folder.removeprefix('file:')}" if folder.startswith("file:/") and not folder.startswith("file://") else folder
     written = common.materialize(write_archives(with_references(plain), folder, train_dictionary(plain)), "manifest")
     return read_archives(written, payloads)
