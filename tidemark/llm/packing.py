@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, groupby
 from pathlib import Path
 from struct import pack
 
@@ -30,7 +30,7 @@ from tidemark.llm import bpe, common
 CAPACITY = 2048
 END_OF_DOCUMENT = 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PLAN = T.StructType([T.StructField(n, T.LongType(), False) for n in ("plan_length", "first_rank", "last_rank", "first_sequence", "offset")])
+PLAN = T.StructType([T.StructField(n, T.LongType(), False) for n in ("plan_length", "first_rank", "last_rank", "uses", "first_sequence", "first_offset")])
 
 
 class MergedWords(bpe.SplitEncoder):
@@ -145,17 +145,19 @@ def _tighter_pair(free: np.ndarray, small: int, gap: int) -> tuple[int, int] | N
     return int(there[k]), int(there[partner[k]])
 
 
-def _places(plan: list[tuple[list[int], int]]) -> list[tuple[int, int, int, int, int]]:
-    """For each length and use in a pattern: the ranks it takes, the first sequence and the offset in each."""
+def _places(plan: list[tuple[list[int], int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """For each length of a pattern: the ranks that its repetitions take, how often the length is in each, the first
+    sequence, and the offset of the first. Patterns list equal lengths side by side, so a row each is enough."""
     ranks: dict[int, int] = {}
     out, sequence = [], 0
     for lengths, times in plan:
         offset = 0
-        for length in lengths:
+        for length, same in groupby(lengths):
+            uses = len(list(same))
             first = ranks.get(length, 0)
-            out.append((length, first, first + times - 1, sequence, offset))
-            ranks[length] = first + times
-            offset += length
+            out.append((length, first, first + uses * times - 1, uses, sequence, offset))
+            ranks[length] = first + uses * times
+            offset += uses * length
         sequence += times
     return out
 
@@ -177,10 +179,13 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = counts.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
     ranked = salted.withColumn("own", F.row_number().over(own) - 1).join(before, ["length", "salt"]).withColumn("rank", F.col("own") + F.col("before")).drop("own", "before", "salt")
-    rows = _places(plan) + [(capacity, 0, histogram.get(capacity, 0) - 1, planned, 0)]
-    places = spark.createDataFrame(rows, PLAN)  # bounded by the capacity: a few patterns for each length
+    rows = _places(plan) + [(capacity, 0, histogram.get(capacity, 0) - 1, 1, planned, 0)]
+    # A pattern uses up a length, and no more than sqrt(2 * capacity) lengths fit into it: bounded by the capacity.
+    places = spark.createDataFrame(rows, PLAN)
     placed = ranked.join(F.broadcast(places), (F.col("length") == F.col("plan_length")) & F.col("rank").between(F.col("first_rank"), F.col("last_rank")))
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first_sequence") + F.col("rank") - F.col("first_rank")).alias("sequence_id"), "offset")
+    nth = F.col("rank") - F.col("first_rank")
+    sequence, offset = F.col("first_sequence") + F.expr("(rank - first_rank) div uses"), F.col("first_offset") + nth % F.col("uses") * F.col("length")
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), offset.alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
