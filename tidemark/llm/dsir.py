@@ -23,7 +23,9 @@ BUCKETS, ADDED = 10_000, 1.0
 TARGET_ROWS = 100_000
 SHARE = 0.5
 SEED = 17
-BINS, FINE = 4096, 10_000
+BINS = 4096
+#: Up to so many rows of one bin are sorted on the driver instead of counted again.
+FINE = 10_000
 
 
 def ngrams(text: bytes) -> np.ndarray:
@@ -73,7 +75,8 @@ def gumbel(key: Column, seed: int = SEED) -> Column:
 def cutoff(keyed: DataFrame, k: int) -> tuple[float, int] | None:
     """The k-th of (key, doc_id) from the largest, found by histograms of ever narrower ranges; None if all are kept.
 
-    Only 4096 counts reach the driver in a round, and at the end up to 10,000 rows of one bin.
+    Only the counts of a histogram reach the driver in a round. Where many rows share one key, the search goes on among
+    their doc_ids.
     """
     rows = keyed.select("key", F.coalesce("doc_id", F.lit(-(1 << 62))).alias("doc_id"))
     n, lo, hi = rows.agg(F.count("*"), F.min("key"), F.max("key")).first()
@@ -82,23 +85,33 @@ def cutoff(keyed: DataFrame, k: int) -> tuple[float, int] | None:
     if k <= 0:
         return float("inf"), 0
     above = 0
-    while True:
+    while lo < hi:
+        if n <= FINE:
+            found = rows.where(F.col("key").between(lo, hi)).collect()
+            r = sorted(found, key=lambda r: (r["key"], r["doc_id"]), reverse=True)[k - above - 1]
+            return r["key"], r["doc_id"]
         step = (hi - lo) / BINS
-        inside = rows.where(F.col("key").between(lo, hi))
-        if step <= 0 or lo + step == lo or n <= FINE:
-            break
-        bin_ = F.least(F.floor((F.col("key") - lo) / step), F.lit(BINS - 1))
-        counts = sorted(((r[0], r["n"], r["lo"], r["hi"]) for r in inside.groupBy(bin_).agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).collect()), reverse=True)
-        for _, n, lo, hi in counts:
-            if above + n >= k:
-                break
-            above += n
-    found = inside.groupBy("key", "doc_id").agg(F.count("*").alias("n")).orderBy(F.desc("key"), F.desc("doc_id")).limit(FINE).collect()
-    for r in found:
+        # Where doubles lie too close for steps there are at most a few thousand of them between.
+        fine = lo + step == lo or hi - step == hi
+        bin_ = F.col("key") if fine else F.least(F.floor((F.col("key") - lo) / step), F.lit(BINS - 1))
+        above, n, lo, hi = _bin_of(rows.where(F.col("key").between(lo, hi)), bin_, "key", above, k)
+    tied, key = rows.where(F.col("key") == lo), lo
+    lo, hi = tied.agg(F.min("doc_id"), F.max("doc_id")).first()
+    while lo < hi:
+        step = -(-(hi - lo + 1) // BINS)
+        bin_ = F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(lo).cast("decimal(20,0)")) / F.lit(step).cast("decimal(20,0)"))
+        above, _, lo, hi = _bin_of(tied.where(F.col("doc_id").between(lo, hi)), bin_, "doc_id", above, k)
+    return key, lo
+
+
+def _bin_of(rows: DataFrame, bin_: Column, of: str, above: int, k: int) -> tuple[int, int, float, float]:
+    """The rows above the bin that holds the k-th row from the largest, its own rows, and its ends."""
+    counts = rows.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.min(of).alias("lo"), F.max(of).alias("hi")).collect()
+    for r in sorted(counts, key=lambda r: r["bin"], reverse=True):
+        if above + r["n"] >= k:
+            return above, r["n"], r["lo"], r["hi"]
         above += r["n"]
-        if above >= k:
-            return r["key"], r["doc_id"]
-    return found[-1]["key"], found[-1]["doc_id"]
+    raise ValueError("fewer rows than counted")
 
 
 def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE, target_rows: int = TARGET_ROWS) -> DataFrame:
