@@ -4,13 +4,14 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tidemark.llm import bpe, dsir, packing, sharding
+from tidemark.llm import bpe, dsir, packing, queries, sharding
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = ["Hello world, it's   a test.\n\n  New line ", "", None, "a" * 3000, "日本語 🙂 \x1c\x1f naïve", "x <|endoftext|> y<|endoftext|>", "  ", " \n \t end ", "word " * 5000, "don't I'll they've 12 ²½ ٣"]
@@ -185,3 +186,78 @@ def test_cutoff_is_exact_beyond_one_histogram(spark, monkeypatch):
     for k in (1, 7, 1234, 4999):
         assert dsir.cutoff(keyed, k) == pytest.approx(order[k - 1])
     assert dsir.cutoff(keyed, 5000) is None
+
+
+def test_cutoff_among_many_equal_keys(spark):
+    keyed = spark.range(30_000).selectExpr("IF(id < 20000, 1.5D, CAST(id AS DOUBLE)) AS key", "id * 3 AS doc_id")
+    order = sorted(((r.key, r.doc_id) for r in keyed.collect()), reverse=True)
+    for k in (1, 9_999, 10_000, 10_001, 22_345, 29_999):
+        assert dsir.cutoff(keyed, k) == order[k - 1]
+
+
+def test_resampling_equals_brute_force(spark, sf_dir):
+    import xxhash
+
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    good = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if r.quality == 1}
+    mask, mul = (1 << 64) - 1, lambda a, b: a * b & (1 << 64) - 1
+
+    def grams(text):
+        h = [xxhash.xxh3_64_intdigest(w) for w in text.lower().split()]
+        out = [x % dsir.BUCKETS for x in h]
+        for x, y in zip(h, h[1:], strict=False):
+            z = mul(x, 0x9E3779B97F4A7C15) ^ y
+            z = mul(z ^ z >> 31, 0xBF58476D1CE4E5B9)
+            out.append((z ^ z >> 29 & mask) % dsir.BUCKETS)
+        return out
+
+    raw, target = [dsir.ADDED] * dsir.BUCKETS, [dsir.ADDED] * dsir.BUCKETS
+    all_ = {n: grams(t) for n, t in docs.items()}
+    for n, gs in all_.items():
+        for g in gs:
+            raw[g] += 1
+            target[g] += n in good
+    ratio = np.log(np.array(target) / sum(target)) - np.log(np.array(raw) / sum(raw))
+    got = {r.doc_id: r for r in queries.op2_dsir(spark, sf_dir).collect()}
+    noise = {r.doc_id: r.u for r in spark.createDataFrame([(n,) for n in docs], "doc_id long").selectExpr("doc_id", "xxhash64(doc_id, 17) AS u").collect()}
+    keys = {}
+    for n, gs in all_.items():
+        u = (((noise[n] & mask) >> 11) + 0.5) * 2.0**-53
+        keys[n] = ratio[gs].sum() - np.log(-np.log(u))
+        assert got[n].n_ngrams == len(gs) and abs(got[n].log_weight - ratio[gs].sum()) < 1e-6 and abs(got[n].gumbel_key - keys[n]) < 1e-6
+    best = sorted(docs, key=lambda n: (got[n].gumbel_key, n), reverse=True)[: -(-len(docs) // 2)]
+    assert {n for n, r in got.items() if r.selected} == set(best)
+
+
+def test_the_tree_draws_are_recomputed(spark, sf_dir):
+    rows = queries.op5_sharding(spark, sf_dir).collect()
+    ids = spark.createDataFrame([(r.doc_id,) for r in rows], "doc_id long")
+
+    def draws(names):
+        cols = ", ".join(f"xxhash64(doc_id, '{x}') AS `{x}`" for x in names)
+        return {r.doc_id: {x: -np.log((((r[x] & (1 << 64) - 1) >> 11) + 0.5) * 2.0**-53) for x in names} for r in ids.selectExpr("doc_id", cols.split(", xxhash64")[0], *[f"xxhash64{c}" for c in cols.split(", xxhash64")[1:]]).collect()}
+
+    for shards, column in ((40, "shard"), (41, "grown_shard")):
+        tree = {}
+        for s in sharding.topology(shards):
+            tree.setdefault(s.region, {}).setdefault(s.rack, []).append(s.number)
+        names = [f"/{r}" for r in tree] + [f"{r}/{k}" for r in tree for k in tree[r]] + [f"{r}/{k}/{n}" for r in tree for k in tree[r] for n in tree[r][k]]
+        drawn = draws(names)
+        for r in rows:
+            d = drawn[r.doc_id]
+            region = min(tree, key=lambda x: d[f"/{x}"] / sum(map(len, tree[x].values())))
+            rack = min(tree[region], key=lambda x: d[f"{region}/{x}"] / len(tree[region][x]))
+            assert r[column] == min(tree[region][rack], key=lambda n: d[f"{region}/{rack}/{n}"])
+
+
+def test_registered_queries_of_texts(spark, sf_dir, library):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in queries.op1_bpe(spark, sf_dir).collect():
+        ids = library(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+    sizes = {}
+    for r in queries.op3_packing(spark, sf_dir).collect():
+        sizes.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in sizes.values():
+        places.sort()
+        assert [a for a, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))] and sum(n for _, n in places) <= 2048
