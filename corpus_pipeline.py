@@ -23,5 +23,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents; each reads what the one before has written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        begin = common.mark()
         docs = common.materialize(stage(spark, docs, sf_dir), name)
+        common.release(begin, keep=docs)  # what the stage wrote on its way
     return STAGES[-1][1](spark, docs, sf_dir)
