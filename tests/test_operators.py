@@ -288,3 +288,40 @@ def test_writes_are_refused_with_reasons(spark, sf_dir):
     assert engine.execute(["DELETE FROM region WHERE r_name IS NULL", "UPDATE region SET r_name = NULL WHERE r_regionkey = 2"])[1]["rows_affected"] == 1
     assert engine.query("SELECT r_regionkey FROM region WHERE r_name IS NULL").first()[0] == 2
     assert Engine(spark, sf_dir).query("SELECT count(r_name) FROM region").first()[0] == 5
+
+
+def test_no_task_numbers_more_than_its_share(spark, monkeypatch):
+    seen = {}
+    row_number = F.row_number
+    df = spark.range(40_000).selectExpr("id % 2 AS late", "to_json(named_struct('tenant', 'same', 'n', id)) AS pk", "CAST(NULL AS STRING) AS nothing")
+    monkeypatch.setattr(changes.F, "row_number", lambda: seen.setdefault("n", row_number()))
+    out = changes.with_numbers(df, ["late", "nothing", "pk"], "n")
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "_bucket" in plan and out.orderBy("late", "pk").select("n").limit(3).collect() == [(1,), (2,), (3,)]
+    monkeypatch.undo()
+    # The same bounds, counted by bucket.
+    dealt = {}
+    drop = type(out).drop
+    monkeypatch.setattr(type(out), "drop", lambda self, *c: dealt.setdefault("rows", self) if "_bucket" in c else drop(self, *c))
+    changes.with_numbers(df, ["late", "nothing", "pk"], "n")
+    monkeypatch.undo()
+    sizes = [r["count"] for r in dealt["rows"].groupBy("_bucket").count().collect()]
+    assert sum(sizes) == 40_000 and max(sizes) < 40_000 / 20
+
+
+def test_apply_batches_follow_the_queue():
+    assert [changes.next_batch_cost(c) for c in (0, 500, 999, 1000, 2100, 8000, 10**6)] == [500, 500, 500, 1000, 2000, 8000, 16_000]
+    assert changes.next_batch_cost(10, step=50) == 100
+    assert [changes.after_interrupt(x) for x in (16_000, 150, 100)] == [8000, 100, 100]
+    assert changes.next_batch([(60, "a"), (50, "b"), (1, "c")], 100) == (["a"], [(50, "b"), (1, "c")])
+    assert changes.next_batch([(600, "a")], 100) == (["a"], []) and changes.next_batch([], 100) == ([], [])
+
+
+def test_buffered_rows_of_applied_versions_go_and_ranges_have_one_peer(spark):
+    names = "site_id long, db_version long, seq long"
+    held = spark.createDataFrame([(1, 1, 0), (1, 2, 0), (2, 1, 0)], names)
+    assert sorted(map(tuple, changes.without_applied(held, held.where("site_id = 1 AND db_version = 1")).collect())) == [(1, 2, 0), (2, 1, 0)]
+    offers = spark.createDataFrame([(1, 1, 5, "b"), (1, 1, 5, "a"), (1, 6, 9, "b"), (2, 1, 5, "c")], "actor long, start long, end long, peer string")
+    assert sorted(map(tuple, sync.one_peer_per_range(offers).collect())) == [(1, 1, 5, "a"), (1, 6, 9, "b"), (2, 1, 5, "c")]
+    tagged = spark.createDataFrame([("t", 1, "c", 1, (4, None, None, "b", None), 1), ("t", 1, "c", 1, (1, 9, None, None, None), 2), ("t", 1, "c", 1, (3, None, None, "a", None), 0)], "tbl string, pk long, cid string, col_version long, val struct<t: int, i: long, r: double, s: string, b: string>, site_id long")
+    assert changes.lww_merge(tagged, changes.storage_order(F.col("val"))).first().val.b is None

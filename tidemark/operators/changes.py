@@ -12,13 +12,14 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.operators import ranges
 
 SENTINEL = "-1"
 CELL = ["tbl", "pk", "cid"]
 VERSION = ["site_id", "db_version"]
+#: Sampled rows for each bucket of numbers.
+SAMPLED = 24
 #: Bytes of a chunk, and of a change's numbers.
 CHUNK_BYTES, NUMBER_BYTES = 8192, 8
 
@@ -78,7 +79,7 @@ def capture(old: DataFrame, new: DataFrame, key: list[str], columns: list[str],
     gone = F.when(F.col("_is").isNull(), F.struct(F.lit(SENTINEL).alias("cid"), F.lit(None).cast("string").alias("val"), F.lit(2).alias("cl")))
     changed = both.select(*key, F.inline(F.filter(F.array(*cells, gone), lambda x: x.isNotNull())))
     pk = F.to_json(F.struct(*key)) if len(key) > 1 else F.col(key[0])
-    return with_numbers(settled(changed.select(pk.alias("pk"), "cid", "val", "cl")), ["pk", "cid"], "seq", first=0).withColumns({"tbl": F.lit(tbl), "site_id": F.lit(site_id), "db_version": F.lit(db_version)})
+    return with_numbers(changed.select(pk.alias("pk"), "cid", "val", "cl"), ["pk", "cid"], "seq", first=0).withColumns({"tbl": F.lit(tbl), "site_id": F.lit(site_id), "db_version": F.lit(db_version)})
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -86,14 +87,20 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
 
 
-def with_numbers(df: DataFrame, order: list[str], name: str, first: int = 1, buckets: int = 64) -> DataFrame:
+def with_numbers(df: DataFrame, order: list[str], name: str, first: int = 1, buckets: int | None = None, settle: bool = True) -> DataFrame:
     """Gapless numbers in the order of columns that together are unique, without one task seeing all rows.
 
-    Rows are dealt by quantiles of the first column; each bucket counts on from the rows of the buckets before it.
+    Rows are dealt by quantiles of the whole sort key, from a sample (those of the smallest hashes); each bucket counts on
+    from the rows of the buckets before it. There are as many buckets as the session shuffles to, and 64 at least.
+    df is read three times, so it is settled first; without `settle` it must give the same rows each time.
     """
-    bounds = df.select(F.percentile_approx(_place(df, order[0]), [n / buckets for n in range(1, buckets)], 10_000)).first()[0] or []
-    edges = sorted(set(bounds))
-    bucket = F.aggregate(F.array(*[F.lit(x) for x in edges]), F.lit(0), lambda n, x: n + F.when(_place(df, order[0]) > x, 1).otherwise(0)) if edges else F.lit(0)
+    df = settled(df) if settle else df
+    buckets = buckets or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    key = [F.col(c) for c in order]
+    sample = df.select(*order).orderBy(F.xxhash64(*key)).limit(SAMPLED * buckets)
+    rows = sorted((tuple(r) for r in sample.collect()), key=lambda r: [_sorted_as(x) for x in r])
+    bounds = rows[:: -(-len(rows) // buckets)][1:] if rows else []
+    bucket = _bucket(df, order, bounds, 0)
     dealt = df.withColumn("_bucket", bucket)
     counts = dealt.groupBy("_bucket").agg(F.count("*").alias("_n"))  # as many rows as buckets
     before = counts.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_before"))
@@ -101,15 +108,26 @@ def with_numbers(df: DataFrame, order: list[str], name: str, first: int = 1, buc
     return dealt.withColumn("_own", own).join(F.broadcast(before), "_bucket").withColumn(name, (F.col("_own") + F.col("_before") + (first - 1)).cast("long")).drop("_bucket", "_own", "_before")
 
 
-def _place(df: DataFrame, column: str) -> Column:
-    """A number that never decreases along a column: itself, or for text the value of its first bytes."""
-    kind = df.schema[column].dataType
-    if isinstance(kind, T.NumericType):
-        return F.coalesce(F.col(column).cast("double"), F.lit(float("-inf")))
-    if isinstance(kind, T.StringType):
-        head = F.conv(F.rpad(F.substring(F.hex(F.col(column).cast("binary")), 1, 12), 12, "0"), 16, 10).cast("double")
-        return F.coalesce(head, F.lit(-1.0))
-    return F.coalesce(F.col(column).cast("double"), F.lit(float("-inf")))
+def _sorted_as(x: object) -> tuple:
+    """A sampled value as Spark sorts it: null first, what isn't a number last, texts by their bytes."""
+    if x is None:
+        return (0,)
+    return (2,) if x != x else (1, x.encode() if isinstance(x, str) else bytes(x) if isinstance(x, bytearray) else x)
+
+
+def _bucket(df: DataFrame, order: list[str], bounds: list[tuple], first: int) -> Column:
+    """How many bounds a row's sort key reaches, by halving: a tree of comparisons of which a row goes down one path."""
+    if not bounds:
+        return F.lit(first)
+    half = len(bounds) // 2
+    reached = F.lit(True)
+    for c, x in reversed(list(zip(order, bounds[half], strict=True))):  # as the sort does: column by column, null first
+        if x is None:
+            reached = F.col(c).isNotNull() | reached
+        else:
+            value = F.lit(x).cast(df.schema[c].dataType)
+            reached = F.coalesce((F.col(c) > value) | ((F.col(c) == value) & reached), F.lit(False))
+    return F.when(reached, _bucket(df, order, bounds[half + 1 :], first + half + 1)).otherwise(_bucket(df, order, bounds[:half], first))
 
 
 def change_size(nested: bool = False) -> Column:
@@ -218,3 +236,26 @@ def partial_versions(seqs: DataFrame) -> DataFrame:
     merged = ranges.coalesce(seqs.select(*VERSION, F.col("start_seq").alias("start"), F.col("end_seq").alias("end")), VERSION)
     whole = (F.col("start") == 0) & (F.col("end") >= F.col("last_seq"))
     return merged.join(last, VERSION).select(*VERSION, F.col("start").alias("start_seq"), F.col("end").alias("end_seq"), "last_seq", whole.alias("complete"))
+
+
+def next_batch_cost(cost: int, step: int = 500, least: int = 100, most: int = 16_000) -> int:
+    """How much queued cost the next apply batch takes: the step times the largest power of two that the queue fills, within
+    bounds. A long queue is worked off in ever larger batches."""
+    if cost <= step:
+        return max(least, min(step, most))
+    return max(least, min(step << (cost // step).bit_length() - 1, most))
+
+
+def after_interrupt(batch: int, least: int = 100) -> int:
+    """The batch size after one that was interrupted or ran out of memory: half, but not less than the least."""
+    return max(least, batch // 2)
+
+
+def next_batch(queue: list[tuple[int, str]], batch: int) -> tuple[list[str], list[tuple[int, str]]]:
+    """The queued (cost, name) that fit a batch, the oldest first and one at least, and what is left."""
+    taken, cost = 0, 0
+    for size, _ in queue:
+        if taken and cost + size > batch:
+            break
+        taken, cost = taken + 1, cost + size
+    return [name for _, name in queue[:taken]], queue[taken:]

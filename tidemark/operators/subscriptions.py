@@ -64,9 +64,9 @@ def changes(stored: DataFrame, new: DataFrame, key: list[str], last_change: int
     moved = settled(difference(stored.drop("row_id"), new, key))
     held = stored.select(*key, F.col("row_id").alias("_row"))
     last_row = stored.agg(F.coalesce(F.max("row_id"), F.lit(0))).first()[0]
-    inserted = with_numbers(moved.where("change_type = 'insert'").select(*key), key, "_fresh", first=last_row + 1)
+    inserted = with_numbers(moved.where("change_type = 'insert'").select(*key), key, "_fresh", first=last_row + 1, settle=False)
     rows = moved.join(held, key, "left").join(inserted, key, "left").withColumn("row_id", F.coalesce("_row", "_fresh")).drop("_row", "_fresh")
-    ordered = rows.withColumn("_late", (F.col("change_type") == "delete").cast("int"))
+    ordered = rows.withColumn("_late", (F.col("change_type") == "delete").cast("int"))  # numbered by quantiles of (late, key)
     return with_numbers(ordered, ["_late", *key], "change_id", first=last_change + 1).drop("_late")
 
 
