@@ -325,3 +325,19 @@ def test_buffered_rows_of_applied_versions_go_and_ranges_have_one_peer(spark):
     assert sorted(map(tuple, sync.one_peer_per_range(offers).collect())) == [(1, 1, 5, "a"), (1, 6, 9, "b"), (2, 1, 5, "c")]
     tagged = spark.createDataFrame([("t", 1, "c", 1, (4, None, None, "b", None), 1), ("t", 1, "c", 1, (1, 9, None, None, None), 2), ("t", 1, "c", 1, (3, None, None, "a", None), 0)], "tbl string, pk long, cid string, col_version long, val struct<t: int, i: long, r: double, s: string, b: string>, site_id long")
     assert changes.lww_merge(tagged, changes.storage_order(F.col("val"))).first().val.b is None
+
+
+def test_lineage_of_a_join():
+    from tidemark.plans import lineage
+
+    schemas = {"a": ["id", "x", "y"], "b": ["id", "a_id", "z"], "c": ["k", "x"]}
+    sql = "SELECT p.x, b.* FROM a AS p LEFT JOIN b ON b.a_id = p.id INDEXED BY i WHERE z > 3 AND p.id IN (SELECT k FROM c)"
+    assert [(s.table, s.alias) for s in lineage.sources(sql)] == [("a", "p"), ("b", "b")]
+    used = lineage.columns_used(sql, schemas)
+    assert used == {"a": {"x", "id"}, "b": {"id", "a_id", "z"}}
+    keyed, names = lineage.with_keys(sql, {"a": ("id",), "b": ("id", "a_id")})
+    assert names == ["__key_p_id", "__key_b_id", "__key_b_a_id"] and keyed.startswith("SELECT p.id AS __key_p_id, b.id AS __key_b_id")
+    assert "LEFT" not in lineage.narrowed(sql, "b") and "LEFT" in lineage.narrowed(sql, "p")
+    for bad in ("SELECT 1", "SELECT x FROM a; SELECT 1", "DELETE FROM a", "SELECT x FROM (SELECT 1) t", "SELECT x FROM a UNION SELECT x FROM c", "SELECT p.x FROM a p JOIN c p ON true", "SELECT x FROM a JOIN c ON true", "SELECT z FROM nowhere", "SELECT y FROM a WHERE id IN b"):
+        with pytest.raises(lineage.NotSupported):
+            lineage.columns_used(bad, schemas)

@@ -47,6 +47,14 @@ def difference(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return both.select(kind.alias("change_type"), *key, *[shown[c].alias(c) for c in cells])
 
 
+def keyed_difference(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """difference() where parts of the key may be null, as those of the tables on the right of a LEFT JOIN are."""
+    parts = F.to_json(F.struct(*key), {"ignoreNullFields": "false"})
+    moved = difference(old.withColumn("_key", parts).drop(*key), new.withColumn("_key", parts).drop(*key), ["_key"])
+    kept = F.from_json("_key", new.select(*key).schema)
+    return moved.select("change_type", *[kept[c].alias(c) for c in key], *[c for c in moved.columns if c not in ("change_type", "_key")])
+
+
 def upserts(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return difference(old, new, key).where("change_type <> 'delete'")
 

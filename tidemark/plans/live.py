@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.engine.api import Engine
 from tidemark.engine.catalog import TableSpec
 from tidemark.operators import changes as ch
 from tidemark.operators import ingest, metrics, ranges, schema
 from tidemark.operators import subscriptions as sub
-from tidemark.plans import changelog
+from tidemark.plans import changelog, lineage
 from tidemark.plans import inputs as i
 
 KEY = ["event_id"]
@@ -64,6 +65,34 @@ def sub_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sub.applied(stored, sub.changes(stored, _result(new), KEY), KEY)
 
 
+JOINED = """SELECT json_object('targets', json_array(o.o_orderstatus || ':' || o.o_custkey), 'labels', json_object('segment', c.c_mktsegment, 'nation', n.n_name, 'region', r.r_name)) AS doc
+ FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey AND n.n_regionkey < 4 LEFT JOIN region r ON r.r_regionkey = n.n_regionkey
+ WHERE (c.c_mktsegment IS NULL OR c.c_mktsegment <> 'MACHINERY') AND o.o_orderstatus = 'P'"""
+
+
+def _join_states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The subscribed join over two states: customers that go, come and change, and a nation that is renamed."""
+    engine = Engine(spark, sf_dir)
+    lineage.columns_used(JOINED, {t: engine.table(t).columns for t in engine.catalog.keys})
+    sql, key = lineage.with_keys(JOINED, engine.catalog.keys)
+    customer, nation = engine.table("customer"), engine.table("nation")
+    before = {"customer": customer.where("c_custkey % 10 <> 3")}
+    after = {"customer": customer.where("c_custkey % 10 <> 7").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 10 == 5, "MACHINERY").otherwise(F.col("c_mktsegment"))), "nation": nation.withColumn("n_name", F.when(F.col("n_nationkey") == 2, "RENAMED").otherwise(F.col("n_name")))}
+    return engine.read(sql, None, before), engine.read(sql, None, after), key
+
+
+def sub_join_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a change of customers and nations does to three chained LEFT JOINs, by the keys of all four tables."""
+    return sub.keyed_difference(*_join_states(spark, sf_dir))
+
+
+def sub_join_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join narrowed to the customers that changed: an inner join with their rows."""
+    engine = Engine(spark, sf_dir)
+    sql, _ = lineage.with_keys(lineage.narrowed(JOINED, "c"), engine.catalog.keys)
+    return engine.read(sql, None, {"customer": engine.table("customer").where("c_custkey % 10 IN (3, 5)")})
+
+
 def sub_log_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sub.purge(_log(spark, sf_dir), 50).select("change_id", "change_type", "event_id")
 
@@ -204,7 +233,7 @@ def gap_stats_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        sub_initial, sub_delta_candidates, match_candidates, sub_diff_upsert, sub_diff_delete, sub_changes, sub_rows, sub_log_purge, sub_catchup, sub_contiguity, updates_notify, updates_dedupe,
+        sub_initial, sub_delta_candidates, match_candidates, sub_diff_upsert, sub_diff_delete, sub_changes, sub_rows, sub_join_changes, sub_join_candidates, sub_log_purge, sub_catchup, sub_contiguity, updates_notify, updates_dedupe,
         updates_late_guard, registry_diff, upsert_merge, upsert_merge_whole, upsert_if_newer, delete_if_older, reap_deleted, reap_orphans, schema_evolve, histogram_buckets, histogram_quantile, rolling_quantile,
         ring_bucket, ring_hysteresis, rolling_min, ema, stats_by_state, gap_stats_by_state,
     )
@@ -216,6 +245,14 @@ _LOG = f"""{_RESULTS}, stored AS (SELECT *, row_number() OVER (ORDER BY event_id
   UNION ALL SELECT 1, 'delete', event_id, event_type, value, row_id FROM stored s WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.event_id = s.event_id)),
  log AS (SELECT row_number() OVER (ORDER BY late, event_id) AS change_id, change_type, event_id, event_type, value,
   coalesce(held, (SELECT max(row_id) FROM stored) + row_number() OVER (PARTITION BY change_type ORDER BY event_id)) AS row_id FROM moved)"""
+_JOIN = """SELECT o_orderkey AS __key_o_o_orderkey, c_custkey AS __key_c_c_custkey, n_nationkey AS __key_n_n_nationkey, r_regionkey AS __key_r_r_regionkey,
+ CAST(json_object('targets', json_array(o_orderstatus || ':' || o_custkey), 'labels', json_object('segment', c_mktsegment, 'nation', n_name, 'region', r_name)) AS VARCHAR) AS doc
+ FROM orders {left} JOIN {customer} ON c_custkey = o_custkey LEFT JOIN {nation} ON n_nationkey = c_nationkey AND n_regionkey < 4 LEFT JOIN region ON r_regionkey = n_regionkey
+ WHERE (c_mktsegment IS NULL OR c_mktsegment <> 'MACHINERY') AND o_orderstatus = 'P'"""
+_JOIN_KEYS = ["__key_o_o_orderkey", "__key_c_c_custkey", "__key_n_n_nationkey", "__key_r_r_regionkey"]
+_JOIN_SAME = " AND ".join(f"x.{k} IS NOT DISTINCT FROM y.{k}" for k in _JOIN_KEYS)
+_JOIN_STATES = f"""WITH c1 AS (SELECT * FROM customer WHERE c_custkey % 10 <> 3), c2 AS (SELECT * REPLACE (CASE WHEN c_custkey % 10 = 5 THEN 'MACHINERY' ELSE c_mktsegment END AS c_mktsegment) FROM customer WHERE c_custkey % 10 <> 7),
+ n2 AS (SELECT * REPLACE (CASE WHEN n_nationkey = 2 THEN 'RENAMED' ELSE n_name END AS n_name) FROM nation), a AS ({_JOIN.format(left='LEFT', customer='c1', nation='nation')}), b AS ({_JOIN.format(left='LEFT', customer='c2', nation='n2')})"""
 _STORED = "stored AS (SELECT * FROM customer WHERE c_custkey % 8 <> 5), fetched AS (SELECT c_custkey, c_name, c_nationkey, CAST(c_acctbal AS DECIMAL(12,2)) + c_custkey % 2 AS c_acctbal, CASE WHEN c_custkey % 6 = 1 THEN 'MOVED' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 9 <> 4)"
 _BOUNDS = list(metrics.BOUNDS)
 _EDGES = f"edges AS (SELECT b AS bucket, ({_BOUNDS})[b + 1] AS hi, CASE WHEN b = 0 THEN NULL ELSE ({_BOUNDS})[b] END AS lo FROM range({len(_BOUNDS) + 1}) t(b))"
@@ -240,6 +277,9 @@ ORACLES: dict[str, str] = {
     "sub_diff_delete": f"{_RESULTS} SELECT * FROM a WHERE event_id NOT IN (SELECT event_id FROM b)",
     "sub_changes": f"{_LOG} SELECT * FROM log",
     "sub_rows": f"{_LOG} SELECT b.*, coalesce(s.row_id, l.row_id) AS row_id FROM b LEFT JOIN stored s ON s.event_id = b.event_id LEFT JOIN log l ON l.event_id = b.event_id AND l.change_type = 'insert'",
+    "sub_join_changes": f"""{_JOIN_STATES} SELECT 'insert' AS change_type, x.* FROM b x WHERE NOT EXISTS (SELECT 1 FROM a y WHERE {_JOIN_SAME}) UNION ALL SELECT 'delete', x.* FROM a x WHERE NOT EXISTS (SELECT 1 FROM b y WHERE {_JOIN_SAME})
+ UNION ALL SELECT 'update', x.* FROM b x JOIN a y ON {_JOIN_SAME} WHERE x.doc <> y.doc""",
+    "sub_join_candidates": f"WITH c1 AS (SELECT * FROM customer WHERE c_custkey % 10 IN (3, 5)) {_JOIN.format(left='INNER', customer='c1', nation='nation')}",
     "sub_log_purge": f"{_LOG} SELECT change_id, change_type, event_id FROM log WHERE change_id >= (SELECT max(change_id) FROM log) - 50",
     "sub_catchup": f"{_LOG} SELECT change_id, change_type, row_id FROM log WHERE change_id > 40 ORDER BY change_id",
     "sub_contiguity": f"{_LOG}, kept AS (SELECT change_id FROM log WHERE change_id % 9 <> 4) SELECT after_id, next_id FROM (SELECT change_id AS after_id, lead(change_id) OVER (ORDER BY change_id) AS next_id FROM kept) t WHERE next_id <> after_id + 1",
