@@ -47,12 +47,12 @@ def test_whole_queries_take_every_row(spark, sf_dir):
     orders = {(r.o_orderkey % 5, r.o_orderkey // 5 + 1) for r in spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey").collect()}
     ours = {(a, v) for a, v in orders if v % 7 not in (2, 3) and v % 40 < 31 and a != 4}
     theirs = {(a, v) for a, v in orders if v % 11 != 5}
-    assert {(r.actor, r.version, r.contains) for r in get("contains_version_whole")} == {(*x, x in ours) for x in orders}
+    assert {(r.actor, r.version, r.contains) for r in get("contains_version")} == {(*x, x in ours) for x in orders}
     near = {(a, s, s + d) for a, s in ours for d in range(-4, 5) if (a, s + d) in theirs}
     pairs = {(a, s, t) for a, s, t in near if s <= t + t % 5 and t <= s + 4}
-    assert sorted((r.actor, r.a_start, r.b_start) for r in get("range_overlap_whole")) == sorted(pairs)
-    served = {(r.actor, v) for r in get("serve_need_whole") if r.kind == "changes" for v in range(r.v_start, r.v_end + 1)}
+    assert sorted((r.actor, r.a_start, r.b_start) for r in get("range_overlap")) == sorted(pairs)
+    served = {(r.actor, v) for r in get("serve_need") if r.kind == "changes" for v in range(r.v_start, r.v_end + 1)}
     assert served == {(a, v) for a, v in ours if v % 5 != 1}
     customers = {r.c_custkey: r.c_mktsegment for r in spark.read.parquet(f"{sf_dir}/customer.parquet").collect()}
     merged = {k: "MOVED" if k % 6 == 1 and k % 9 != 4 else x for k, x in customers.items() if k % 9 != 4 or k % 8 != 5}
-    assert {r.c_custkey: r.c_mktsegment for r in get("upsert_merge_whole")} == merged
+    assert {r.c_custkey: r.c_mktsegment for r in get("upsert_merge")} == merged

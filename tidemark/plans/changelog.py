@@ -121,17 +121,11 @@ def collapse_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contains_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = i.versions(spark, sf_dir).where("o_custkey % 4 = 1").select("actor", "version")
-    return sync.contains_versions(asked, i.ours(spark, sf_dir))
-
-
-def contains_version_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """contains_version, asked of every version."""
     return sync.contains_versions(i.versions(spark, sf_dir).select("actor", "version"), i.ours(spark, sf_dir))
 
 
 def contains_seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = i.versions(spark, sf_dir).where("version % 7 IN (2, 3)").selectExpr("actor", "version", "version % 4 AS start", "version % 4 + 2 AS end")
+    asked = i.versions(spark, sf_dir).selectExpr("actor", "version", "version % 4 AS start", "version % 4 + 2 AS end")
     return sync.contains_seqs(asked, i.our_partial(spark, sf_dir))
 
 
@@ -144,13 +138,6 @@ def gap_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def range_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = i.ours(spark, sf_dir).selectExpr("actor", "start", "start + 4 AS end").where("start % 6 = 0")
-    b = i.theirs(spark, sf_dir).selectExpr("actor", "start", "start + start % 5 AS end").where("start % 4 = 1")
-    return ranges.overlaps(a, b, ["actor"], 16)
-
-
-def range_overlap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """range_overlap of all ranges."""
     a = i.ours(spark, sf_dir).selectExpr("actor", "start", "start + 4 AS end")
     b = i.theirs(spark, sf_dir).selectExpr("actor", "start", "start + start % 5 AS end")
     return ranges.overlaps(a, b, ["actor"], 16)
@@ -186,14 +173,6 @@ def available_needs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def serve_need(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = i.versions(spark, sf_dir).where("version % 50 = 10").selectExpr("actor", "version AS start", "version + 24 AS end")
-    applied = i.ours(spark, sf_dir).where("start % 5 <> 1").selectExpr("actor", "start AS version")
-    gaps = ranges.gaps(i.ours(spark, sf_dir), ["actor"]).where("start % 3 = 0")
-    return sync.serve_need(asked, applied, i.our_partial(spark, sf_dir).select("actor", "version"), gaps)
-
-
-def serve_need_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """serve_need, asked from every version on, with all gaps."""
     asked = i.versions(spark, sf_dir).selectExpr("actor", "version AS start", "version + 24 AS end")
     applied = i.ours(spark, sf_dir).where("start % 5 <> 1").selectExpr("actor", "start AS version")
     return sync.serve_need(asked, applied, i.our_partial(spark, sf_dir).select("actor", "version"), ranges.gaps(i.ours(spark, sf_dir), ["actor"]))
@@ -209,8 +188,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         lww_merge, changes_scan, sample_changes, capture_changes, sentinel_filter, causal_length_live, materialize_rows, chunk_changes, change_size, changeset_dedupe, route_complete, buffer_changes,
         apply_buffered, impactful_changes, fully_buffered, orphan_buffered, partial_merge, gaps_insert, version_gaps, collapse_ranges, contains_version, contains_seqs, known_actors, gap_total,
-        range_overlap, chunk_ranges, consistency_report, sync_state, need_len, available_needs, serve_need, rank_peers, contains_version_whole,
-        range_overlap_whole, serve_need_whole,
+        range_overlap, chunk_ranges, consistency_report, sync_state, need_len, available_needs, serve_need, rank_peers,
     )
 }
 
@@ -297,29 +275,20 @@ ORACLES: dict[str, str] = {
     "gaps_insert": f"""WITH {i.VERSIONS}, {i.OURS}, {i.THEIRS}, both_sides AS (SELECT * FROM ours UNION ALL SELECT * FROM theirs WHERE actor < 3 AND "start" % 2 = 0) {_gaps("both_sides")}""",
     "version_gaps": f"WITH {i.VERSIONS}, {i.OURS} {_gaps('ours')}",
     "collapse_ranges": f"""WITH {i.VERSIONS}, {i.OURS}, wide AS (SELECT actor, "start", "start" + "start" % 3 AS "end" FROM ours) {_islands("wide")}""",
-    "contains_version": f"""WITH {i.VERSIONS}, {i.OURS} SELECT v.actor, v.version, EXISTS (SELECT 1 FROM ours o WHERE o.actor = v.actor AND o."start" = v.version) AS contains FROM versions v WHERE o_custkey % 4 = 1""",
-    "contains_seqs": f"""WITH {i.VERSIONS}, {i.OUR_PARTIAL}, asked AS (SELECT actor, version, version % 4 AS "start", version % 4 + 2 AS "end" FROM versions WHERE version % 7 IN (2, 3)), held AS ({_islands("our_partial", "actor, version")})
+    "contains_seqs": f"""WITH {i.VERSIONS}, {i.OUR_PARTIAL}, asked AS (SELECT actor, version, version % 4 AS "start", version % 4 + 2 AS "end" FROM versions), held AS ({_islands("our_partial", "actor, version")})
  SELECT actor, version, "start", "end", EXISTS (SELECT 1 FROM held h WHERE h.actor = a.actor AND h.version = a.version AND h."start" <= a."start" AND h."end" >= a."end") AS contains FROM asked a""",
     "known_actors": f"WITH {i.VERSIONS} SELECT DISTINCT actor FROM versions",
     "gap_total": f"""WITH {i.VERSIONS}, {i.OURS} SELECT CAST(coalesce(sum("end" - "start" + 1), 0) AS BIGINT) AS total FROM ({_gaps("ours")}) g""",
-    "range_overlap": f"""WITH {i.VERSIONS}, {i.OURS}, {i.THEIRS}, a AS (SELECT actor, "start" AS s, "start" + 4 AS e FROM ours WHERE "start" % 6 = 0), b AS (SELECT actor, "start" AS s, "start" + "start" % 5 AS e FROM theirs WHERE "start" % 4 = 1)
- SELECT a.actor, a.s AS a_start, a.e AS a_end, b.s AS b_start, b.e AS b_end, greatest(a.s, b.s) AS "start", least(a.e, b.e) AS "end" FROM a JOIN b ON a.actor = b.actor AND a.s <= b.e AND b.s <= a.e""",
     "chunk_ranges": f"""WITH {i.VERSIONS}, {i.THEIRS}, islands AS ({_islands("theirs")}) SELECT actor, s AS "start", least(s + 4, e) AS "end" FROM (SELECT actor, unnest(range("start", greatest("start", "end" - 1) + 1, 4)) AS s, "end" AS e FROM islands) t""",
     "consistency_report": f"""WITH {i.VERSIONS}, {i.OURS}, {i.THEIRS}, a AS (SELECT actor, max("end") AS h FROM ours GROUP BY actor), b AS (SELECT actor, max("end") AS h FROM theirs WHERE actor <> 2 GROUP BY actor)
  SELECT coalesce(a.actor, b.actor) AS actor, CASE WHEN a.h IS NULL THEN 'only in b' WHEN b.h IS NULL THEN 'only in a' ELSE 'differs' END AS finding FROM a FULL JOIN b ON a.actor = b.actor WHERE a.h IS DISTINCT FROM b.h""",
     "sync_state": f"{_STATE} SELECT * FROM state",
     "need_len": f"{_STATE} SELECT actor, CAST(sum(CASE WHEN kind = 'need' THEN v_end - v_start + 1 ELSE 0 END) + sum(CASE WHEN kind = 'partial_need' THEN s_end - s_start + 1 ELSE 0 END) // 50 AS BIGINT) AS need FROM state GROUP BY actor",
     "available_needs": _NEEDS,
-    "serve_need": f"""WITH {i.VERSIONS}, {i.OURS}, {i.OUR_PARTIAL}, asked AS (SELECT actor, version AS lo, version + 24 AS hi FROM versions WHERE version % 50 = 10), one AS (SELECT DISTINCT actor, unnest(range(lo, hi + 1)) AS v FROM asked),
- full_ AS (SELECT o.actor, 'changes' AS kind, v, count(*) AS n FROM ours o JOIN one ON one.actor = o.actor AND one.v = o."start" WHERE o."start" % 5 <> 1 GROUP BY o.actor, v),
- held AS (SELECT p.actor, 'buffered' AS kind, v, count(*) AS n FROM our_partial p JOIN one ON one.actor = p.actor AND one.v = p.version WHERE NOT EXISTS (SELECT 1 FROM full_ f WHERE f.actor = p.actor AND f.v = p.version) GROUP BY p.actor, v),
- missing AS (SELECT * FROM ({_gaps("ours")}) g WHERE "start" % 3 = 0),
- none AS (SELECT one.actor, one.v AS "start", one.v AS "end" FROM one WHERE NOT EXISTS (SELECT 1 FROM full_ f WHERE f.actor = one.actor AND f.v = one.v) AND NOT EXISTS (SELECT 1 FROM held h WHERE h.actor = one.actor AND h.v = one.v) AND NOT EXISTS (SELECT 1 FROM missing m WHERE m.actor = one.actor AND one.v BETWEEN m."start" AND m."end"))
- SELECT actor, kind, v AS v_start, v AS v_end, n FROM full_ UNION ALL SELECT actor, kind, v, v, n FROM held UNION ALL SELECT actor, 'empty', "start", "end", 0 FROM ({_islands("none")}) e""",
-    "contains_version_whole": f"""WITH {i.VERSIONS}, {i.OURS} SELECT v.actor, v.version, EXISTS (SELECT 1 FROM ours o WHERE o.actor = v.actor AND o."start" = v.version) AS contains FROM versions v""",
-    "range_overlap_whole": f"""WITH {i.VERSIONS}, {i.OURS}, {i.THEIRS}, a AS (SELECT actor, "start" AS s, "start" + 4 AS e, unnest(range("start", "start" + 5)) AS n FROM ours), b AS (SELECT actor, "start" AS s, "start" + "start" % 5 AS e, unnest(range("start", "start" + "start" % 5 + 1)) AS n FROM theirs)
+    "contains_version": f"""WITH {i.VERSIONS}, {i.OURS} SELECT v.actor, v.version, EXISTS (SELECT 1 FROM ours o WHERE o.actor = v.actor AND o."start" = v.version) AS contains FROM versions v""",
+    "range_overlap": f"""WITH {i.VERSIONS}, {i.OURS}, {i.THEIRS}, a AS (SELECT actor, "start" AS s, "start" + 4 AS e, unnest(range("start", "start" + 5)) AS n FROM ours), b AS (SELECT actor, "start" AS s, "start" + "start" % 5 AS e, unnest(range("start", "start" + "start" % 5 + 1)) AS n FROM theirs)
  SELECT a.actor, a.s AS a_start, a.e AS a_end, b.s AS b_start, b.e AS b_end, a.n AS "start", least(a.e, b.e) AS "end" FROM a JOIN b ON a.actor = b.actor AND a.n = b.n WHERE a.n = greatest(a.s, b.s)""",
-    "serve_need_whole": f"""WITH {i.VERSIONS}, {i.OURS}, {i.OUR_PARTIAL}, one AS (SELECT DISTINCT actor, unnest(range(version, version + 25)) AS v FROM versions),
+    "serve_need": f"""WITH {i.VERSIONS}, {i.OURS}, {i.OUR_PARTIAL}, one AS (SELECT DISTINCT actor, unnest(range(version, version + 25)) AS v FROM versions),
  full_ AS (SELECT o.actor, 'changes' AS kind, v, count(*) AS n FROM ours o JOIN one ON one.actor = o.actor AND one.v = o."start" WHERE o."start" % 5 <> 1 GROUP BY o.actor, v),
  held AS (SELECT p.actor, 'buffered' AS kind, v, count(*) AS n FROM our_partial p JOIN one ON one.actor = p.actor AND one.v = p.version WHERE NOT EXISTS (SELECT 1 FROM full_ f WHERE f.actor = p.actor AND f.v = p.version) GROUP BY p.actor, v),
  missing AS (SELECT actor, unnest(range("start", "end" + 1)) AS v FROM ({_gaps("ours")}) g),

@@ -133,12 +133,6 @@ def registry_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored, fetched = _customers(spark, sf_dir)
-    return ingest.upsert(stored, fetched.where("c_custkey % 3 = 0"), ["c_custkey"]).select("c_custkey", "c_mktsegment", F.col("c_acctbal").cast("double").alias("c_acctbal"))
-
-
-def upsert_merge_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """upsert_merge of all that was fetched."""
     stored, fetched = _customers(spark, sf_dir)
     return ingest.upsert(stored, fetched, ["c_custkey"]).select("c_custkey", "c_mktsegment", F.col("c_acctbal").cast("double").alias("c_acctbal"))
 
@@ -234,7 +228,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         sub_initial, sub_delta_candidates, match_candidates, sub_diff_upsert, sub_diff_delete, sub_changes, sub_rows, sub_join_changes, sub_join_candidates, sub_log_purge, sub_catchup, sub_contiguity, updates_notify, updates_dedupe,
-        updates_late_guard, registry_diff, upsert_merge, upsert_merge_whole, upsert_if_newer, delete_if_older, reap_deleted, reap_orphans, schema_evolve, histogram_buckets, histogram_quantile, rolling_quantile,
+        updates_late_guard, registry_diff, upsert_merge, upsert_if_newer, delete_if_older, reap_deleted, reap_orphans, schema_evolve, histogram_buckets, histogram_quantile, rolling_quantile,
         ring_bucket, ring_hysteresis, rolling_min, ema, stats_by_state, gap_stats_by_state,
     )
 }
@@ -287,8 +281,7 @@ ORACLES: dict[str, str] = {
     "updates_dedupe": f"WITH {i.ROW_CHANGES} SELECT pk, CASE WHEN cl % 2 = 0 THEN 'delete' ELSE 'update' END AS change_type FROM (SELECT *, row_number() OVER (PARTITION BY pk ORDER BY cl DESC, event_id DESC) AS rn FROM row_changes) t WHERE rn = 1",
     "updates_late_guard": f"WITH {i.ROW_CHANGES} SELECT pk, cl, event_id FROM row_changes r WHERE NOT EXISTS (SELECT 1 FROM row_changes x WHERE x.pk = r.pk AND x.event_id < r.event_id AND x.cl > r.cl)",
     "registry_diff": f"WITH {_STORED} SELECT coalesce(s.c_custkey, f.c_custkey) AS c_custkey, CASE WHEN f.c_custkey IS NULL THEN 'delete' ELSE 'upsert' END AS action FROM stored s FULL JOIN fetched f ON s.c_custkey = f.c_custkey WHERE s.c_custkey IS NULL OR f.c_custkey IS NULL OR s.c_mktsegment <> f.c_mktsegment",
-    "upsert_merge": f"WITH {_STORED} SELECT c_custkey, c_mktsegment, CAST(c_acctbal AS DOUBLE) AS c_acctbal FROM fetched WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, c_mktsegment, CAST(c_acctbal AS DOUBLE) FROM stored WHERE c_custkey NOT IN (SELECT c_custkey FROM fetched WHERE c_custkey % 3 = 0)",
-    "upsert_merge_whole": f"WITH {_STORED} SELECT c_custkey, c_mktsegment, CAST(c_acctbal AS DOUBLE) AS c_acctbal FROM fetched UNION ALL SELECT c_custkey, c_mktsegment, CAST(c_acctbal AS DOUBLE) FROM stored WHERE c_custkey NOT IN (SELECT c_custkey FROM fetched)",
+    "upsert_merge": f"WITH {_STORED} SELECT c_custkey, c_mktsegment, CAST(c_acctbal AS DOUBLE) AS c_acctbal FROM fetched UNION ALL SELECT c_custkey, c_mktsegment, CAST(c_acctbal AS DOUBLE) FROM stored WHERE c_custkey NOT IN (SELECT c_custkey FROM fetched)",
     "upsert_if_newer": """WITH m AS (SELECT c_custkey AS id, c_mktsegment AS state, c_nationkey AS rtt_min, c_custkey % 10 AS updated_at FROM customer),
  n AS (SELECT * FROM (SELECT id + id % 2 * 3 AS id, 'new' AS state, CASE WHEN id % 5 = 0 THEN NULL ELSE rtt_min + 100 END AS rtt_min, id % 7 AS updated_at FROM m WHERE id % 4 <> 0) q WHERE id % 2 = 0),
  r AS (SELECT *, 1 AS held FROM m UNION ALL SELECT *, 0 FROM n), w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, held DESC) AS rn FROM r) t WHERE rn = 1)
