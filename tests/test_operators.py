@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidemark.engine import Engine
@@ -341,3 +342,30 @@ def test_lineage_of_a_join():
     for bad in ("SELECT 1", "SELECT x FROM a; SELECT 1", "DELETE FROM a", "SELECT x FROM (SELECT 1) t", "SELECT x FROM a UNION SELECT x FROM c", "SELECT p.x FROM a p JOIN c p ON true", "SELECT x FROM a JOIN c ON true", "SELECT z FROM nowhere", "SELECT y FROM a WHERE id IN b"):
         with pytest.raises(lineage.NotSupported):
             lineage.columns_used(bad, schemas)
+
+
+def test_ranges_of_one_key_are_swept_in_blocks(spark, monkeypatch):
+    """With blocks of 16 numbers, results stay and no window but that of the blocks' sums holds a large part of the key."""
+    monkeypatch.setattr(ranges, "BLOCK_BITS", 4)
+    rng = random.Random(11)
+    schema = "actor long, start long, end long"
+    for _ in range(2):
+        a, b = ([(k, s, s + rng.choice([0, 1, 2, 40, 90])) for k in (1, None) for s in rng.choices(range(-50, 400), k=n)] for n in (30, 12))
+        numbers = [{(k, v) for k, s, e in x for v in range(s, e + 1)} for x in (a, b)]
+        left, right = (spark.createDataFrame(x, schema) for x in (a, b))
+        for got, want in (
+            (ranges.coalesce(left, ["actor"]), numbers[0]), (ranges.intersect(left, right, ["actor"]), numbers[0] & numbers[1]), (ranges.subtract(left, right, ["actor"]), numbers[0] - numbers[1]),
+            (ranges.coalesce(left, ["actor"], blocked=False), numbers[0]), (ranges.subtract(left, right, ["actor"], blocked=False), numbers[0] - numbers[1]),
+            (ranges.gaps(left, ["actor"], 7), {(k, v) for k in (1, None) for v in range(7, max(n for j, n in numbers[0] if j == k) + 1)} - numbers[0]),
+        ):
+            rows = [tuple(r) for r in got.select("actor", "start", "end").collect()]
+            held = [(k, v) for k, s, e in rows for v in range(s, e + 1)]
+            assert len(held) == len(set(held)) and set(held) == want
+            assert not {(k, e + 1) for k, _, e in rows} & {(k, s) for k, s, _ in rows}  # runs are the longest
+        asked = [(k, rng.choice([None, *range(-60, 420)]), i) for k in (1, 2, None) for i in range(60)]
+        inside = ranges.containing(spark.createDataFrame(asked, "actor long, version long, at long"), left, ["actor"], "version")
+        assert sorted(map(str, inside.select("actor", "version", "at", "inside").collect())) == sorted(str(Row(actor=k, version=v, at=i, inside=v is not None and (k, v) in numbers[0])) for k, v, i in asked)
+    wide = spark.range(4000).selectExpr("1L AS actor", "id * 2 AS start", "id * 2 AS end")
+    parts = ranges._running(ranges._ends(wide, ["actor"], a=True).withColumn("_kind", F.lit(0)), ["actor"], ["da"])
+    assert parts.groupBy("_block").count().agg(F.max("count")).first()[0] <= 32
+    assert ranges.gaps(wide, ["actor"], 0).count() == 3999

@@ -233,7 +233,7 @@ def without_applied(buffered: DataFrame, applied: DataFrame) -> DataFrame:
 def partial_versions(seqs: DataFrame) -> DataFrame:
     """Received seq ranges of each version merged, and whether they are complete: start, end, complete."""
     last = seqs.groupBy(*VERSION).agg(F.max("last_seq").alias("last_seq"))
-    merged = ranges.coalesce(seqs.select(*VERSION, F.col("start_seq").alias("start"), F.col("end_seq").alias("end")), VERSION)
+    merged = ranges.coalesce(seqs.select(*VERSION, F.col("start_seq").alias("start"), F.col("end_seq").alias("end")), VERSION, blocked=False)
     whole = (F.col("start") == 0) & (F.col("end") >= F.col("last_seq"))
     return merged.join(last, VERSION).select(*VERSION, F.col("start").alias("start_seq"), F.col("end").alias("end_seq"), "last_seq", whole.alias("complete"))
 

@@ -30,7 +30,7 @@ def contains_versions(asked: DataFrame, applied: DataFrame) -> DataFrame:
 
 def contains_seqs(asked: DataFrame, partial: DataFrame) -> DataFrame:
     """asked (actor, version, start, end) with `contains`: every seq inside the received ranges of the version."""
-    held = ranges.coalesce(partial, ["actor", "version"]).select("actor", "version", F.col("start").alias("_s"), F.col("end").alias("_e"))
+    held = ranges.coalesce(partial, ["actor", "version"], blocked=False).select("actor", "version", F.col("start").alias("_s"), F.col("end").alias("_e"))
     joined = asked.join(held, ["actor", "version"], "left")
     fits = F.coalesce((F.col("_s") <= F.col("start")) & (F.col("_e") >= F.col("end")), F.lit(False))
     return joined.groupBy("actor", "version", "start", "end").agg(F.max(fits).alias("contains"))
@@ -52,7 +52,7 @@ def seq_gaps(partial: DataFrame) -> DataFrame:
     """Seqs that each version lacks of 0 to last_seq."""
     key = ["actor", "version"]
     whole = partial.groupBy(*key).agg(F.max("last_seq").alias("end")).withColumn("start", F.lit(0).cast("long"))
-    return ranges.subtract(whole, partial, key)
+    return ranges.subtract(whole, partial, key, blocked=False)
 
 
 def need_len(state: DataFrame) -> DataFrame:
@@ -90,7 +90,7 @@ def available_needs(ours: DataFrame, theirs: DataFrame, self_actor: Column | Non
     asked_whole = our_partial.join(whole, ["actor", "version"], "left_semi")
     their_partial = theirs.where("kind = 'partial_need'").select("actor", F.col("v_start").alias("version"), F.col("s_start").alias("start"), F.col("s_end").alias("end"))
     both_partial = our_partial.join(their_heads.select("actor"), "actor", "left_semi").join(their_partial.select("actor", "version").distinct(), ["actor", "version"], "left_semi")
-    asked_part = ranges.subtract(both_partial, their_partial, ["actor", "version"])
+    asked_part = ranges.subtract(both_partial, their_partial, ["actor", "version"], blocked=False)
     partial = asked_whole.select("actor", "version", "start", "end").unionByName(asked_part.select("actor", "version", "start", "end"))
     from_partial = partial.select("actor", F.lit("partial").alias("kind"), F.col("version").alias("v_start"), F.col("version").alias("v_end"), F.col("start").alias("s_start"), F.col("end").alias("s_end"))
 
@@ -105,7 +105,7 @@ def serve_need(asked: DataFrame, changes: DataFrame, buffered: DataFrame, gaps:
     (actor, kind, v_start, v_end, n): a row per version with changes or buffered rows, a row per range of versions that
     are neither there, nor buffered, nor missing.
     """
-    wanted = ranges.coalesce(asked, ["actor"])
+    wanted = asked.select("actor", "start", "end")  # overlapping or not: the sweeps count how many ranges hold a number
 
     def of(df: DataFrame, kind: str) -> DataFrame:
         counted = df.groupBy("actor", "version").agg(F.count("*").alias("n"))
