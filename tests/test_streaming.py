@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +41,34 @@ def test_live_query_follows_a_stream(spark, tmp_path):
     assert sorted(map(str, live.log().collect())) == before
 
 
+def test_live_query_compacts_its_state_and_purges_its_log(spark, tmp_path):
+    rng = random.Random(9)
+    live = LiveQuery(spark, f"file://{tmp_path}/live", ["id"], CELLS, "n >= 2", every=2, keeps=6)
+    now, whole, frames = {}, {}, []
+    for n in range(7):
+        rows = []
+        for at in range(8):
+            key, gone = rng.randrange(12), rng.random() < 0.3
+            row = (key, rng.choice("xyz"), rng.randrange(8))
+            rows.append((*row, gone, n * 8 + at))
+            now.pop(key, None) if gone else now.__setitem__(key, row)
+        frames.append(spark.createDataFrame(rows, "id long, name string, n long, deleted boolean, at long"))
+        live.process(frames[-1], n)
+        whole |= {r.change_id: str(r) for r in live.log().collect()}
+        assert sorted((r.id, r.name, r.n) for r in live.rows().collect()) == sorted(r for r in now.values() if r[2] >= 2)
+    assert live._batches("state") == [3, 5] and live._batches("log")[0] > 0  # early events are gone
+    assert sorted(whole) == list(range(1, max(whole) + 1))
+    newest = max(whole)
+    assert [r.change_id for r in live.catch_up(newest - 6).collect()] == list(range(newest - 5, newest + 1))
+    with pytest.raises(LookupError):
+        live.catch_up(0)
+    # The batch of the last state, and the one after it, run again: the same events and rows.
+    for n in (5, 6):
+        live.process(frames[n], n)
+    assert all(whole[r.change_id] == str(r) for r in live.log().collect())
+    assert sorted((r.id, r.name, r.n) for r in live.rows().collect()) == sorted(r for r in now.values() if r[2] >= 2)
+
+
 def test_late_notifications_are_dropped(spark, tmp_path):
     rows = [(1, 1, 1), (1, 2, 2), (1, 1, 3), (1, 3, 4), (2, 1, 5), (2, 1, 6)]
     spark.createDataFrame(rows, "pk long, cl long, at long").coalesce(1).write.parquet(f"file://{tmp_path}/in")
