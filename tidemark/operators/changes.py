@@ -227,6 +227,7 @@ def orphans(buffered: DataFrame, seqs: DataFrame) -> DataFrame:
 
 
 def without_applied(buffered: DataFrame, applied: DataFrame) -> DataFrame:
+    """Buffered changes that stay once versions have been applied."""
     return buffered.join(applied.select(*VERSION), VERSION, "left_anti")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import ranges
@@ -130,5 +130,4 @@ def rank_peers(peers: DataFrame, n_peers: int) -> DataFrame:
 
 def one_peer_per_range(offers: DataFrame) -> DataFrame:
     """Of offers (actor, start, end, peer) each range once, from the peer with the smallest name."""
-    order = Window.partitionBy("actor", "start", "end").orderBy("peer")
-    return offers.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    return offers.groupBy("actor", "start", "end").agg(F.min("peer").alias("peer"))

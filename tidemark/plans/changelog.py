@@ -98,6 +98,11 @@ def orphan_buffered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.orphans(i.received(spark, sf_dir), i.seq_ranges(spark, sf_dir))
 
 
+def buffered_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays buffered after a quarter of the versions has been applied."""
+    return ops.without_applied(i.received(spark, sf_dir), _sets(spark, sf_dir).where("db_version % 4 = 1")).select("site_id", "db_version", "seq", "event_id")
+
+
 def partial_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.partial_versions(i.seq_ranges(spark, sf_dir))
 
@@ -178,6 +183,13 @@ def serve_need(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.serve_need(asked, applied, i.our_partial(spark, sf_dir).select("actor", "version"), ranges.gaps(i.ours(spark, sf_dir), ["actor"]))
 
 
+def one_peer_per_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every range is offered by two peers, now and then by one twice, and asked of one."""
+    theirs = i.theirs(spark, sf_dir)
+    offers = [theirs.selectExpr("actor", "start", "end", f"concat('peer', {n}) AS peer") for n in ("start % 3", "start % 5 + 1")]
+    return sync.one_peer_per_range(offers[0].unionByName(offers[1]))
+
+
 def rank_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS actor", "c_custkey % 50 AS need", "c_custkey % 13 AS last_sync", "c_nationkey % 6 AS ring")
     return sync.rank_peers(customers, 700)
@@ -188,7 +200,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         lww_merge, changes_scan, sample_changes, capture_changes, sentinel_filter, causal_length_live, materialize_rows, chunk_changes, change_size, changeset_dedupe, route_complete, buffer_changes,
         apply_buffered, impactful_changes, fully_buffered, orphan_buffered, partial_merge, gaps_insert, version_gaps, collapse_ranges, contains_version, contains_seqs, known_actors, gap_total,
-        range_overlap, chunk_ranges, consistency_report, sync_state, need_len, available_needs, serve_need, rank_peers,
+        range_overlap, chunk_ranges, consistency_report, sync_state, need_len, available_needs, serve_need, rank_peers, buffered_cleanup, one_peer_per_range,
     )
 }
 
@@ -294,5 +306,7 @@ ORACLES: dict[str, str] = {
  missing AS (SELECT actor, unnest(range("start", "end" + 1)) AS v FROM ({_gaps("ours")}) g),
  none AS (SELECT actor, v AS "start", v AS "end" FROM (SELECT actor, v FROM one EXCEPT SELECT actor, v FROM full_ EXCEPT SELECT actor, v FROM held EXCEPT SELECT actor, v FROM missing) q)
  SELECT actor, kind, v AS v_start, v AS v_end, n FROM full_ UNION ALL SELECT actor, kind, v, v, n FROM held UNION ALL SELECT actor, 'empty', "start", "end", 0 FROM ({_islands("none")}) e""",
+    "buffered_cleanup": f"WITH {i.CHANGES}, {i.RECEIVED} SELECT site_id, db_version, seq, event_id FROM received WHERE db_version % 4 <> 1",
+    "one_peer_per_range": f"""WITH {i.VERSIONS}, {i.THEIRS} SELECT DISTINCT actor, "start", "end", 'peer' || least("start" % 3, "start" % 5 + 1) AS peer FROM theirs""",
     "rank_peers": "SELECT c_custkey AS actor, c_custkey % 50 AS need, c_custkey % 13 AS last_sync, c_nationkey % 6 AS ring FROM customer ORDER BY need DESC, last_sync, ring, actor LIMIT 7",
 }
