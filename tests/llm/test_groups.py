@@ -1,6 +1,7 @@
 """Near-duplicates, components and vector search against brute force."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -277,6 +278,48 @@ def test_the_index_in_hot_groups_and_beside_a_long_vector(spark):
         assert recall >= 0.9 and share < 0.5
 
 
+def test_a_block_costs_less_than_multiplying_all():
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((60_000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids, real = np.arange(len(x)), x.astype(np.float64)
+    own = ids[::20]
+    some = rng.permutation(ids)[: ann.SAMPLE_ROWS]
+    cells = ann.Cells(64, len(x), 1.0, ids[some], real[some], 20, 1)
+    index = ann.Index(ids, x, cells.expected, 20)
+    kth = cells.expected(own, real[own])
+    began = time.process_time()
+    number, found, products, compared = index.search(own, real[own], kth, 20)
+    took = time.process_time() - began
+    began = time.process_time()
+    want = []
+    for q in own:
+        p = real @ real[q]
+        p[q] = -np.inf
+        want.append(set(np.argpartition(-p, 20)[:20].tolist()))
+    assert took < time.process_time() - began
+    assert (number == 20).all() and sum(len(w & set(f.tolist())) for w, f in zip(want, found.reshape(-1, 20), strict=True)) >= 0.9 * 20 * len(own)
+    assert np.abs(products - np.einsum("ij,ij->i", real[np.repeat(own, 20)], real[found])).max() < 1e-12
+    assert compared.mean() < 0.4 * len(x)
+
+
+def test_a_query_goes_to_a_bounded_number_of_blocks():
+    x = np.random.default_rng(8).standard_normal((ann.SAMPLE_ROWS, 64))
+    cells = ann.Cells(64, 15_000_000, float(np.linalg.norm(x, axis=1).max()), np.arange(len(x)), x, 20, 600)
+    assert len(np.unique(cells.tables[0].names(ann.filled(x, cells.longest)))) <= 32
+
+
+def test_copies_of_vectors_are_not_compared_again(spark):
+    x = np.random.default_rng(3).standard_normal((50, 64))
+    rows = [(n, x[n % 50].tolist()) for n in range(8000)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), exact=False).collect()
+    assert len(got) == 400 * 20
+    for r in got:  # the smallest ids of the query's own vector
+        first = [n for n in range(r.query_id % 50, 8000, 50) if n != r.query_id]
+        assert r.vec_id == first[r["rank"] - 1]
+        assert r.compared <= 4 * 50 * 21
+
+
 def test_vectors_of_repeated_and_null_ids(spark):
     a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
     rows = [(5, a, 1), (5, b, 1), (2, a, 1), (9, [0.05, 1.0, 0.0], 1), (2, a, 1), (None, a, 1), (7, c, 1), (8, c, 2)]
