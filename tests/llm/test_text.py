@@ -119,6 +119,31 @@ def test_packing_of_repeats_nulls_and_nothing(docs):
     assert sum(r.doc_id is None for r in rows) == 2 and len([r for r in rows if r.doc_id == 0]) == 2
 
 
+def little_endian(ids):
+    return b"".join(i.to_bytes(4, "little") for i in ids)
+
+
+def test_packing_splits_and_merges_whole_texts_at_once(library):
+    enc = packing.encoder(open(PATH, "rb").read())
+    held = len(enc.young) + len(enc.old)
+    text = " ".join(f"wordof{chr(97 + n % 26)}{chr(97 + n // 26 % 26)} it's {n}," for n in range(2000))
+    assert enc.encode(text) == little_endian(library(text))
+    assert len(enc.young) + len(enc.old) == held  # a worker holds no words of such texts, however many there are
+
+
+@pytest.mark.parametrize("text", [" " * 1_200_000 + "x", "a b" * 50_000 + "\n " * 300_000 + "<|endoftext|> end", "é" * 150_000])
+def test_packing_of_long_stretches(library, text):
+    assert packing.encoder(open(PATH, "rb").read()).encode(text) == little_endian(library(text))
+
+
+def test_packing_cuts_long_texts_only_where_words_begin(library, monkeypatch):
+    monkeypatch.setattr(packing, "SPAN", 7)
+    enc, rng = packing.encoder(open(PATH, "rb").read()), random.Random(3)
+    for _ in range(3000):
+        text = "".join(rng.choices("ab  \n'st.1é\u00a0\x1c\x85", k=rng.randint(1, 40)))
+        assert enc.encode(text) == little_endian(library(text)), text
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 49), max_size=120))
 def test_plan_packs_each_length_as_often_as_it_occurs(lengths):

@@ -12,9 +12,11 @@ same length, in parallel. The plan is exact: it packs every piece of the input.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain, groupby
+from itertools import chain, groupby, pairwise
 from pathlib import Path
 from struct import pack
 
@@ -29,21 +31,29 @@ from tidemark.llm import bpe, common
 
 CAPACITY = 2048
 END_OF_DOCUMENT = 0
+#: Signs that are split at once.
+SPAN = 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLAN = T.StructType([T.StructField(n, T.LongType(), False) for n in ("plan_length", "first_rank", "last_rank", "uses", "first_sequence", "first_offset")])
 
+#: A space between two signs that are no white space begins a word, whatever stands before it.
+_edge = re.compile(r"(?<=\S) (?=\S)").search
 
-class MergedWords(bpe.SplitEncoder):
-    """The same ids as bpe.Automaton, as bytes of little-endian 32-bit numbers, merging words in compiled code.
 
-    Ids are in the order of merging and serve as ranks.
+class MergedTexts(bpe.SplitEncoder):
+    """The same ids as bpe.Automaton, as bytes of little-endian 32-bit numbers, split and merged in compiled code.
+
+    Ids are in the order of merging and serve as ranks. The compiled splitter fails on white space of a million signs, so
+    it gets spans of at most SPAN signs; only a longer stretch without a place to cut it is split by SplitEncoder.
     """
 
     def __init__(self, data: bytes):
-        auto = bpe.automaton(data)
-        ranks = {label: i for i, label in auto.labels.items() if i not in auto.specials.values()}
-        self.merge = tiktoken.Encoding("words", pat_str=bpe.PRE_SPLIT, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        super().__init__(auto.specials)
+        x, signs = json.loads(data), bpe.byte_signs()
+        specials = {t["content"]: t["id"] for t in x.get("added_tokens", [])}
+        ranks = {bytes(signs[c] for c in token): i for token, i in x["model"]["vocab"].items() if i not in specials.values() and all(c in signs for c in token)}
+        core = tiktoken.Encoding("texts", pat_str=bpe.PRE_SPLIT, mergeable_ranks=ranks, special_tokens={})._core_bpe
+        self.merge, self.whole = core.encode_single_piece, core.encode_ordinary
+        super().__init__(specials)
 
     def word(self, word: bytes) -> bytes:
         ids = self.merge(word)
@@ -55,14 +65,28 @@ class MergedWords(bpe.SplitEncoder):
     def special(self, text: str) -> bytes:
         return pack("<I", self.specials[text])
 
+    def _span(self, text: str) -> bytes:
+        if len(text) > SPAN:
+            return super()._plain(text)
+        ids = self.whole(text)
+        return pack(f"<{len(ids)}I", *ids)
+
+    def _plain(self, text: str) -> bytes:
+        if len(text) <= SPAN:
+            return self._span(text)
+        cuts = [0]
+        while len(text) - cuts[-1] > SPAN and (edge := _edge(text, cuts[-1] + SPAN // 2)):
+            cuts.append(edge.start())
+        return self.join(self._span(text[a:b]) for a, b in pairwise([*cuts, len(text)]))
+
 
-_encoders: dict[int, MergedWords] = {}
+_encoders: dict[int, MergedTexts] = {}
 
 
-def encoder(data: bytes) -> MergedWords:
+def encoder(data: bytes) -> MergedTexts:
     key = zlib.crc32(data)
     if key not in _encoders:
-        _encoders[key] = MergedWords(data)
+        _encoders[key] = MergedTexts(data)
     return _encoders[key]
 
 
