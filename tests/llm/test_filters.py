@@ -1,18 +1,20 @@
 """Toxicity, languages, archives and the pipeline."""
 
 import io
+import os
 import random
 import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import zstandard
 
 import corpus_pipeline
 from tests.llm.test_groups import brute_documents
-from tidemark.llm import langid, queries, stages, toxicity, warc
+from tidemark.llm import common, hyperminhash, langid, packing, queries, stages, toxicity, warc
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -301,3 +303,24 @@ def test_pipeline_of_odd_rows(spark, tmp_path, sf_dir):
         assert bool(out) == (name == "odd")
     ids = [r.doc_id for r in corpus_pipeline.run(spark, f"file://{tmp_path}/odd").collect()]
     assert ids.count(9003) == 1 and 9001 not in ids and ids.count(None) == 1 and 9002 in ids
+
+
+def test_workers_forget_what_other_operators_remembered(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").repartition(4)
+    probe = "pid long, serving string, words long, encoders long"
+
+    def ask(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist([{"pid": os.getpid(), "serving": "".join(common._serving), "words": len(hyperminhash._words), "encoders": len(packing._encoders)}])
+
+    def told(operator):
+        rows = spark.range(0, 64, 1, 16).mapInArrow(ask, probe).collect()
+        return [r for r in rows if r.serving == operator]
+
+    hyperminhash.sketches(docs).write.format("noop").mode("overwrite").save()
+    known = told("hyperminhash")
+    assert known and all(r.words > 0 for r in known)
+    packing.pieces_of(docs, public_tokenizers.path("byte_bpe_50k.json")).write.format("noop").mode("overwrite").save()
+    after = told("packing")
+    assert {r.pid for r in after} & {r.pid for r in known}  # workers are used again
+    assert all(r.words == 0 and r.encoders == 1 for r in after)

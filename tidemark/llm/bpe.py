@@ -204,6 +204,7 @@ class Automaton(SplitEncoder):
 
 
 _compiled: dict[bytes, Automaton] = {}
+common.remember("bpe", _compiled)
 
 
 def automaton(data: bytes) -> Automaton:
@@ -223,6 +224,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     data = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.serve("bpe")
         auto = automaton(data.value)
         for batch in batches:
             ids = pa.array([auto.encode(x) for x in common.texts_of(batch.column(1))], pa.list_(pa.int32()))
@@ -237,6 +239,7 @@ def decode_ids(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     data = encoded.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.serve("bpe")
         auto = automaton(data.value)
         for batch in batches:
             texts = pa.array([auto.decode(x.as_py() or ()) for x in batch.column(1)], pa.string())
@@ -255,6 +258,7 @@ def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     data = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.serve("bpe")
         auto = automaton(data.value)
         number = auto.numbers.__getitem__
         for batch in batches:

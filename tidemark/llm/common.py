@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -114,3 +115,27 @@ def semi_join(df: DataFrame, ids: DataFrame, on: str, anti: bool = False) -> Dat
     ids = materialize(ids.select(on).distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
     return df.join(F.broadcast(ids) if few else ids, on, "left_anti" if anti else "left_semi")
+
+
+#: What this process remembers between tasks, with the operator that does; and the operator whose task came last.
+_remembered: list[tuple[str, dict]] = []
+_serving: list[str] = []
+
+
+def remember(operator: str, store: dict) -> None:
+    """Let serve() clear a store of the process when another operator's task comes."""
+    _remembered.append((operator, store))
+
+
+def serve(operator: str) -> None:
+    """Called by a task before its first row. Python workers serve one operator after another: when another one comes, what
+    those before it remember is cleared, and freed memory goes back to the system instead of adding up."""
+    if _serving == [operator]:
+        return
+    _serving[:] = [operator]
+    for owner, store in _remembered:
+        if owner != operator:
+            store.clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)

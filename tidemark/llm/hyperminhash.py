@@ -50,6 +50,7 @@ class _WordHashes(dict):
 
 
 _words = _WordHashes()
+common.remember("hyperminhash", _words)
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -150,6 +151,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     common.long_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.serve("hyperminhash")
         for batch in batches:
             n, prints, regs = [], [], []
             for text in common.bytes_of(batch.column(1)):
@@ -170,6 +172,7 @@ def band_rows(nodes: DataFrame) -> DataFrame:
     """(bucket, id) for each band of each node's sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.serve("hyperminhash")
         for batch in batches:
             if batch.num_rows:
                 keys = bands(_registers(batch.column(1)))
@@ -196,6 +199,7 @@ def propose(members: DataFrame) -> DataFrame:
             yield i[ok], j[ok]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.serve("hyperminhash")
         for table, starts in buckets.whole_groups(batches):
             ids, n, regs = table.column("id").to_numpy(), table.column("n_shingles").to_numpy(), _registers(table.column("registers"))
             part = table.column("component").to_numpy()
@@ -250,6 +254,7 @@ def with_partners(members: DataFrame) -> DataFrame:
     blocks, from the same with n_shingles and registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.serve("hyperminhash")
         for table, starts in buckets.whole_groups(batches, 2 * SETTLE_BLOCK):
             n, regs, part = table.column("n_shingles").to_numpy(), _registers(table.column("registers")), table.column("component").to_numpy()
             on = np.zeros(len(n), bool)
@@ -273,6 +278,7 @@ def settle(members: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.serve("hyperminhash")
         for table, starts in buckets.whole_groups(batches, 2 * SETTLE_BLOCK):
             ids, component = table.column("id").to_numpy(), table.column("component").to_numpy()
             found = []
@@ -304,6 +310,7 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose full shingle sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.serve("hyperminhash")
         last: tuple[bytes, np.ndarray] = (b"", shingles(b""))
         for batch in batches:
             ok = []

@@ -239,6 +239,7 @@ def learn(docs: DataFrame, vocab_path: str, rows: int = TRAIN_ROWS, types: int |
     sample = F.broadcast(sample) if sample.count() <= common.BROADCAST_IDS else sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.serve("langid")
         counts: Counter = Counter()
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), common.texts_of(batch.column(1)), strict=True):
@@ -274,6 +275,7 @@ def with_languages(docs: DataFrame, langs: list[str], pieces: dict[str, tuple[fl
     k = len(langs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.serve("langid")
         model = Model(table.value, k) if k else None
         at: dict[str, int] = {}
         rows = np.zeros((KNOWN_PARTS, k + 1))  # of each part: sums of logarithms by language, and the number of words
@@ -338,6 +340,7 @@ def with_letters(docs: DataFrame, columns: list[str]) -> DataFrame:
     common.long_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.serve("langid")
         for batch in batches:
             on = [n for n, text in enumerate(common.texts_of(batch.column(batch.num_columns - 1))) if any(words_of(p) for p in parts_of(text))]
             yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).take(pa.array(on, pa.int64()))

@@ -81,6 +81,7 @@ class MergedTexts(bpe.SplitEncoder):
 
 
 _encoders: dict[int, MergedTexts] = {}
+common.remember("packing", _encoders)
 
 
 def encoder(data: bytes) -> MergedTexts:
@@ -99,6 +100,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) ->
     data = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.serve("packing")
         enc = encoder(data.value)
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []

@@ -57,6 +57,7 @@ class _Features(dict):
 
 
 _features = _Features()
+common.remember("toxicity", _features)
 
 
 def features(text: str) -> set[str]:
@@ -104,6 +105,7 @@ def telling(learnt: DataFrame, n_toxic: int, n_clean: int, most: int = FEATURES,
     documents - and those of the identity terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.serve("toxicity")
         found: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
             for text, toxic in zip(common.texts_of(batch.column(0)), batch.column(1).to_pylist(), strict=True):
@@ -125,6 +127,7 @@ def examples(learnt: DataFrame, columns: list[str], terms: dict[str, str] = IDEN
     chosen = learnt.sparkSession.sparkContext.broadcast({f: n for n, f in enumerate(columns)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.serve("toxicity")
         known = chosen.value
         for batch in batches:
             found: list[list] = [[], [], []]
@@ -205,6 +208,7 @@ def with_scores(docs: DataFrame, weights: dict[str, float], intercept: float, co
     kept = docs.select(*columns, F.col("text").cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.serve("toxicity")
         table, b = model.value
         none: frozenset[str] = frozenset()
         known: dict[str, frozenset[str]] = {}  # of each word the features that have a weight
